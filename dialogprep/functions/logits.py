@@ -75,48 +75,68 @@ def _log_softmax(values, sizes, full, starts, temperature):
     return values - peaks - np.repeat(np.log(sums), sizes[full])
 
 
+def _ce_terms(lists, labels):
+    """(values, counted): -log softmax(logits)[label], and where it counts."""
+    values, sizes, full, starts = _flat(lists)
+    logp = _log_softmax(values, sizes, full, starts, 1.0)
+    want = labels.to_numpy(zero_copy_only=False)
+    counted = want != fixed.IGNORE_INDEX
+    if ((want < 0) | (want >= sizes))[counted].any():
+        raise ValueError("label outside the vocabulary")
+    out = np.zeros(len(want))
+    out[counted] = -logp[(starts + want)[counted]]
+    return out, counted
+
+
+def _kl_terms(mine, theirs, temperature):
+    """(values, same): sum p_t (log p_t - log p_s), and where widths agree."""
+    same = (
+        mine.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        == theirs.value_lengths().fill_null(-2).to_numpy(zero_copy_only=False)
+    )
+    out = np.zeros(len(same))
+    if same.any():
+        keep = pa.array(same)
+        values, sizes, full, starts = _flat(mine.filter(keep))
+        log_s = _log_softmax(values, sizes, full, starts, temperature)
+        log_t = _log_softmax(_flat(theirs.filter(keep))[0], sizes, full, starts, temperature)
+        p_t = np.exp(log_t)
+        with np.errstate(invalid="ignore"):
+            parts = np.where(p_t > 0, p_t * (log_t - log_s), 0.0)
+        rows = np.zeros(len(sizes))
+        if full.any():
+            rows[full] = np.add.reduceat(parts, starts[full])
+        out[same] = rows
+    return out, same
+
+
+def _label_or_ignored(label) -> Column:
+    return F.coalesce(label, F.lit(fixed.IGNORE_INDEX)).cast("long")
+
+
 def cross_entropy(logits, label) -> Column:
     """-log softmax(logits)[label]; null where the label is null or ignored."""
 
     @F.arrow_udf("double")
     def term(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for lists, labels in batches:
-            values, sizes, full, starts = _flat(lists)
-            logp = _log_softmax(values, sizes, full, starts, 1.0)
-            want = labels.fill_null(fixed.IGNORE_INDEX).to_numpy(zero_copy_only=False)
-            counted = want != fixed.IGNORE_INDEX
-            if ((want < 0) | (want >= sizes))[counted].any():
-                raise ValueError("label outside the vocabulary")
-            out = np.zeros(len(want))
-            out[counted] = -logp[(starts + want)[counted]]
-            yield pa.array(out, mask=~counted)
+            ce, counted = _ce_terms(lists, labels)
+            yield pa.array(ce, mask=~counted)
 
-    return term(logits, F.coalesce(label, F.lit(fixed.IGNORE_INDEX)).cast("long"))
+    return term(logits, _label_or_ignored(label))
 
 
-def kl_term(student, teacher, temperature: float) -> Column:
-    """sum p_t (log p_t - log p_s) over the vocabulary; null when widths differ."""
+def loss_terms(student, teacher, label, temperature: float) -> Column:
+    """struct<ce, kl> of a position in one pass: ce as in ``cross_entropy``; kl
+    of teacher to student, null where the widths differ or there is no teacher."""
 
-    @F.arrow_udf("double")
-    def term(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for mine, theirs in batches:
-            s_sizes = mine.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            t_sizes = theirs.value_lengths().fill_null(-2).to_numpy(zero_copy_only=False)
-            same = s_sizes == t_sizes
-            out = np.zeros(len(same))
-            if same.any():
-                keep = pa.array(same)
-                values, sizes, full, starts = _flat(mine.filter(keep))
-                log_s = _log_softmax(values, sizes, full, starts, temperature)
-                t_values = _flat(theirs.filter(keep))[0]
-                log_t = _log_softmax(t_values, sizes, full, starts, temperature)
-                p_t = np.exp(log_t)
-                with np.errstate(invalid="ignore"):
-                    parts = np.where(p_t > 0, p_t * (log_t - log_s), 0.0)
-                rows = np.zeros(len(sizes))
-                if full.any():
-                    rows[full] = np.add.reduceat(parts, starts[full])
-                out[same] = rows
-            yield pa.array(out, mask=~same)
-
-    return term(student, teacher)
+    @F.arrow_udf("struct<ce:double,kl:double>")
+    def terms(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for mine, theirs, labels in batches:
+            ce, counted = _ce_terms(mine, labels)
+            kl, same = _kl_terms(mine, theirs, temperature)
+            yield pa.StructArray.from_arrays(
+                [pa.array(ce, mask=~counted), pa.array(kl, mask=~same)], names=["ce", "kl"]
+            )
+
+    return terms(student, teacher, _label_or_ignored(label))

@@ -44,6 +44,16 @@ def _positions(keys: DataFrame, order: list[str], shifts) -> DataFrame:
     )
 
 
+def _required(key: str):
+    """The key as a non-null bigint; a null key fails the job.
+
+    Being non-null, it draws no inferred filters, so the counting and the
+    ranking branch read the same input and can share its exchanges.
+    """
+    failure = F.raise_error(F.lit(f"null {key} cannot be positioned")).cast("long")
+    return F.coalesce(F.col(key).cast("long"), failure, F.lit(0))
+
+
 def dense_index(df: DataFrame, key: str) -> DataFrame:
     """(key, idx): position of each row in ascending order of a unique integer key.
 
@@ -51,15 +61,15 @@ def dense_index(df: DataFrame, key: str) -> DataFrame:
     different partitioning gives the same positions. Only the key is shuffled;
     join the result back for a payload.
     """
-    keys = df.select(F.col(key).cast("long").alias(key))
+    keys = df.select(_required(key).alias(key))
     return _positions(keys, [key], KEY_SHIFTS).select(key, "idx")
 
 
 def shuffled_index(df: DataFrame, key: str, seed: int) -> DataFrame:
     """(key, idx) in a pseudo-random order that depends on key and seed only."""
     digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    draw = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-    keys = df.select(draw.alias("_draw"), F.col(key).cast("long").alias(key))
+    draw = F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0))
+    keys = df.select(_required(key).alias(key)).withColumn("_draw", draw)
     return _positions(keys, ["_draw", key], HASH_SHIFTS).select(key, "idx")
 
 

@@ -60,7 +60,7 @@ def nest_turns(
     turns of one half only.
     """
     half = turn_order(order, assistant)
-    block = half * F.lit(SECOND_HALF) + F.floor(F.col("turn") / turns_per_part) + 1
+    block = half * F.lit(SECOND_HALF) + F.expr(f"turn div {int(turns_per_part)}") + 1
     flagged = flag_heavy(turns, ["conv_id"], "_heavy", max_whole_turns, share)
     who = (
         F.when(F.col("role") == user, "human")

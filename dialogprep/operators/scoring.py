@@ -57,14 +57,16 @@ def position_terms(
 
     ``keep`` optionally limits KL to some positions, e.g. those not padding.
     """
-    terms = paired.withColumn("ce", lg.cross_entropy(F.col("student"), F.col("next_label")))
     if not with_teacher:
-        return terms.withColumn("kl", F.lit(None).cast("double"))
-    kl = lg.kl_term(F.col("student"), F.col("teacher"), temperature)
-    terms = terms.withColumn("kl", kl)
-    return terms if keep is None else terms.withColumn(
-        "kl", F.when(keep, F.col("kl")).otherwise(F.when(F.col("kl").isNotNull(), 0.0))
-    )
+        return paired.withColumn(
+            "ce", lg.cross_entropy(F.col("student"), F.col("next_label"))
+        ).withColumn("kl", F.lit(None).cast("double"))
+    both = lg.loss_terms(F.col("student"), F.col("teacher"), F.col("next_label"), temperature)
+    terms = paired.withColumn("_terms", both).withColumn("ce", F.col("_terms.ce"))
+    kl = F.col("_terms.kl")
+    if keep is not None:
+        kl = F.when(keep, kl).otherwise(F.when(kl.isNotNull(), 0.0))
+    return terms.withColumn("kl", kl).drop("_terms")
 
 
 def mean_or_nan(total: Column, count: Column) -> Column:
@@ -110,8 +112,10 @@ def distillation_loss(
     keep: Column | None = None,
 ) -> DataFrame:
     """The whole job: pair, shift, score, summarise."""
-    paired = student if teacher is None else pair_logits(student, teacher, "left")
-    terms = position_terms(shift_labels(paired), temperature, teacher is not None, keep)
+    paired = shift_labels(student)
+    if teacher is not None:
+        paired = pair_logits(paired, teacher, "left")
+    terms = position_terms(paired, temperature, teacher is not None, keep)
     return losses(terms, by, alpha, temperature)
 
 

@@ -5,14 +5,17 @@ from pyspark.sql import functions as F
 
 
 def heavy_keys(df: DataFrame, keys: list[str], floor: int, share: float) -> DataFrame:
-    """Keys with more than ``max(floor, share * rows)`` rows.
+    """Keys with more than ``max(floor, share * rows)`` rows; null is no key.
 
     There are at most ``1 / share`` of them whatever the size of ``df``, which
     is what makes the result fit for a broadcast. Counting combines map-side, so
-    a hot key costs one partial row per task.
+    a hot key costs one partial row per task; the total comes from the counts.
     """
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_n"))
-    rows = df.groupBy().agg(F.count("*").alias("_rows")).scalar()
+    present = df
+    for key in keys:
+        present = present.filter(F.col(key).isNotNull())
+    counts = present.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = counts.agg(F.sum("_n").alias("_rows")).scalar()
     limit = F.greatest(F.lit(float(floor)), rows * F.lit(share))
     return counts.filter(F.col("_n") > limit).select(*keys)
 
@@ -63,27 +66,40 @@ def salted_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def keep_first(
-    df: DataFrame, keys: list[str], order: list, n: int, salt_by: str, salts: int = 64
-) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each key in ``order``.
 
-    Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` the optimizer cuts
-    each task's rows to ``n`` per key before the shuffle. Above it a first pass
-    over salted keys does that.
+    The optimizer cuts each task's rows to ``n`` per key before the shuffle, up
+    to ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if n > threshold:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)))
-        inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_rank", F.row_number().over(inner))
-            .filter(F.col("_rank") <= n)
-            .drop("_rank", "_salt")
-        )
     window = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_rank", F.row_number().over(window))
         .filter(F.col("_rank") <= n)
         .drop("_rank")
     )
+
+
+def cut_heavy(
+    df: DataFrame, key: str, order: list[str], n: int, floor: int, share: float, salts: int = 64
+) -> DataFrame:
+    """Drops, where they are read, rows of heavy keys behind their first ``n``.
+
+    The ``n``-th place of each heavy key is found from the narrow columns alone,
+    in two steps so that no task sees a whole key, and broadcast: at most
+    ``1 / share`` rows. Other keys pass unchanged. ``order`` must be unique
+    within a key.
+    """
+    heavy = heavy_keys(df, [key], floor, share)
+    narrow = df.join(F.broadcast(heavy), key, "left_semi").select(
+        key, *order, F.pmod(F.xxhash64(*order), F.lit(salts)).alias("_salt")
+    )
+    some = keep_first(narrow, [key, "_salt"], order, n)
+    last = keep_first(some, [key], order, n).groupBy(key).agg(
+        F.max(F.struct(*order)).alias("_last")
+    )
+    return (
+        df.join(F.broadcast(last), key, "left")
+        .filter(F.col("_last").isNull() | (F.struct(*order) <= F.col("_last")))
+        .drop("_last")
+    )

@@ -12,9 +12,9 @@ from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
 from dialogprep.operators.render import (
-    ASSISTANT, USER, template_turn, turn_order,
+    ASSISTANT, MAX_WHOLE_TURNS, USER, template_turn, turn_order,
 )
-from dialogprep.operators.skew import keep_first, salted_join
+from dialogprep.operators.skew import cut_heavy, keep_first, salted_join
 
 # Largest vocabulary held on every worker; a larger one is joined instead.
 MAX_SHARED_VOCABULARY = 1 << 18
@@ -151,23 +151,28 @@ def encode_turns(
 def sample_ids(
     turns: DataFrame, vocabulary: Codebook | DataFrame, length: int = fixed.MAX_LENGTH,
     order: str = "grouped", user=USER, assistant=ASSISTANT,
+    heavy_floor: int = MAX_WHOLE_TURNS, heavy_share: float = 1e-6,
 ) -> DataFrame:
     """(conv_id, ids, supervised): each dialogue cut to ``length`` ids.
 
     Every rendered turn has at least five tokens, so the first
     ``ceil(length / 5)`` turns are all a sample can use: the group collected
-    per dialogue is bounded however long the dialogue is. Turns are encoded
-    where they are read, so at most ``length`` ids per turn are shuffled, once.
+    per dialogue is bounded however long the dialogue is, and a heavy
+    dialogue's other turns go before they are encoded. Turns are encoded where
+    they are read, so at most ``length`` ids per turn are shuffled, once.
     ``supervised`` flags assistant tokens behind the turn header.
     """
     kept = F.col("role").isin(user, assistant)
-    encoded = encode_turns(turns, vocabulary, length, user, assistant).select(
-        "conv_id", "turn", "ids",
-        F.when(kept, turn_order(order, assistant)).otherwise(2).alias("half"),
+    most = -(-length // fixed.MIN_TURN_TOKENS)
+    placed = turns.withColumn(
+        "half", F.when(kept, turn_order(order, assistant)).otherwise(F.lit(2))
+    )
+    usable = cut_heavy(placed, "conv_id", ["half", "turn"], most, heavy_floor, heavy_share)
+    encoded = encode_turns(usable, vocabulary, length, user, assistant).select(
+        "conv_id", "half", "turn", "ids",
         F.when(F.col("role") == assistant, 1).otherwise(0).alias("reply"),
     )
-    most = -(-length // fixed.MIN_TURN_TOKENS)
-    first = keep_first(encoded, ["conv_id"], ["half", "turn"], most, salt_by="turn")
+    first = keep_first(encoded, ["conv_id"], ["half", "turn"], most)
     header = fixed.HEADER_TOKENS
     flags = lambda t: F.concat(
         ar.repeat(0, F.least(F.lit(header), F.size(t["ids"]))),

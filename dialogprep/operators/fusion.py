@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from dialogprep.operators.skew import salted_join
 
 # Largest embedding table held on every worker, in bytes of float32.
 MAX_SHARED_TABLE = 1 << 30
+OUTPUT_BYTES = 1 << 26
 
 _erf = np.vectorize(math.erf, otypes=[np.float64])
 
@@ -74,20 +76,27 @@ def load_vectors(table: DataFrame, width: int, limit: int = MAX_SHARED_TABLE) ->
 
 
 def lookup_shared(spark: SparkSession, ids: Column, matrix: np.ndarray) -> Column:
-    """ids -> vectors with the table on every worker; no shuffle."""
+    """ids -> vectors with the table on every worker; no shuffle.
+
+    A row of vectors is far larger than its ids, so batches go out in pieces.
+    """
     shared = spark.sparkContext.broadcast(matrix)
 
     @F.arrow_udf("array<array<float>>")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
         width = table.shape[1]
-        for lists in batches:
-            taken = table[lists.flatten().to_numpy(zero_copy_only=False)]
-            steps = np.arange(len(taken) + 1, dtype=np.int32) * width
-            inner = pa.ListArray.from_arrays(pa.array(steps), pa.array(taken.ravel()))
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            outer = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(outer), inner)
+        for whole in batches:
+            longest = pc.max(whole.value_lengths()).as_py() or 1
+            rows = max(1, OUTPUT_BYTES // (4 * width * longest))
+            for start in range(0, len(whole), rows):
+                lists = whole.slice(start, rows)
+                taken = table[lists.flatten().to_numpy(zero_copy_only=False)]
+                steps = np.arange(len(taken) + 1, dtype=np.int32) * width
+                inner = pa.ListArray.from_arrays(pa.array(steps), pa.array(taken.ravel()))
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                outer = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(outer), inner)
 
     return apply(ids)
 

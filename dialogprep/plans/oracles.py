@@ -277,6 +277,10 @@ SELECT conv_id, {csv(padded(ASSISTANT_ONLY, 512, -100))} AS labels FROM samples"
     "decode_tokens": f"""WITH {encoded()}
 SELECT conv_id, turn, coalesce(string_agg(tok, '' ORDER BY spot) FILTER (NOT special), '') AS decoded
 FROM encoded GROUP BY conv_id, turn""",
+    "nested_records": f"""WITH {samples(128)}
+SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, {csv(padded('ids', 128, 0))} AS input_ids,
+       {csv(padded(fill(1, 'len(ids)'), 128, 0))} AS attention_mask, {csv(padded('ids', 128, 0))} AS labels
+FROM samples""",
     "dense_index": _indexed("o_orderkey"),
     "epoch_shuffle": _indexed(_DRAW),
     "micro_batches": f"WITH {_KEYS} SELECT conv_id, idx, idx // 4 AS batch_id FROM keys",
@@ -349,6 +353,12 @@ FROM (SELECT sum(ce) / count(ce) AS ce, {KL} AS kl FROM terms)""",
     "hidden_state_mse": """SELECT label, round(sum(list_sum(list_transform(range(1, len(embedding) + 1), lambda i:
          pow(embedding[len(embedding) + 1 - i]::DOUBLE - embedding[i]::DOUBLE, 2)))) / sum(len(embedding)), 6) AS mse
 FROM embeddings GROUP BY label""",
+    "hidden_state_loss": f"""WITH {LOGS}
+SELECT round(0.5 * sum(ce) / count(ce) + 0.5 * sum(list_sum(list_transform(range(1, 65), lambda i:
+         pow(teacher[i] - student[i], 2)))) / sum(len(student)), 6) AS loss FROM terms""",
+    "fused_ce_loss": f"""WITH {LOGS}
+SELECT round(sum(ce) FILTER (pos >= 3) / (count(ce) FILTER (pos >= 3)), 6) AS ce,
+       count(ce) FILTER (pos >= 3) AS n_counted, count(*) AS n_positions FROM terms""",
     "supervised_token_share": _share("grouped", "half, turn, spot") + " UNION ALL " + _share("interleaved", "turn, spot"),
     "flagged_share": """SELECT source, coalesce(sum(n_chars) FILTER (lang = 'en'), 0)::BIGINT AS flagged,
        sum(n_chars)::BIGINT AS total,

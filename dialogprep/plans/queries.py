@@ -236,6 +236,16 @@ def decode_tokens(spark, sf):
     return encoded.select("conv_id", "turn", codebook.decode(F.col("ids")).alias("decoded"))
 
 
+@query
+def nested_records(spark, sf):
+    """Samples straight from nested records, without a shuffle of their own."""
+    prepared = jobs.prepare_records(fx.records(spark, sf), _codebook(spark, sf), length=128)
+    return prepared.select(
+        "sample_id", "image", ar.as_text("input_ids").alias("input_ids"),
+        ar.as_text("attention_mask").alias("attention_mask"), ar.as_text("labels").alias("labels"),
+    )
+
+
 # Positions and batches
 
 
@@ -523,6 +533,32 @@ def hidden_state_mse(spark, sf):
     )
 
 
+@query
+def hidden_state_loss(spark, sf):
+    ce = scoring.distillation_loss(fx.student_log(spark, sf), None).select("ce")
+    pairs = fx.table(spark, sf, "embeddings").select(
+        F.col("embedding").alias("student"), F.reverse("embedding").alias("teacher")
+    )
+    mse = scoring.hidden_state_mse(pairs, "teacher", "student")
+    return ce.select(_round(scoring.hidden_state_loss(F.col("ce"), mse.scalar())).alias("loss"))
+
+
+@query
+def fused_ce_loss(spark, sf):
+    """Nested logs over four image and six text positions: labels are fused first."""
+    log = fx.student_log(spark, sf)
+    nested = log.groupBy("sample_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "label", "student"))).alias("rows")
+    )
+    text_labels = F.transform(F.filter("rows", lambda r: r["pos"] >= 4), lambda r: r["label"])
+    fused = nested.select(
+        "sample_id", F.col("rows")["student"].alias("logits"),
+        ar.fuse_labels(text_labels, 4).alias("labels"),
+    )
+    losses = scoring.distillation_loss(scoring.explode_log(fused), None)
+    return _report(losses, "ce", "n_counted", "n_positions")
+
+
 # Accounting
 
 
@@ -676,7 +712,7 @@ def image_inventory(spark, sf):
 
 @query
 def image_decode(spark, sf):
-    decoded = images.decode_images(spark, _image_folder(spark, sf))
+    decoded = images.rgb(images.read_images(spark, _image_folder(spark, sf)))
     return decoded.select(
         _image_id("path").alias("image_id"), "height", "width",
         F.col("readable").cast("int").alias("readable"), F.hex("rgb").alias("rgb"),
@@ -685,8 +721,8 @@ def image_decode(spark, sf):
 
 @query
 def image_tensor(spark, sf):
-    decoded = images.decode_images(spark, _image_folder(spark, sf))
-    made = images.pixel_values(decoded, size=16, method="nearest")
+    raw = images.read_images(spark, _image_folder(spark, sf))
+    made = images.pixel_values(raw, size=16, method="nearest")
     total = lambda plane: F.aggregate(
         F.slice("pixel_values", plane * 256 + 1, 256), F.lit(0.0), lambda acc, x: acc + x
     )

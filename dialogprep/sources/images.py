@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,25 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def decode_images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, height, width, rgb, readable): every file a row, broken ones too."""
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, height, width, channels, data, readable): every file is a row.
+
+    ``data`` is interleaved BGR, BGRA or grey; a file that cannot be decoded has
+    ``readable`` false.
+    """
     decoded = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
-    fields = decoded.select("image.*")
+    return decoded.select(
+        normal_path(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"),
+        F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"),
+        F.col("image.data").alias("data"), (F.col("image.nChannels") > 0).alias("readable"),
+    )
+
+
+def rgb(images: DataFrame) -> DataFrame:
+    """Replaces ``data`` by three-channel ``rgb`` bytes, null if unreadable."""
 
     @F.arrow_udf("binary")
-    def rgb(
+    def convert(
         batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]
     ) -> Iterator[pa.Array]:
         for columns in batches:
@@ -42,10 +55,9 @@ def decode_images(spark: SparkSession, folder: str) -> DataFrame:
                 pa.binary(),
             )
 
-    return fields.select(
-        normal_path(F.col("origin")).alias("path"), "height", "width",
-        rgb("data", "height", "width", "nChannels").alias("rgb"),
-        (F.col("nChannels") > 0).alias("readable"),
+    return images.select(
+        "path", "height", "width", "readable",
+        convert("data", "height", "width", "channels").alias("rgb"),
     )
 
 
@@ -55,28 +67,24 @@ def pixel_values(
 ) -> DataFrame:
     """(path, pixel_values, shape) of readable images: (3, size, size), flat.
 
-    Batches go out a few rows at a time because a tensor is far larger than its
-    file.
+    One trip to Python from the decoded bytes. Batches go out a few rows at a
+    time because a tensor is far larger than its file.
     """
-    readable = images.filter("readable").select("path", "height", "width", "rgb")
+    readable = images.filter("readable").select("path", "height", "width", "channels", "data")
 
     def tensors(batches):
-        import numpy as np
-
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_TENSOR_BATCH):
                 part = batch.slice(start, ROWS_PER_TENSOR_BATCH)
-                rows = part.to_pydict()
+                shapes = zip(*(part.column(i).to_pylist() for i in (4, 1, 2, 3)))
                 made = [
-                    px.model_tensor(
-                        np.frombuffer(d, dtype=np.uint8).reshape(h, w, 3), size, method, mean, std
-                    )
-                    for d, h, w in zip(rows["rgb"], rows["height"], rows["width"])
+                    px.model_tensor(px.to_rgb(d, h, w, n), size, method, mean, std)
+                    for d, h, w, n in shapes
                 ]
                 steps = np.arange(len(made) + 1, dtype=np.int32) * (3 * size * size)
                 values = pa.ListArray.from_arrays(pa.array(steps), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("path"), values], names=["path", "pixel_values"]
+                    [part.column(0), values], names=["path", "pixel_values"]
                 )
 
     shape = F.array(F.lit(3), F.lit(size), F.lit(size))

@@ -36,7 +36,8 @@ UNKNOWN_ID = 3
 
 # One token is a template marker, a run of letters, a digit, a space or any
 # other single character, so joining the tokens gives the text back.
-TOKEN_PATTERN = r"<\|im_start\|>|<\|im_end\|>|\p{L}+|\p{N}|\s|[^\s\p{L}\p{N}]"
+# The commonest kinds come first because the regex engine tries them in turn.
+TOKEN_PATTERN = r"\p{L}+|\s|\p{N}|<\|im_start\|>|<\|im_end\|>|[^\s\p{L}\p{N}]"
 # Start marker, role name, newline; then end marker, newline.
 HEADER_TOKENS = 3
 MIN_TURN_TOKENS = 5

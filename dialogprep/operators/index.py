@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bits dropped at each level. A bucket holds at most 2^21 unique keys and a
-# parent at most 2^21 buckets; 2^22 parents remain for any 64-bit key.
-KEY_SHIFTS = (21, 21)
+# Bits dropped at each level. A bucket holds at most 2^18 unique keys and a
+# parent at most 2^22 buckets; 2^24 parents remain for any 64-bit key.
+KEY_SHIFTS = (18, 22)
 # Hashed keys of 60 bits are uniform: 2^16 even buckets at once.
 HASH_SHIFTS = (44,)
 

@@ -37,7 +37,7 @@ def test_only_fixed_size_windows_lack_a_partition(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     lines = [line for line in text.splitlines() if "Window [" in line]
     assert len(lines) == 3
-    # The one unpartitioned window runs over buckets of 2^42 keys.
+    # The one unpartitioned window runs over parents of 2^40 keys.
     assert sum("windowspecdefinition(bucket" in l and "sum(n" in l for l in lines) == 1
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from dialogprep.operators.skew import salted_join
 
-# Largest embedding table held on every worker, in bytes of float32.
-MAX_SHARED_TABLE = 1 << 30
+# Largest embedding table held by every Python worker, in bytes of float32: 152k
+# rows of 896 fit. It passes the driver once, below spark.driver.maxResultSize.
+MAX_SHARED_TABLE = 3 << 28
 OUTPUT_BYTES = 1 << 26
 
 _erf = np.vectorize(math.erf, otypes=[np.float64])
@@ -32,33 +33,70 @@ def _rows(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(steps, pa.int32()), pa.array(matrix.ravel()))
 
 
-def linear(spark: SparkSession, vectors: Column, weight: np.ndarray, bias: np.ndarray) -> Column:
-    """x W^T + b for ``weight`` of shape (out, in), one matrix product per batch."""
+def _offsets(lists: pa.Array) -> pa.Array:
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def _pieces(batches: Iterator[pa.Array], row_bytes) -> Iterator[pa.Array]:
+    """Slices whose output stays near ``OUTPUT_BYTES``; results outgrow inputs."""
+    for whole in batches:
+        rows = max(1, OUTPUT_BYTES // max(1, row_bytes(whole)))
+        for start in range(0, len(whole), rows):
+            yield whole.slice(start, rows)
+
+
+def _longest(lists: pa.Array) -> int:
+    return pc.max(lists.value_lengths()).as_py() or 1
+
+
+def _apply(vectors: Column, stages, out_width: int, sequence: bool) -> Column:
+    """Column of ``stages(matrix)`` over vectors, or over arrays of vectors.
+
+    ``stages`` is called in the worker and returns (in_width, function).
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        in_width, compute = stages()
+        per_row = lambda part: 8 * out_width * (_longest(part) if sequence else 1)
+        for part in _pieces(batches, per_row):
+            if not sequence:
+                yield _rows(compute(_matrix(part, in_width)))
+            else:
+                inner = _rows(compute(_matrix(part.flatten(), in_width)))
+                yield pa.ListArray.from_arrays(_offsets(part), inner)
+
+    return F.arrow_udf(run, "array<array<double>>" if sequence else "array<double>")(vectors)
+
+
+def linear(
+    spark: SparkSession, vectors: Column, weight: np.ndarray, bias: np.ndarray,
+    sequence: bool = False,
+) -> Column:
+    """x W^T + b for ``weight`` of shape (out, in), one matrix product per batch.
+
+    ``sequence`` says that a row holds an array of vectors.
+    """
     shared = spark.sparkContext.broadcast((np.asarray(weight, float), np.asarray(bias, float)))
 
-    @F.arrow_udf("array<double>")
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def stages():
         w, b = shared.value
-        for vectors in batches:
-            yield _rows(_matrix(vectors, w.shape[1]) @ w.T + b)
+        return w.shape[1], lambda x: x @ w.T + b
 
-    return apply(vectors)
+    return _apply(vectors, stages, len(bias), sequence)
 
 
-def project(spark: SparkSession, vectors: Column, layers) -> Column:
+def project(spark: SparkSession, vectors: Column, layers, sequence: bool = False) -> Column:
     """Linear, exact GELU, linear; ``layers`` is ((W1, b1), (W2, b2))."""
     shared = spark.sparkContext.broadcast(
         [(np.asarray(w, float), np.asarray(b, float)) for w, b in layers]
     )
 
-    @F.arrow_udf("array<double>")
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def stages():
         (w1, b1), (w2, b2) = shared.value
-        for vectors in batches:
-            hidden = gelu(_matrix(vectors, w1.shape[1]) @ w1.T + b1)
-            yield _rows(hidden @ w2.T + b2)
+        return w1.shape[1], lambda x: gelu(x @ w1.T + b1) @ w2.T + b2
 
-    return apply(vectors)
+    return _apply(vectors, stages, len(layers[1][1]), sequence)
 
 
 def load_vectors(table: DataFrame, width: int, limit: int = MAX_SHARED_TABLE) -> np.ndarray | None:
@@ -86,17 +124,9 @@ def lookup_shared(spark: SparkSession, ids: Column, matrix: np.ndarray) -> Colum
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
         width = table.shape[1]
-        for whole in batches:
-            longest = pc.max(whole.value_lengths()).as_py() or 1
-            rows = max(1, OUTPUT_BYTES // (4 * width * longest))
-            for start in range(0, len(whole), rows):
-                lists = whole.slice(start, rows)
-                taken = table[lists.flatten().to_numpy(zero_copy_only=False)]
-                steps = np.arange(len(taken) + 1, dtype=np.int32) * width
-                inner = pa.ListArray.from_arrays(pa.array(steps), pa.array(taken.ravel()))
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                outer = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.ListArray.from_arrays(pa.array(outer), inner)
+        for lists in _pieces(batches, lambda part: 4 * width * _longest(part)):
+            taken = table[lists.flatten().to_numpy(zero_copy_only=False)]
+            yield pa.ListArray.from_arrays(_offsets(lists), _rows(taken))
 
     return apply(ids)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
-from dialogprep.operators import batching, index, render, tokens, validate
+from dialogprep.operators import batching, fusion, index, render, tokens, validate
 
 LABELS = ("clone", "mask_pad", "assistant_only")
 
@@ -93,3 +93,23 @@ def with_image_features(
     """(accepted samples with their image columns, rejected ones with a reason)."""
     checked = validate.require_image(samples, images, key, salt_by)
     return validate.accepted(checked), validate.rejected(checked)
+
+
+def fuse_samples(
+    samples: DataFrame, patches: str, layers, table: DataFrame, width: int, positions: int,
+    key: str = "conv_id",
+) -> DataFrame:
+    """Model inputs: projected patches in front of embedded ids, with mask and labels.
+
+    ``samples`` has input_ids, attention_mask, labels and ``patches``, an array
+    of ``positions`` patch vectors; ``layers`` projects them to ``width``.
+    """
+    spark = samples.sparkSession
+    embedded = fusion.embed(samples, [key], "input_ids", table, width, out="_text")
+    projected = fusion.project(spark, F.col(patches), layers, sequence=True)
+    return embedded.withColumn("_image", projected).select(
+        key,
+        ar.fuse_sequence(F.col("_image"), F.col("_text")).alias("inputs"),
+        ar.fuse_mask(F.col("attention_mask"), positions).alias("attention_mask"),
+        ar.fuse_labels(F.col("labels"), positions).alias("labels"),
+    )

@@ -193,6 +193,29 @@ SELECT conv_id, pos, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]
 FROM spots JOIN embeddings ON id = vec_id"""
 
 
+def _fused() -> str:
+    """Text: the first 8 of each id's vector. Image: four patches of 16, projected."""
+    patch = "list_slice(embedding, i * 16 + 1, i * 16 + 16)"
+    hidden = f"list_transform({layer('patch', 8, 16, 4.0)}, lambda h: {GELU})"
+    return f"""WITH {IMAGES}, {samples(32, size=300)},
+text_part AS (
+  SELECT s.conv_id, sum(list_sum(list_slice(e.embedding::DOUBLE[], 1, 8))) AS total
+  FROM (SELECT conv_id, unnest({padded('ids', 32, 0)}) AS id FROM samples) s
+  JOIN embeddings e ON s.id = e.vec_id GROUP BY s.conv_id
+),
+cut AS (
+  SELECT conv_id, unnest(list_transform(range(4), lambda i: {patch})) AS patch FROM featured
+),
+hidden AS (SELECT conv_id, {hidden} AS g FROM cut),
+image_part AS (
+  SELECT conv_id, sum(list_sum({layer('g', 8, 8, 4.0)})) AS total FROM hidden GROUP BY conv_id
+)
+SELECT conv_id, 36 AS n_positions, round(t.total + i.total, 6) AS total,
+       {csv(f"list_concat({fill(1, '4')}, {padded(fill(1, 'len(ids)'), 32, 0)})")} AS mask,
+       {csv(f"list_concat({fill(-100, '4')}, {padded('ids', 32, -100)})")} AS labels
+FROM samples JOIN text_part t USING (conv_id) JOIN image_part i USING (conv_id)"""
+
+
 def _parts() -> str:
     """Dialogues of more than four turns come as blocks of three turn numbers per half."""
     return f"""WITH {ROUTED},
@@ -315,6 +338,7 @@ FROM batched GROUP BY batch_id""",
 )
 SELECT vec_id, unit, round(v, 6) AS value FROM (
   SELECT vec_id, unnest(range(8)) AS unit, unnest({layer('g', 8, 8, 4.0)}) AS v FROM hidden)""",
+    "fused_samples": _fused(),
     "fuse_sequence": """SELECT vec_id, pos, len(v) AS width, round(list_sum(v), 6) AS total FROM (
   SELECT vec_id, unnest(range(4)) AS pos,
          unnest(list_transform(range(4), lambda i: list_slice(embedding::DOUBLE[], i * 16 + 1, i * 16 + 16))) AS v

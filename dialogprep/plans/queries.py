@@ -423,6 +423,27 @@ def fuse_labels(spark, sf):
     )
 
 
+@query
+def fused_samples(spark, sf):
+    """Accepted dialogues as model inputs: four patches each, then the text."""
+    vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
+    samples = jobs.prepare_samples(
+        _turns(spark, sf), tokens.load_codebook(vocabulary), length=32, labels="mask_pad"
+    )
+    patches = F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("pixel_values", i * 16 + 1, F.lit(16))
+    )
+    with_patches = samples.join(_featured(spark, sf), "conv_id").withColumn("patches", patches)
+    table = _vector_table(spark, sf).withColumn("vec", F.slice("vec", 1, 8))
+    layers = (fx.weights(8, 16, 4.0), fx.weights(8, 8, 4.0))
+    fused = jobs.fuse_samples(with_patches, "patches", layers, table, 8, 4)
+    total = F.aggregate(F.flatten("inputs"), F.lit(0.0), lambda acc, x: acc + x)
+    return fused.select(
+        "conv_id", F.size("inputs").alias("n_positions"), _round(total).alias("total"),
+        ar.as_text("attention_mask").alias("mask"), ar.as_text("labels").alias("labels"),
+    )
+
+
 # Scoring
 
 

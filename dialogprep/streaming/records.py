@@ -3,13 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep import schemas
+from dialogprep import fixed, schemas
 from dialogprep.functions import text as tx
+from dialogprep.operators.tokens import Codebook
+from dialogprep.plans import jobs
+
+
+def read_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of JSON-lines files as they appear in ``folder``."""
+    return spark.readStream.schema(schemas.RECORD).json(folder)
+
+
+def stream_samples(
+    spark: SparkSession, folder: str, codebook: Codebook, length: int = fixed.MAX_LENGTH
+) -> DataFrame:
+    """Padded ids, masks and labels of arriving records."""
+    return jobs.prepare_records(read_stream(spark, folder), codebook, length)
 
 
 def stream_dialogues(spark: SparkSession, folder: str, order: str = "grouped") -> DataFrame:
-    """Rendered dialogues of JSON-lines files as they appear in ``folder``."""
-    records = spark.readStream.schema(schemas.RECORD).json(folder)
+    """Rendered dialogues of arriving records."""
+    records = read_stream(spark, folder)
     render = tx.grouped_dialogue if order == "grouped" else tx.interleaved_dialogue
     return records.select(
         "sample_id", F.coalesce("part", F.lit(0)).alias("part"), "image",

@@ -15,11 +15,16 @@ def test_projection_matches_numpy(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<float>")
     got = df.select("i", fusion.project(spark, F.col("x"), ((w1, b1), (w2, b2))).alias("y"),
                     fusion.linear(spark, F.col("x"), w1, b1).alias("z")).collect()
+    pairs = df.select(
+        "i", fusion.project(spark, F.array("x", "x"), ((w1, b1), (w2, b2)), sequence=True).alias("yy")
+    ).collect()
     hidden = x.astype(float) @ w1.T + b1
     active = np.array([[0.5 * v * (1 + math.erf(v / math.sqrt(2))) for v in row] for row in hidden])
     for r in got:
         assert np.allclose(r.y, (active @ w2.T + b2)[r.i])
         assert np.allclose(r.z, hidden[r.i])
+    for r in pairs:
+        assert np.allclose(r.yy, [(active @ w2.T + b2)[r.i]] * 2)
 
 
 def test_lookup_both_ways(spark, monkeypatch):

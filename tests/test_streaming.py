@@ -1,5 +1,7 @@
 import json
 
+from dialogprep import fixed
+from dialogprep.operators.tokens import Codebook
 from dialogprep.streaming import records
 
 
@@ -21,3 +23,17 @@ def test_new_files_are_processed_once(spark, tmp_path):
     assert rows[1].text == (
         "<|im_start|>user\na2<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
     )
+
+
+def test_samples_of_arriving_records(spark, tmp_path):
+    landing = tmp_path / "in"
+    landing.mkdir()
+    body = {"sample_id": 5, "image": "a.png", "conversations": [{"from": "human", "value": "Hi"}]}
+    (landing / "1.json").write_text(json.dumps(body))
+    words = list(fixed.RESERVED_TOKENS) + ["user", "\n", "Hi"]
+    book = Codebook(spark, [{"id": i, "tok": t, "special": i < 4} for i, t in enumerate(words)])
+    stream = records.stream_samples(spark, str(landing), book, 8)
+    records.drain(stream, str(tmp_path / "out"), str(tmp_path / "progress"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert row.input_ids == row.labels == [1, 4, 5, 6, 2, 5, 0, 0]
+    assert row.attention_mask == [1] * 6 + [0] * 2

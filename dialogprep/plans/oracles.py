@@ -435,3 +435,15 @@ FROM planes WHERE vec_id % 50 < 48""",
     "stream_dialogues": f"""WITH {DIALOGUES}
 SELECT conv_id AS sample_id, 0::BIGINT AS part, conv_id * 7 || '.png' AS image, text FROM dialogues""",
 }
+
+# Sizes and positions are 32-bit in Spark.
+_INTEGERS = {
+    "optional_defaults": ["n_turns"], "json_roundtrip": ["n_turns"],
+    "truncate_tokens": ["n_ids"], "truncate_interleaved": ["n_ids"], "parquet_samples": ["n_ids"],
+    "stack_features": ["n_values"], "linear_layer": ["unit"], "project_vectors": ["unit"],
+    "log_softmax": ["unit"], "softmax": ["unit"], "fuse_sequence": ["pos", "width"],
+    "embedding_lookup": ["pos", "width"], "embedding_lookup_by_join": ["pos", "width"],
+}
+for _name, _columns in _INTEGERS.items():
+    _casts = ", ".join(f"{c}::INTEGER AS {c}" for c in _columns)
+    ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"

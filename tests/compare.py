@@ -32,9 +32,16 @@ def normal(columns, rows):
     return [columns[i] for i in order], sorted(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+         "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, make, sql, sf_dir):
     got = make(spark, sf_dir)
     mine = normal(got.columns, [tuple(r) for r in got.collect()])
+    described = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    types = {c: TYPES.get(t, t) for c, t in got.dtypes}
+    assert types == described, f"{name}: types {types} and {described}"
     result = con.execute(sql)
     theirs = normal([d[0] for d in result.description], result.fetchall())
     assert mine[0] == theirs[0], f"{name}: columns {mine[0]} and {theirs[0]}"

@@ -1,5 +1,6 @@
 """Inputs the driver tables lack, derived from them by Spark."""
 
+import re
 import struct
 import zlib
 
@@ -94,7 +95,7 @@ def write_images(rows: DataFrame, folder: str) -> None:
     def write(batches):
         from pyarrow import fs
 
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
         files.create_dir(base, recursive=True)
         for pdf in batches:
             for image_id, channels, values in zip(pdf["image_id"], pdf["channels"], pdf["values"]):

@@ -1,10 +1,7 @@
-import os
-
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str = "8") -> SparkSession:
-    os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("dialogprep")
         .config("spark.sql.shuffle.partitions", "8")

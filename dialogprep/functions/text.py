@@ -14,28 +14,46 @@ def render_turn(header, value) -> Column:
     )
 
 
-def _rendered(turns: Column, human: str, gpt: str) -> Column:
-    return F.transform(
-        turns,
-        lambda t: render_turn(
-            F.when(t["from"] == human, F.lit("user")).otherwise(F.lit("assistant")), t["value"]
-        ),
+def ordered_turns(conversations, order="grouped", human="human", gpt="gpt") -> Column:
+    """The turns to render, in order; roles other than the two are left out."""
+    turns = defaulted(conversations)
+    if order == "interleaved":
+        return F.filter(turns, lambda t: t["from"].isin(human, gpt))
+    if order != "grouped":
+        raise ValueError(f"unknown turn order {order!r}")
+    return F.concat(
+        F.filter(turns, lambda t: t["from"] == human), F.filter(turns, lambda t: t["from"] == gpt)
     )
 
 
-def interleaved_dialogue(conversations, human="human", gpt="gpt") -> Column:
-    """Turns in their own order; roles other than the two are left out."""
-    turns = F.filter(defaulted(conversations), lambda t: t["from"].isin(human, gpt))
-    return F.array_join(_rendered(turns, human, gpt), "")
+def _render(turn: Column, human: str) -> Column:
+    header = F.when(turn["from"] == human, F.lit("user")).otherwise(F.lit("assistant"))
+    return render_turn(header, turn["value"])
+
+
+def dialogue(conversations, order="grouped", human="human", gpt="gpt") -> Column:
+    """Text of a nested dialogue: all human turns first, or in their own order."""
+    turns = ordered_turns(conversations, order, human, gpt)
+    return F.array_join(F.transform(turns, lambda t: _render(t, human)), "")
 
 
 def grouped_dialogue(conversations, human="human", gpt="gpt") -> Column:
-    """All human turns in order, then all assistant turns in order."""
-    turns = defaulted(conversations)
-    regrouped = F.concat(
-        F.filter(turns, lambda t: t["from"] == human), F.filter(turns, lambda t: t["from"] == gpt)
+    return dialogue(conversations, "grouped", human, gpt)
+
+
+def interleaved_dialogue(conversations, human="human", gpt="gpt") -> Column:
+    return dialogue(conversations, "interleaved", human, gpt)
+
+
+def turn_tokens(conversations, order="grouped", human="human", gpt="gpt") -> Column:
+    """array<struct<reply, toks>>: each rendered turn's tokens, 1 for assistant turns."""
+    return F.transform(
+        ordered_turns(conversations, order, human, gpt),
+        lambda t: F.struct(
+            F.when(t["from"] == gpt, 1).otherwise(0).alias("reply"),
+            tokens(_render(t, human)).alias("toks"),
+        ),
     )
-    return F.array_join(_rendered(regrouped, human, gpt), "")
 
 
 def defaulted(conversations) -> Column:

@@ -80,5 +80,4 @@ def nest_turns(
 
 def dialogue_text(nested: DataFrame, order: str = "grouped") -> DataFrame:
     """Adds the rendered dialogue as ``text``."""
-    render = tx.grouped_dialogue if order == "grouped" else tx.interleaved_dialogue
-    return nested.withColumn("text", render("conversations"))
+    return nested.withColumn("text", tx.dialogue("conversations", order))

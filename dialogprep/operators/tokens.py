@@ -173,22 +173,30 @@ def sample_ids(
         F.when(F.col("role") == assistant, 1).otherwise(0).alias("reply"),
     )
     first = keep_first(encoded, ["conv_id"], ["half", "turn"], most)
-    header = fixed.HEADER_TOKENS
-    flags = lambda t: F.concat(
-        ar.repeat(0, F.least(F.lit(header), F.size(t["ids"]))),
-        F.transform(F.slice(t["ids"], header + 1, length), lambda _: t["reply"]),
-    )
     return (
         first.groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(F.struct("half", "turn", "ids", "reply"))).alias("_t"))
         .select(
             "conv_id",
-            ar.truncate(F.flatten(F.transform("_t", lambda t: t["ids"])), length).alias("ids"),
-            ar.truncate(F.flatten(F.transform("_t", flags)), length).alias("supervised"),
+            ar.truncate(F.flatten(F.col("_t")["ids"]), length).alias("ids"),
+            supervised_flags(F.col("_t"), "ids", length).alias("supervised"),
         )
     )
 
 
+def supervised_flags(turns: Column, items: str, length: int) -> Column:
+    """1 for each item behind the header of an assistant turn, else 0.
+
+    ``turns`` is an array of structs with ``reply`` and the array ``items``.
+    """
+    header = fixed.HEADER_TOKENS
+    flags = F.transform(turns, lambda t: F.concat(
+        ar.repeat(0, F.least(F.lit(header), F.size(t[items]))),
+        F.transform(F.slice(t[items], header + 1, length), lambda _: t["reply"]),
+    ))
+    return ar.truncate(F.flatten(flags), length)
+
+
 def labels_clone(ids, width: int | None = None, pad_id: int = fixed.PAD_ID) -> Column:
     """A copy of the ids, pads and user turns included."""
     return ids if width is None else ar.pad_right(ids, width, pad_id)

@@ -15,10 +15,12 @@ def corpus_vocabulary(turns: DataFrame, size: int) -> DataFrame:
     return tokens.build_vocabulary(render.render_turns(turns), "rendered", size)
 
 
-def with_labels(samples: DataFrame, policy: str, length: int | None) -> DataFrame:
+def with_labels(
+    samples: DataFrame, policy: str, length: int | None, pad_id: int = fixed.PAD_ID
+) -> DataFrame:
     ids, flags = F.col("ids"), F.col("supervised")
     if policy == "clone":
-        made = tokens.labels_clone(ids, length)
+        made = tokens.labels_clone(ids, length, pad_id)
     elif policy == "mask_pad":
         made = ids if length is None else tokens.labels_mask_pad(ids, length)
     elif policy == "assistant_only":
@@ -36,31 +38,31 @@ def prepare_samples(
 
     With ``pad=False`` arrays stay ragged, to be padded when batches form.
     """
-    width = length if pad else None
-    samples = with_labels(
-        tokens.sample_ids(turns, vocabulary, length, order), labels, width
-    )
-    ids = F.col("ids")
-    return samples.select(
-        "conv_id",
-        (ar.pad_right(ids, width, pad_id) if pad else ids).alias("input_ids"),
-        ar.attention_mask(ids, width).alias("attention_mask"),
-        "labels",
-    )
+    samples = tokens.sample_ids(turns, vocabulary, length, order)
+    return _arrays(samples, ["conv_id"], labels, length if pad else None, pad_id)
 
 
 def prepare_records(
     records: DataFrame, codebook: tokens.Codebook, length: int = fixed.MAX_LENGTH,
-    order: str = "grouped", pad_id: int = fixed.PAD_ID,
+    order: str = "grouped", labels: str = "clone", pad: bool = True, pad_id: int = fixed.PAD_ID,
 ) -> DataFrame:
     """The same from nested records: row-local, so no shuffle at all."""
-    render_text = tx.grouped_dialogue if order == "grouped" else tx.interleaved_dialogue
-    words = ar.truncate(tx.tokens(render_text("conversations")), length)
-    encoded = records.withColumn("ids", codebook.encode(words))
-    padded = ar.pad_right(F.col("ids"), length, pad_id)
-    return encoded.select(
-        "sample_id", "image", padded.alias("input_ids"),
-        ar.attention_mask(F.col("ids"), length).alias("attention_mask"), padded.alias("labels"),
+    split = records.withColumn("_turns", tx.turn_tokens("conversations", order))
+    words = ar.truncate(F.flatten(F.col("_turns")["toks"]), length)
+    samples = split.select(
+        "sample_id", "image", codebook.encode(words).alias("ids"),
+        tokens.supervised_flags(F.col("_turns"), "toks", length).alias("supervised"),
+    )
+    return _arrays(samples, ["sample_id", "image"], labels, length if pad else None, pad_id)
+
+
+def _arrays(samples: DataFrame, keep: list[str], labels: str, width: int | None, pad_id: int):
+    ids = F.col("ids")
+    return with_labels(samples, labels, width, pad_id).select(
+        *keep,
+        (ids if width is None else ar.pad_right(ids, width, pad_id)).alias("input_ids"),
+        ar.attention_mask(ids, width).alias("attention_mask"),
+        "labels",
     )
 
 

@@ -175,6 +175,13 @@ def channel(plane: str, mean: float, std: float) -> str:
     )
 
 
+def patch_mean(plane: str, mean: float, std: float) -> str:
+    """Mean of one quarter of an 8x8 plane, normalised as float32."""
+    at = "(patch_pos // 2 * 4 + k // 4) * 8 + patch_pos % 2 * 4 + k % 4 + 1"
+    value = f"(({plane}[{at}] / 255.0::DOUBLE - {mean}::DOUBLE) / {std}::DOUBLE)::FLOAT::DOUBLE"
+    return f"round(list_sum(list_transform(range(16), lambda k: {value})) / 16, 6)"
+
+
 def _collated(column: str, made: str, value, multiple_of: int = 1) -> str:
     width = f"ceil(max(len({made})) OVER (PARTITION BY batch_id) / {multiple_of}.0) * {multiple_of}"
     return f"""WITH {samples(128)},
@@ -302,7 +309,8 @@ SELECT conv_id, turn, coalesce(string_agg(tok, '' ORDER BY spot) FILTER (NOT spe
 FROM encoded GROUP BY conv_id, turn""",
     "nested_records": f"""WITH {samples(128)}
 SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, {csv(padded('ids', 128, 0))} AS input_ids,
-       {csv(padded(fill(1, 'len(ids)'), 128, 0))} AS attention_mask, {csv(padded('ids', 128, 0))} AS labels
+       {csv(padded(fill(1, 'len(ids)'), 128, 0))} AS attention_mask,
+       {csv(padded(ASSISTANT_ONLY, 128, -100))} AS labels
 FROM samples""",
     "dense_index": _indexed("o_orderkey"),
     "epoch_shuffle": _indexed(_DRAW),
@@ -432,6 +440,13 @@ FROM planes WHERE vec_id % 50 <> 48""",
 SELECT vec_id AS image_id, 768 AS n_values, {channel('red', 0.48145466, 0.26862954)} AS red,
        {channel('green', 0.4578275, 0.26130258)} AS green, {channel('blue', 0.40821073, 0.27577711)} AS blue
 FROM planes WHERE vec_id % 50 < 48""",
+    "image_features": f"""WITH {SHADES},
+spots AS (SELECT unnest(range(4)) AS patch_pos)
+SELECT vec_id AS image_id, patch_pos::INTEGER AS patch_pos,
+       {patch_mean('red', 0.48145466, 0.26862954)} AS red,
+       {patch_mean('green', 0.4578275, 0.26130258)} AS green,
+       {patch_mean('blue', 0.40821073, 0.27577711)} AS blue
+FROM planes JOIN spots ON vec_id % 50 < 48""",
     "stream_dialogues": f"""WITH {DIALOGUES}
 SELECT conv_id AS sample_id, 0::BIGINT AS part, conv_id * 7 || '.png' AS image, text FROM dialogues""",
 }

@@ -239,7 +239,9 @@ def decode_tokens(spark, sf):
 @query
 def nested_records(spark, sf):
     """Samples straight from nested records, without a shuffle of their own."""
-    prepared = jobs.prepare_records(fx.records(spark, sf), _codebook(spark, sf), length=128)
+    prepared = jobs.prepare_records(
+        fx.records(spark, sf), _codebook(spark, sf), length=128, labels="assistant_only"
+    )
     return prepared.select(
         "sample_id", "image", ar.as_text("input_ids").alias("input_ids"),
         ar.as_text("attention_mask").alias("attention_mask"), ar.as_text("labels").alias("labels"),
@@ -753,6 +755,31 @@ def image_tensor(spark, sf):
     )
 
 
+def _make_patch_means():
+    """Stands for a frozen encoder: the mean of each colour in four patches."""
+
+    def predict(pixels: np.ndarray) -> np.ndarray:
+        patches = pixels.astype(np.float64).reshape(-1, 3, 2, 8, 2, 8).mean(axis=(3, 5))
+        return patches.transpose(0, 2, 3, 1).reshape(len(pixels), 12)
+
+    return predict
+
+
+@query
+def image_features(spark, sf):
+    raw = images.read_images(spark, _image_folder(spark, sf))
+    tensors = images.pixel_values(raw, size=16, method="nearest")
+    encoder = inference.predictor(_make_patch_means, T.ArrayType(T.DoubleType()), 32, [[768]])
+    patches = F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("features", i * 3 + 1, F.lit(3))
+    )
+    encoded = tensors.select(_image_id("path").alias("image_id"), encoder("pixel_values").alias("features"))
+    return encoded.select("image_id", F.posexplode(patches).alias("patch_pos", "p")).select(
+        "image_id", "patch_pos", _round(F.col("p")[0]).alias("red"),
+        _round(F.col("p")[1]).alias("green"), _round(F.col("p")[2]).alias("blue"),
+    )
+
+
 @query
 def stream_dialogues(spark, sf):
     landing, out = scratch_dir(spark, "landing"), scratch_dir(spark, "dialogues")

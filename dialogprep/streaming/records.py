@@ -24,10 +24,9 @@ def stream_samples(
 def stream_dialogues(spark: SparkSession, folder: str, order: str = "grouped") -> DataFrame:
     """Rendered dialogues of arriving records."""
     records = read_stream(spark, folder)
-    render = tx.grouped_dialogue if order == "grouped" else tx.interleaved_dialogue
     return records.select(
         "sample_id", F.coalesce("part", F.lit(0)).alias("part"), "image",
-        render("conversations").alias("text"),
+        tx.dialogue("conversations", order).alias("text"),
     )
 
 

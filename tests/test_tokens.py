@@ -115,3 +115,24 @@ def test_pad_right_leaves_longer_arrays(spark):
     assert df.select(ar.pad_right(F.col("a"), 2, 9)).first()[0] == [1, 2, 3]
     assert df.select(ar.pad_right(F.col("a"), 5, 9)).first()[0] == [1, 2, 3, 9, 9]
     assert df.select(ar.truncate(F.col("a"), 2)).first()[0] == [1, 2]
+
+
+def test_pad_id_reaches_ids_and_cloned_labels(spark, turns):
+    book = tokens.load_codebook(jobs.corpus_vocabulary(turns, 50))
+    row = jobs.prepare_samples(turns, book, 4000, pad_id=7).first()
+    n = sum(row.attention_mask)
+    assert row.input_ids[n:] == row.labels[n:] == [7] * (4000 - n)
+
+
+def test_nested_and_long_forms_agree(spark, turns):
+    from dialogprep.operators import render
+
+    book = tokens.load_codebook(jobs.corpus_vocabulary(turns, 200))
+    for order in ("grouped", "interleaved"):
+        for policy in jobs.LABELS:
+            nested = render.nest_turns(turns, "interleaved").select(
+                F.col("conv_id").alias("sample_id"), F.lit(None).cast("string").alias("image"),
+                "conversations")
+            a = jobs.prepare_records(nested, book, 90, order, policy, pad=False).drop("image")
+            b = jobs.prepare_samples(turns, book, 90, order, policy, pad=False)
+            assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

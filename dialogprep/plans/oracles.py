@@ -184,7 +184,7 @@ def patch_mean(plane: str, mean: float, std: float) -> str:
 
 def _collated(column: str, made: str, value, multiple_of: int = 1) -> str:
     width = f"ceil(max(len({made})) OVER (PARTITION BY batch_id) / {multiple_of}.0) * {multiple_of}"
-    return f"""WITH {samples(128)},
+    return f"""WITH {samples()},
 batched AS (
   SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS idx,
          (row_number() OVER (ORDER BY conv_id) - 1) // 4 AS batch_id FROM samples
@@ -194,7 +194,7 @@ SELECT batch_id, idx, {csv(padded('v', 'width', value))} AS {column} FROM wide""
 
 
 def _looked_up() -> str:
-    return f"""WITH {samples(64, size=300)},
+    return f"""WITH {samples(size=300)},
 spots AS (SELECT conv_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM samples)
 SELECT conv_id, pos, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 6) AS total
 FROM spots JOIN embeddings ON id = vec_id"""
@@ -204,10 +204,10 @@ def _fused() -> str:
     """Text: the first 8 of each id's vector. Image: four patches of 16, projected."""
     patch = "list_slice(embedding, i * 16 + 1, i * 16 + 16)"
     hidden = f"list_transform({layer('patch', 8, 16, 4.0)}, lambda h: {GELU})"
-    return f"""WITH {IMAGES}, {samples(32, size=300)},
+    return f"""WITH {IMAGES}, {samples(size=300)},
 text_part AS (
   SELECT s.conv_id, sum(list_sum(list_slice(e.embedding::DOUBLE[], 1, 8))) AS total
-  FROM (SELECT conv_id, unnest({padded('ids', 32, 0)}) AS id FROM samples) s
+  FROM (SELECT conv_id, unnest({padded('ids', 512, 0)}) AS id FROM samples) s
   JOIN embeddings e ON s.id = e.vec_id GROUP BY s.conv_id
 ),
 cut AS (
@@ -217,9 +217,9 @@ hidden AS (SELECT conv_id, {hidden} AS g FROM cut),
 image_part AS (
   SELECT conv_id, sum(list_sum({layer('g', 8, 8, 4.0)})) AS total FROM hidden GROUP BY conv_id
 )
-SELECT conv_id, 36 AS n_positions, round(t.total + i.total, 6) AS total,
-       {csv(f"list_concat({fill(1, '4')}, {padded(fill(1, 'len(ids)'), 32, 0)})")} AS mask,
-       {csv(f"list_concat({fill(-100, '4')}, {padded('ids', 32, -100)})")} AS labels
+SELECT conv_id, 516 AS n_positions, round(t.total + i.total, 6) AS total,
+       {csv(f"list_concat({fill(1, '4')}, {padded(fill(1, 'len(ids)'), 512, 0)})")} AS mask,
+       {csv(f"list_concat({fill(-100, '4')}, {padded('ids', 512, -100)})")} AS labels
 FROM samples JOIN text_part t USING (conv_id) JOIN image_part i USING (conv_id)"""
 
 
@@ -307,10 +307,10 @@ SELECT conv_id, {csv(padded(ASSISTANT_ONLY, 512, -100))} AS labels FROM samples"
     "decode_tokens": f"""WITH {encoded()}
 SELECT conv_id, turn, coalesce(string_agg(tok, '' ORDER BY spot) FILTER (NOT special), '') AS decoded
 FROM encoded GROUP BY conv_id, turn""",
-    "nested_records": f"""WITH {samples(128)}
-SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, {csv(padded('ids', 128, 0))} AS input_ids,
-       {csv(padded(fill(1, 'len(ids)'), 128, 0))} AS attention_mask,
-       {csv(padded(ASSISTANT_ONLY, 128, -100))} AS labels
+    "nested_records": f"""WITH {samples()}
+SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, {csv(padded('ids', 512, 0))} AS input_ids,
+       {csv(padded(fill(1, 'len(ids)'), 512, 0))} AS attention_mask,
+       {csv(padded(ASSISTANT_ONLY, 512, -100))} AS labels
 FROM samples""",
     "dense_index": _indexed("o_orderkey"),
     "epoch_shuffle": _indexed(_DRAW),
@@ -325,7 +325,7 @@ FROM keys GROUP BY step""",
     "stack_features": f"""WITH {IMAGES}
 SELECT idx // 4 AS batch_id, count(*) AS n, sum(len(embedding))::BIGINT AS n_values,
        round(sum(list_sum(embedding::DOUBLE[])), 6) AS total FROM featured GROUP BY batch_id""",
-    "collate_batch": f"""WITH {IMAGES}, {samples(128)},
+    "collate_batch": f"""WITH {IMAGES}, {samples()},
 batched AS (
   SELECT idx, idx // 4 AS batch_id, ids, len(embedding) AS size,
          max(len(ids)) OVER (PARTITION BY idx // 4) AS width
@@ -351,12 +351,12 @@ SELECT vec_id, unit, round(v, 6) AS value FROM (
   SELECT vec_id, unnest(range(4)) AS pos,
          unnest(list_transform(range(4), lambda i: list_slice(embedding::DOUBLE[], i * 16 + 1, i * 16 + 16))) AS v
   FROM embeddings)""",
-    "fuse_mask": f"""WITH {samples(64)}
+    "fuse_mask": f"""WITH {samples()}
 SELECT conv_id, CASE WHEN conv_id % 10 <> 0 THEN
-  {csv(f"list_concat({fill(1, '196')}, {padded(fill(1, 'len(ids)'), 64, 0)})")} END AS mask FROM samples""",
-    "fuse_labels": f"""WITH {samples(64)}
+  {csv(f"list_concat({fill(1, '196')}, {padded(fill(1, 'len(ids)'), 512, 0)})")} END AS mask FROM samples""",
+    "fuse_labels": f"""WITH {samples()}
 SELECT conv_id, CASE WHEN conv_id % 10 <> 0 THEN
-  {csv(f"list_concat({fill(-100, '196')}, {padded('ids', 64, 0)})")} END AS labels FROM samples""",
+  {csv(f"list_concat({fill(-100, '196')}, {padded('ids', 512, 0)})")} END AS labels FROM samples""",
     "pair_logits": f"""WITH {LOGS}
 SELECT sample_id, pos, label,
        round(list_sum(list_transform(range(1, 65), lambda i: student[i] * teacher[i])), 6) AS dot FROM logs""",
@@ -426,7 +426,7 @@ SELECT CASE WHEN conv_id % 10 = 0 THEN 'quarantined' ELSE 'good' END AS status,
        sum(CASE WHEN conv_id % 10 = 0 THEN 40 ELSE 0 END)::BIGINT AS n_chars
 FROM lines GROUP BY status""",
     "parquet_samples": f"""WITH {samples()}
-SELECT conv_id, len(ids) AS n_ids, 1 AS cut FROM samples WHERE len(ids) = 512""",
+SELECT conv_id, len(ids) AS n_ids, (len(ids) = 512)::INTEGER AS cut FROM samples""",
     "image_inventory": """SELECT vec_id AS image_id, CASE WHEN vec_id % 50 = 48 THEN 0 ELSE 1 END AS found,
        CASE WHEN vec_id % 50 = 48 THEN NULL WHEN vec_id % 50 = 49 THEN 0 ELSE 1 END AS large FROM embeddings""",
     "image_decode": f"""WITH {SHADES}

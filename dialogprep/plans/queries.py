@@ -48,7 +48,7 @@ def _samples(spark, sf, order="grouped"):
 
 def _batched(spark, sf, labels="mask_pad"):
     samples = jobs.prepare_samples(
-        _turns(spark, sf), _codebook(spark, sf), length=128, labels=labels, pad=False
+        _turns(spark, sf), _codebook(spark, sf), labels=labels, pad=False
     )
     return jobs.batch_samples(samples, _keys(spark, sf), "conv_id")
 
@@ -240,7 +240,7 @@ def decode_tokens(spark, sf):
 def nested_records(spark, sf):
     """Samples straight from nested records, without a shuffle of their own."""
     prepared = jobs.prepare_records(
-        fx.records(spark, sf), _codebook(spark, sf), length=128, labels="assistant_only"
+        fx.records(spark, sf), _codebook(spark, sf), labels="assistant_only"
     )
     return prepared.select(
         "sample_id", "image", ar.as_text("input_ids").alias("input_ids"),
@@ -329,7 +329,7 @@ def stack_features(spark, sf):
 def collate_batch(spark, sf):
     featured = _featured(spark, sf)
     samples = jobs.prepare_samples(
-        _turns(spark, sf), _codebook(spark, sf), length=128, labels="mask_pad", pad=False
+        _turns(spark, sf), _codebook(spark, sf), labels="mask_pad", pad=False
     ).join(featured, "conv_id")
     batches = jobs.collated_batches(
         samples, _accepted_keys(spark, sf), "conv_id", images="pixel_values"
@@ -348,14 +348,14 @@ def collate_batch(spark, sf):
 @query
 def embedding_lookup(spark, sf):
     vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
-    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary), length=64)
+    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary))
     return _looked_up(fusion.embed(samples, ["conv_id"], "ids", _vector_table(spark, sf), 64))
 
 
 @query
 def embedding_lookup_by_join(spark, sf):
     vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
-    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary), length=64)
+    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary))
     vectors = fusion.lookup_by_join(
         samples, ["conv_id"], "ids", _vector_table(spark, sf), floor=200, share=0.01
     )
@@ -411,14 +411,14 @@ IMAGE_POSITIONS = 196
 
 @query
 def fuse_mask(spark, sf):
-    samples = jobs.prepare_samples(_turns(spark, sf), _codebook(spark, sf), length=64)
+    samples = jobs.prepare_samples(_turns(spark, sf), _codebook(spark, sf))
     mask = F.when(F.col("conv_id") % 10 != 0, F.col("attention_mask"))
     return samples.select("conv_id", ar.as_text(ar.fuse_mask(mask, IMAGE_POSITIONS)).alias("mask"))
 
 
 @query
 def fuse_labels(spark, sf):
-    samples = jobs.prepare_samples(_turns(spark, sf), _codebook(spark, sf), length=64)
+    samples = jobs.prepare_samples(_turns(spark, sf), _codebook(spark, sf))
     labels = F.when(F.col("conv_id") % 10 != 0, F.col("labels"))
     return samples.select(
         "conv_id", ar.as_text(ar.fuse_labels(labels, IMAGE_POSITIONS)).alias("labels")
@@ -430,7 +430,7 @@ def fused_samples(spark, sf):
     """Accepted dialogues as model inputs: four patches each, then the text."""
     vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
     samples = jobs.prepare_samples(
-        _turns(spark, sf), tokens.load_codebook(vocabulary), length=32, labels="mask_pad"
+        _turns(spark, sf), tokens.load_codebook(vocabulary), labels="mask_pad"
     )
     patches = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("pixel_values", i * 16 + 1, F.lit(16))
@@ -646,8 +646,8 @@ def batch_evaluate(spark, sf):
         "conv_id", "turn", F.col("text").alias("prompt")
     )
     rows = asked.join(_featured(spark, sf), "conv_id")
-    echo = inference.predictor(_make_echo, T.ArrayType(T.IntegerType()), 64, [[64], [64], None])
-    out = inference.evaluate(rows, _codebook(spark, sf), echo, "pixel_values", length=64)
+    echo = inference.predictor(_make_echo, T.ArrayType(T.IntegerType()), 64, [[64], [fixed.MAX_LENGTH], None])
+    out = inference.evaluate(rows, _codebook(spark, sf), echo, "pixel_values")
     return out.select("conv_id", "turn", "response")
 
 
@@ -702,14 +702,13 @@ def corrupt_quarantine(spark, sf):
 
 @query
 def parquet_samples(spark, sf):
-    """Samples written in partitions by length class, then one class read back."""
+    """Samples written in partitions by whether they were cut, then read back."""
     out = scratch_dir(spark, "samples")
     samples = _samples(spark, sf).withColumn(
         "cut", (F.size("ids") == fixed.MAX_LENGTH).cast("int")
     )
     records.write_samples(samples, out, ["cut"])
-    kept = spark.read.parquet(out).filter("cut = 1")
-    return kept.select("conv_id", F.size("ids").alias("n_ids"), "cut")
+    return spark.read.parquet(out).select("conv_id", F.size("ids").alias("n_ids"), "cut")
 
 
 def _image_folder(spark, sf):

@@ -273,11 +273,11 @@ SELECT conv_id AS sample_id, 0::BIGINT AS part, CASE WHEN n_replies > 0 THEN n_t
     "image_path": """SELECT conv_id, turn, CASE role WHEN 'system' THEN '/elsewhere/' ELSE 'data/images/' END
        || conv_id * 7 || '.png' AS path FROM conversations""",
     "missing_image_rejects": f"""WITH {IMAGES}
-SELECT w.conv_id, w.image_id, e.label,
+SELECT w.conv_id, coalesce(w.image_id, -1) AS image_id, coalesce(e.label, -1) AS label,
        CASE WHEN w.image_id IS NULL THEN 'no_image' WHEN e.vec_id IS NULL THEN 'not_found'
             ELSE 'accepted' END AS reason
 FROM wanted w LEFT JOIN embeddings e ON w.image_id = e.vec_id""",
-    "missing_image_rejects_salted": """SELECT conv_id, turn, conv_id % 5 * 7 AS image_id, label,
+    "missing_image_rejects_salted": """SELECT conv_id, turn, conv_id % 5 * 7 AS image_id, coalesce(label, -1) AS label,
        CASE WHEN vec_id IS NULL THEN 'not_found' ELSE 'accepted' END AS reason
 FROM conversations LEFT JOIN embeddings ON conv_id % 5 * 7 = vec_id""",
     "role_routing": """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'input' ELSE 'target' END AS slot, text
@@ -360,7 +360,7 @@ SELECT conv_id, CASE WHEN conv_id % 10 <> 0 THEN
     "pair_logits": f"""WITH {LOGS}
 SELECT sample_id, pos, label,
        round(list_sum(list_transform(range(1, 65), lambda i: student[i] * teacher[i])), 6) AS dot FROM logs""",
-    "shift_labels": f"WITH {LOGS} SELECT sample_id, pos, label, next_label FROM staged",
+    "shift_labels": f"WITH {LOGS} SELECT sample_id, pos, label, next_label FROM staged WHERE next_label IS NOT NULL",
     "log_softmax": f"""WITH {LOGS}
 SELECT sample_id, pos, unnest(range(len(student))) AS unit,
        unnest(list_transform(student, lambda x: round(x / 2 - lse_s, 6))) AS value FROM staged""",
@@ -428,7 +428,7 @@ FROM lines GROUP BY status""",
     "parquet_samples": f"""WITH {samples()}
 SELECT conv_id, len(ids) AS n_ids, (len(ids) = 512)::INTEGER AS cut FROM samples""",
     "image_inventory": """SELECT vec_id AS image_id, CASE WHEN vec_id % 50 = 48 THEN 0 ELSE 1 END AS found,
-       CASE WHEN vec_id % 50 = 48 THEN NULL WHEN vec_id % 50 = 49 THEN 0 ELSE 1 END AS large FROM embeddings""",
+       CASE WHEN vec_id % 50 = 48 THEN -1 WHEN vec_id % 50 = 49 THEN 0 ELSE 1 END AS large FROM embeddings""",
     "image_decode": f"""WITH {SHADES}
 SELECT vec_id AS image_id, CASE WHEN vec_id % 50 = 49 THEN -1 ELSE 8 END AS height,
        CASE WHEN vec_id % 50 = 49 THEN -1 ELSE 8 END AS width,

@@ -53,6 +53,10 @@ def _batched(spark, sf, labels="mask_pad"):
     return jobs.batch_samples(samples, _keys(spark, sf), "conv_id")
 
 
+def _or_minus_one(name):
+    return F.coalesce(F.col(name), F.lit(-1)).alias(name)
+
+
 def _round(col):
     return F.round(col, 6)
 
@@ -101,7 +105,8 @@ def missing_image_rejects(spark, sf):
     stored = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
     checked = validate.require_image(fx.image_keys(spark, sf), stored, "image_id", "conv_id")
     return checked.select(
-        "conv_id", "image_id", "label", F.coalesce("reason", F.lit("accepted")).alias("reason")
+        "conv_id", _or_minus_one("image_id"), _or_minus_one("label"),
+        F.coalesce("reason", F.lit("accepted")).alias("reason"),
     )
 
 
@@ -116,7 +121,8 @@ def missing_image_rejects_salted(spark, sf):
         wanted, stored, "image_id", "turn", floor=3, share=0.01, salts=8
     )
     return checked.select(
-        "conv_id", "turn", "image_id", "label", F.coalesce("reason", F.lit("accepted")).alias("reason")
+        "conv_id", "turn", "image_id", _or_minus_one("label"),
+        F.coalesce("reason", F.lit("accepted")).alias("reason"),
     )
 
 
@@ -460,7 +466,7 @@ def pair_logits(spark, sf):
 
 @query
 def shift_labels(spark, sf):
-    shifted = scoring.shift_labels(fx.student_log(spark, sf))
+    shifted = scoring.shift_labels(fx.student_log(spark, sf)).filter("next_label is not null")
     return shifted.select("sample_id", "pos", "label", "next_label")
 
 
@@ -729,7 +735,9 @@ def image_inventory(spark, sf):
     )
     wanted = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"))
     attached = validate.attach_images(wanted, files, "image_id", "image_id")
-    return attached.select("image_id", F.col("found").cast("int").alias("found"), "large")
+    return attached.select(
+        "image_id", F.col("found").cast("int").alias("found"), _or_minus_one("large")
+    )
 
 
 @query

@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from dialogprep.llm import utf8
 from dialogprep.llm.common import per_worker, record_batch, row_slices, share
 
-# Transitions and whole matches kept in each worker before both tables start anew.
-MAX_TRANSITIONS = 200_000
-MAX_REMEMBERED = 200_000
+# Transitions, pairs and whole matches kept in each worker; the last two start anew when full.
+MAX_TRANSITIONS = 60_000
+MAX_PAIRS = 300_000
+MAX_REMEMBERED = 500_000
 REMEMBERED_LENGTH = 24
 
+NEVER = float("inf")
+
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """Token bytes and ranks from a rank file, a small file at a path of the driver."""
@@ -37,11 +40,26 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class _Link:
+    """A token boundary: the token that ends here and the boundary where it begins."""
+
+    __slots__ = ("token", "back", "depth")
+
+    def __init__(self, token: int | None, back: "_Link | None", depth: int):
+        self.token, self.back, self.depth = token, back, depth
+
+
+# The live places: (vocabulary trie node reached from there, boundary there), oldest first.
+Live = list[tuple[int, _Link]]
+
+
 class _State:
-    __slots__ = ("last", "tail", "ends", "live", "next", "flush")
+    """Live places, known transitions, and the tokens that follow if the piece ends here."""
 
-    def __init__(self, last, tail, ends, live):
-        self.last, self.tail, self.ends, self.live = last, tail, ends, live
+    __slots__ = ("live", "next", "flush")
+
+    def __init__(self, live: Live):
+        self.live = live
         self.next: dict[int, tuple[bytes, _State]] = {}
         self.flush: bytes | None = None
 
@@ -49,123 +67,168 @@ class _State:
 class Transducer:
     """Encodes pieces of text byte by byte.
 
-    ``ends`` of a state maps a place in ``tail`` to (token that ends there, its
-    start); ``last`` is the emitted token before ``tail`` where a coming token
-    may still begin right behind it.
+    Transitions are kept while there is room, so the commonest ones are; any
+    other is followed from the live places and not kept.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:n] for token in ranks for n in range(len(token) + 1)}
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
+        self._child: dict[int, int] = {}
+        self._token_at: list[int | None] = [None]
         self._fits: dict[tuple[int, int], bool] = {}
-        self._own: dict[bytes, int | None] = {}
+        self._history: dict[int, list[tuple[float, bytes, bytes]]] = {}
+        for token, rank in ranks.items():
+            self._add(token, rank)
         self._remembered: dict[str, bytes] = {}
-        self._restart()
-
-    def _restart(self) -> None:
         self._states: dict = {}
         self._transitions = 0
-        self.root = self._state(None, b"", {}, (0,))
-
-    def _state(self, last, tail, ends, live) -> _State:
-        key = (last, tail, tuple(sorted(ends.items())), live)
+        self.root = self._state([(0, _Link(None, None, 0))])
+
+    def _add(self, token: bytes, rank: int) -> None:
+        node = 0
+        for byte in token:
+            key = node << 8 | byte
+            if key not in self._child:
+                self._child[key] = len(self._token_at)
+                self._token_at.append(None)
+            node = self._child[key]
+        self._token_at[node] = rank
+        self._history[rank] = token  # replaced by its merges when they are first needed
+
+    def _state(self, live: Live) -> _State:
+        key = tuple((node, *self._path(link)) for node, link in live)
         if key not in self._states:
-            self._states[key] = _State(last, tail, ends, live)
+            self._states[key] = _State(live)
         return self._states[key]
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """The definition: join the neighbours of lowest rank until none can be joined."""
+    @staticmethod
+    def _path(link: _Link | None) -> Iterator[int | None]:
+        while link is not None:
+            yield link.token
+            link = link.back
+
+    def merges(self, data: bytes) -> Iterator[tuple[float, list[bytes]]]:
+        """The definition: join the neighbours of lowest rank, the first of equals, until none
+        can be joined. Yields the parts and the rank of the merge that comes next."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            joined = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:])]
-            best = min((r for r in joined if r is not None), default=None)
-            if best is None:
-                break
+        while True:
+            joined = [self.ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            best = min(joined, default=NEVER)
+            yield best, parts
+            if best == NEVER:
+                return
             at = joined.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
 
-    def _token(self, data: bytes) -> int | None:
-        """The rank of ``data`` if merges alone can make it."""
-        if data not in self._own:
-            rank = self.ranks.get(data)
-            self._own[data] = rank if rank is not None and len(self.merged(data)) == 1 else None
-        return self._own[data]
+    def _merges_of(self, rank: int) -> list[tuple[float, bytes, bytes]]:
+        known = self._history[rank]
+        if isinstance(known, bytes):
+            known = [(following, p[0], p[-1]) for following, p in self.merges(known)]
+            self._history[rank] = known
+        return known
 
     def _follows(self, first: int | None, second: int) -> bool:
-        """Whether two tokens can stand side by side."""
-        if first is None:
-            return True
-        if (first, second) not in self._fits:
-            if len(self._fits) > MAX_TRANSITIONS:
+        """Whether merges alone make ``second`` and leave it behind ``first``."""
+        known = self._fits.get((first, second))
+        if known is None:
+            if len(self._fits) >= MAX_PAIRS:
                 self._fits.clear()
-            a, b = self.bytes_of[first], self.bytes_of[second]
-            self._fits[first, second] = self.merged(a + b) == [a, b]
-        return self._fits[first, second]
-
-    def _step(self, state: _State, byte: int) -> tuple[bytes, _State]:
-        tail = state.tail + bytes((byte,))
-        here = len(tail)
-        live = [p for p in state.live if tail[p:] in self.prefixes]
-        ends = dict(state.ends)
-        for p in live + ([here - 1] if here - 1 not in live else []):
-            token = self._token(tail[p:])
-            before = ends[p][0] if p else state.last
-            if token is not None and self._follows(before, token):
-                ends[here] = (token, p)
-                break
-        live.append(here)
-        common = set(self._chain(ends, here))
-        for p in live:
-            common &= set(self._chain(ends, p))
-        cut = max(common)
-        out = self._tokens(ends, cut)
-        last = (ends[cut][0] if cut else state.last) if cut in live else None
-        kept = {q for p in live for q in self._chain(ends, p) if q > cut}
-        after = self._state(
-            last, tail[cut:], {q - cut: (ends[q][0], ends[q][1] - cut) for q in kept},
-            tuple(p - cut for p in live),
-        )
-        self._transitions += 1
-        state.next[byte] = out, after
-        return out, after
+            made = self._merges_of(second)[-1]
+            known = made[1] is made[2] and (first is None or self._apart(first, second))
+            self._fits[first, second] = known
+        return known
 
-    @staticmethod
-    def _chain(ends: dict, place: int) -> Iterator[int]:
-        while place:
-            yield place
-            place = ends[place][1]
-        yield 0
-
-    def _tokens(self, ends: dict, place: int) -> bytes:
-        tokens = []
-        while place:
-            token, place = ends[place]
-            tokens.append(token)
-        return np.array(tokens[::-1], "<u4").tobytes()
+    def _apart(self, first: int, second: int) -> bool:
+        """Merges within each go on as if it stood alone, in the order of their ranks, unless
+        one across the border comes first."""
+        left, right, get = self._merges_of(first), self._merges_of(second), self.ranks.get
+        i = j = 0
+        while True:
+            in_left, _, a = left[i]
+            in_right, b, _ = right[j]
+            across = get(a + b, NEVER)
+            if across < in_left and across <= in_right:
+                return False
+            if in_left <= in_right:
+                if in_left == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _advance(self, live: Live, byte: int) -> Live:
+        """The live places after one more byte; the last is the new end of the text."""
+        out, here = [], None
+        child_of, token_at = self._child, self._token_at
+        for node, link in live:
+            child = child_of.get(node << 8 | byte)
+            if child is not None:
+                out.append((child, link))
+                if here is None:
+                    token = token_at[child]
+                    if token is not None and self._follows(link.token, token):
+                        here = _Link(token, link, link.depth + 1)
+        out.append((0, here))
+        return out
+
+    def _settle(self, live: Live) -> tuple[bytes, Live]:
+        """Emits what the chains of all live places share and bases them on its end."""
+        open_links, between = {link for _, link in live}, []
+        while len(open_links) > 1:
+            link = max(open_links, key=lambda x: x.depth)
+            open_links.remove(link)
+            between.append(link)
+            open_links.add(link.back)
+        (cut,) = open_links
+        if cut.back is None:
+            return b"", live
+        emitted = self._tokens(cut)
+        needed = any(link is cut for _, link in live)
+        moved = {cut: _Link(cut.token if needed else None, None, 0)}
+        for link in reversed(between):
+            back = moved[link.back]
+            moved[link] = _Link(link.token, back, back.depth + 1)
+        return emitted, [(node, moved[link]) for node, link in live]
+
+    def _tokens(self, link: _Link) -> bytes:
+        out = b""
+        while link.back is not None:
+            out = self.packed[link.token] + out
+            link = link.back
+        return out
 
     def encode_piece(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
         if piece in self.ranks:
-            return self.ranks[piece].to_bytes(4, "little")
-        if self._transitions > MAX_TRANSITIONS:
-            self._restart()
+            return self.packed[self.ranks[piece]]
         state, out = self.root, []
-        for byte in piece:
+        for at, byte in enumerate(piece):
             found = state.next.get(byte)
             if found is None:
-                found = self._step(state, byte)
-                if self._transitions > 2 * MAX_TRANSITIONS:
-                    self._restart()
+                if self._transitions >= MAX_TRANSITIONS:
+                    return b"".join(out) + self._unkept(state.live, piece[at:])
+                emitted, live = self._settle(self._advance(state.live, byte))
+                found = state.next[byte] = emitted, self._state(live)
+                self._transitions += 1
             if found[0]:
                 out.append(found[0])
             state = found[1]
         if state.flush is None:
-            state.flush = self._tokens(state.ends, len(state.tail))
+            state.flush = self._tokens(state.live[-1][1])
         out.append(state.flush)
         return b"".join(out)
 
+    def _unkept(self, live: Live, rest: bytes) -> bytes:
+        out = []
+        for at, byte in enumerate(rest, 1):
+            live = self._advance(live, byte)
+            if not at % 64:
+                emitted, live = self._settle(live)
+                out.append(emitted)
+        out.append(self._tokens(live[-1][1]))
+        return b"".join(out)
+
     def encode_match(self, match: str) -> bytes:
         """As ``encode_piece``; short matches are remembered."""
         known = self._remembered.get(match)

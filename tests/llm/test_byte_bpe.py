@@ -38,7 +38,7 @@ def test_pieces_equal_the_library(text):
     assert ids.tolist() == OTHER.encode_ordinary(text)
 
 
-def test_tables_start_anew_in_the_middle_of_a_piece(monkeypatch):
+def test_transitions_without_room(monkeypatch):
     monkeypatch.setattr(byte_bpe, "MAX_TRANSITIONS", 5)
     small = byte_bpe.Transducer(RANKS)
     for word in ("internationalisation", "x" * 300, "étéàüß" * 20):

@@ -1,5 +1,6 @@
 """Reading tables, walking Arrow batches and keeping objects per Python worker."""
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,14 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once below the shared scratch folder and read back.
 
     Cuts the lineage: what follows is recomputed from files that outlive any
     executor.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,3 +93,16 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)],
         schema=schema,
     )
+
+
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
+
+
+def word_lists(data: bytes, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """Words between ASCII white space, in lists made of about ``limit`` bytes of text."""
+    start = 0
+    while start < len(data):
+        space = _SPACE.search(data, start + limit) if len(data) - start > limit else None
+        stop = space.start() if space else len(data)
+        yield data[start:stop].split()
+        start = stop

@@ -4,8 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe
+from dialogprep.llm import byte_bpe, token_files
 from dialogprep.llm.common import table
+from dialogprep.sources.scratch import scratch_dir
 
 
 def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +19,19 @@ def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: ids of every text written to Huffman-coded blocks and read back."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    path = scratch_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, definition, end_id=2)
+    return token_files.read(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 QUERIES = {
+    "op9_token_files": token_files_roundtrip,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
 }
 

@@ -14,7 +14,9 @@ text has no ids. Columns other than the id and the text are not read.
 """
 
 import base64
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ MAX_TRANSITIONS = 60_000
 MAX_PAIRS = 300_000
 MAX_REMEMBERED = 500_000
 REMEMBERED_LENGTH = 24
+DECODED_AT_ONCE = 512
 
 NEVER = float("inf")
 
@@ -80,7 +83,7 @@ class Transducer:
         self._history: dict[int, list[tuple[float, bytes, bytes]]] = {}
         for token, rank in ranks.items():
             self._add(token, rank)
-        self._remembered: dict[str, bytes] = {}
+        self._remembered = _Remembered(self.encode_piece)
         self._states: dict = {}
         self._transitions = 0
         self.root = self._state([(0, _Link(None, None, 0))])
@@ -229,16 +232,72 @@ class Transducer:
         out.append(self._tokens(live[-1][1]))
         return b"".join(out)
 
-    def encode_match(self, match: str) -> bytes:
-        """As ``encode_piece``; short matches are remembered."""
-        known = self._remembered.get(match)
-        if known is None:
-            known = self.encode_piece(match.encode())
-            if len(match) <= REMEMBERED_LENGTH:
-                if len(self._remembered) >= MAX_REMEMBERED:
-                    self._remembered.clear()
-                self._remembered[match] = known
-        return known
+    def ids_of(self, matches: list[str]) -> bytes:
+        """Ids of matches in order; short ones are remembered."""
+        return b"".join(map(self._remembered.__getitem__, matches))
+
+
+class _Remembered(dict):
+    """Ids by match, made when they are first asked for."""
+
+    def __init__(self, encode_piece):
+        self._encode = encode_piece
+
+    def __missing__(self, match: str) -> bytes:
+        ids = self._encode(match.encode())
+        if len(match) <= REMEMBERED_LENGTH:
+            if len(self) >= MAX_REMEMBERED:
+                self.clear()
+            self[match] = ids
+        return ids
+
+
+class Splitter:
+    """Matches of a pattern.
+
+    Texts of characters up to U+00FF, the commonest, are split by the ``re``
+    module, in whose pattern the Unicode classes are written out for them.
+    """
+
+    def __init__(self, pattern: str):
+        self.any = regex.compile(pattern)
+        self.latin = _latin(pattern)
+
+    def split(self, text: str) -> list[str]:
+        return self._for(text).findall(text)
+
+    def parts(self, text: str, size: int = 1 << 16) -> Iterator[list[str]]:
+        """The same in lists of bounded length, for very long texts."""
+        found = (m.group() for m in self._for(text).finditer(text))
+        while some := list(islice(found, size)):
+            yield some
+
+    def _for(self, text: str):
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any
+        return self.latin
+
+
+def _latin(pattern: str):
+    """``pattern`` for ``re``, its classes spelled out as characters up to U+00FF."""
+    if regex.search(r"\\[pP](?!\{[LN]\})|\\[^pPsS{}]|\(\?[^!:]|[+*?][+]", pattern):
+        return regex.compile(pattern)
+    members = {
+        name: "".join(f"\\x{c:02x}" for c in range(256) if regex.match(name, chr(c)))
+        for name in (r"\p{L}", r"\p{N}", r"\s")
+    }
+    out, inside = [], False
+    for part in regex.split(r"(\\p\{[LN]\}|\\s|\\S|[\[\]])", pattern):
+        if part in members:
+            part = members[part] if inside else f"[{members[part]}]"
+        elif part == r"\S":
+            part = f"[^{members[chr(92) + 's']}]"
+        elif part in ("[", "]"):
+            inside = part == "["
+        out.append(part)
+    return re.compile("".join(out))
 
 
 class Decoder:
@@ -246,25 +305,33 @@ class Decoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.pieces = {rank: token for token, rank in ranks.items()}
-        self._steps: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
+        self._steps: dict[bytes, dict[int, tuple[str, bytes]]] = {}
+        self._whole: dict[int, str] = {}
 
     def decode(self, ids: np.ndarray) -> str:
         pending, out = b"", []
-        steps = self._steps[b""]
-        for start in range(0, len(ids), 1 << 16):
-            for token in ids[start:start + (1 << 16)].tolist():
-                found = steps.get(token)
-                if found is None:
-                    found = steps[token] = utf8.feed(pending, self.pieces[token])
-                out.append(found[0])
-                if found[1] is not pending and found[1] != pending:
-                    pending = found[1]
-                    steps = self._steps.setdefault(pending, {})
-                elif pending:
-                    pending = found[1]
+        for start in range(0, len(ids), DECODED_AT_ONCE):
+            some = ids[start:start + DECODED_AT_ONCE].tolist()
+            if not pending:
+                try:  # usually every token ends a character
+                    out.append("".join(map(self._whole.__getitem__, some)))
+                    continue
+                except KeyError:
+                    pass
+            for token in some:
+                text, pending = self._step(pending, token)
+                out.append(text)
         out.append(utf8.close(pending))
         return "".join(out)
 
+    def _step(self, pending: bytes, token: int) -> tuple[str, bytes]:
+        steps = self._steps.setdefault(pending, {})
+        if token not in steps:
+            steps[token] = utf8.feed(pending, self.pieces[token])
+            if not pending and not steps[token][1]:
+                self._whole[token] = steps[token][0]
+        return steps[token]
+
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 DECODED = pa.schema([*ENCODED, ("decoded", pa.string())])
@@ -280,18 +347,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
     shared = share(docs.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match_of, known = regex.compile(pattern), per_worker(shared, Transducer)
+        splitter, known = Splitter(pattern), per_worker(shared, Transducer)
         for batch in row_slices(batches, "text"):
-            ids = [_encoded(match_of, known, t or "") for t in batch.column("text").to_pylist()]
+            ids = [encoded(splitter, known, t or "") for t in batch.column("text").to_pylist()]
             yield record_batch(ENCODED, batch.column("doc_id"), [len(i) // 4 for i in ids], ids)
 
     return _narrow(docs, id_col, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _encoded(match_of, known: Transducer, text: str) -> bytes:
+def encoded(splitter: Splitter, known: Transducer, text: str) -> bytes:
     if len(text) < 1 << 20:
-        return b"".join(map(known.encode_match, match_of.findall(text)))
-    return b"".join(known.encode_match(m.group()) for m in match_of.finditer(text))
+        return known.ids_of(splitter.split(text))
+    return b"".join(map(known.ids_of, splitter.parts(text)))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -13,6 +13,7 @@ from tests.conftest import SF
 
 RANKS = byte_bpe.read_ranks(None, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 KNOWN = byte_bpe.Transducer(RANKS)
+SPLITTER = byte_bpe.Splitter(public_tokenizers.PATTERN)
 OTHER = tiktoken.Encoding(
     "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={}
 )
@@ -32,9 +33,7 @@ def test_query_equals_the_library(spark, con):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="abthe ns'.0é\n", max_size=80))
 def test_pieces_equal_the_library(text):
-    import regex
-
-    ids = np.frombuffer(byte_bpe._encoded(regex.compile(public_tokenizers.PATTERN), KNOWN, text), "<u4")
+    ids = np.frombuffer(byte_bpe.encoded(SPLITTER, KNOWN, text), "<u4")
     assert ids.tolist() == OTHER.encode_ordinary(text)
 
 
@@ -69,17 +68,16 @@ def test_nulls_repeats_extra_columns_and_empty_tables(spark):
 
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 3000, "the cat " * 50_000])
 def test_long_texts(text):
-    import regex
-
-    ids = np.frombuffer(byte_bpe._encoded(regex.compile(public_tokenizers.PATTERN), KNOWN, text), "<u4")
+    ids = np.frombuffer(byte_bpe.encoded(SPLITTER, KNOWN, text), "<u4")
     assert ids.tolist() == OTHER.encode_ordinary(text)
 
 
 def test_white_space_and_letters_as_in_the_library():
-    import regex
-
-    match_of = regex.compile(public_tokenizers.PATTERN)
     for start in range(0, 0x3100, 64):
         text = "".join(f"a{chr(c)}b 1{chr(c)} " for c in range(start, start + 64))
-        ids = np.frombuffer(byte_bpe._encoded(match_of, KNOWN, text), "<u4")
+        ids = np.frombuffer(byte_bpe.encoded(SPLITTER, KNOWN, text), "<u4")
         assert ids.tolist() == OTHER.encode_ordinary(text), hex(start)
+
+
+def test_latin_texts_have_a_pattern_of_their_own():
+    assert type(SPLITTER.latin).__module__ == "re"

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe, token_files
+from dialogprep.llm import byte_bpe, token_files, topk
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
 
@@ -30,9 +30,35 @@ def token_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: the 20 best inner products of every 20th vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 QUERIES = {
+    "op10_exact_topk": top_k,
     "op9_token_files": token_files_roundtrip,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_exact_topk": """
+        WITH usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}

@@ -1,14 +1,30 @@
 """The registered queries of the training-data operators."""
 
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe, token_files, topk
+from dialogprep.llm import byte_bpe, licenses, token_files, topk, word_pieces
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
 
 
+def word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2: greedy word pieces of every text over a public vocabulary."""
+    model = sentencepiece.SentencePieceProcessor(
+        model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ordinary = (model.id_to_piece(i) for i in range(model.get_piece_size())
+                if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+    return word_pieces.count(
+        table(spark, sf_dir, "documents"), *word_pieces.marked_pieces(ordinary))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: licence notices and texts within every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES)
+
+
 def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: ids of every text and the text decoded from them, as digests."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -37,6 +53,8 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_word_piece_counts": word_piece_counts,
+    "op3_license_scan": license_scan,
     "op10_exact_topk": top_k,
     "op9_token_files": token_files_roundtrip,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,

@@ -5,11 +5,21 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe, licenses, token_files, topk, word_pieces
+from dialogprep.llm import byte_bpe, languages, licenses, token_files, topk, word_pieces
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
 
 
+def language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: the language of every text, learned from the documents not held out."""
+    held_out = F.coalesce(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    predicted = languages.predict(docs, languages.learn(docs.where(~held_out)))
+    return predicted.select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: greedy word pieces of every text over a public vocabulary."""
     model = sentencepiece.SentencePieceProcessor(
@@ -53,6 +63,7 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_mixtures": language_mixtures,
     "op2_word_piece_counts": word_piece_counts,
     "op3_license_scan": license_scan,
     "op10_exact_topk": top_k,

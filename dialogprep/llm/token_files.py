@@ -17,10 +17,14 @@ equal ids follow each other in the order of their size and content. An empty
 table makes an empty file set.
 """
 
+import json
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,48 +39,103 @@ CODE_LIMIT = 20
 EVERY = 256
 BLOCK_IDS = 1 << 18
 
-# Words whose ids each worker keeps, and words given to the library at once.
-MAX_REMEMBERED = 400_000
+# Parts whose ids each worker keeps, and parts given to the library at once.
+MAX_REMEMBERED = 600_000
 WORDS_AT_ONCE = 256
 
 
-class WordTokenizer:
-    """The library's encoding of whole texts, asked once for each distinct word.
+# How the tokenizer of ``word_bpe_49k.json`` prepares a text.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _latin_parts() -> re.Pattern:
+    """``SPLIT`` for lower-cased texts of characters up to U+00FF."""
+    parts = re.split(r"(\\p\{[LN]\}|\\s)", SPLIT)  # every class stands within brackets
+    return re.compile("".join(
+        "".join(f"\\x{i:02x}" for i in range(256) if regex.match(part, chr(i))) if k % 2 else part
+        for k, part in enumerate(parts)))
+
 
-    Valid for tokenizers that drop white space and split there, as the one of
-    ``word_bpe_49k.json`` does: no token and no normalisation crosses it.
+class WordTokenizer:
+    """The library's encoding of whole texts, asked once for each distinct part.
+
+    Valid for tokenizers that drop white space and split there, so that parts
+    between ASCII white space are encoded independently. If the tokenizer
+    prepares texts as ``word_bpe_49k.json`` does, a text of characters up to
+    U+00FF without ``<|`` is cut into the smaller parts that the library itself
+    would make of it: such texts are in normal form C, and their characters are
+    put in lower case one by one.
     """
 
     def __init__(self, definition: str):
         self.library = Tokenizer.from_str(definition)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str | bytes, bytes] = {}
+        self.latin = _latin_parts() if _prepares_alike(definition) else None
 
-    def encode(self, data: bytes) -> bytes:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for words in word_lists(data):
-            self.learn(words)
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.known))
-        if not new:
-            return
-        if len(self.known) + len(new) > MAX_REMEMBERED:
+        if len(texts) == 1:
+            return [b"".join(b"".join(self._known([p])) for p in self._parts(texts[0]))]
+        return self._known([[p for some in self._parts(t) for p in some] for t in texts])
+
+    def _parts(self, data: bytes) -> Iterator[list]:
+        if self.latin is not None and b"<|" not in data:
+            try:
+                text = data.decode()
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                if len(text) <= SLICE_BYTES:
+                    yield self.latin.findall(text.lower())
+                else:
+                    found = (m.group() for m in self.latin.finditer(text.lower()))
+                    while some := list(islice(found, 1 << 16)):
+                        yield some
+                return
+        yield from word_lists(data)
+
+    def _known(self, lists: list[list]) -> list[bytes]:
+        new = set()
+        for parts in lists:
+            new.update(set(parts).difference(self.known))
+        if new and len(self.known) + len(new) > MAX_REMEMBERED:
             self.known.clear()
-            new = list(set(words))
+            new = set().union(*lists)
+        self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, parts)) for parts in lists]
+
+    def _learn(self, new: list) -> None:
         for start in range(0, len(new), WORDS_AT_ONCE):
             some = new[start:start + WORDS_AT_ONCE]
-            texts = [w.decode() for w in some]
+            texts = [w if isinstance(w, str) else w.decode() for w in some]
             encoded = self.library.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
             begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
             at = np.array([begin for begin, _ in encoded.offsets], np.int64)
             cuts = np.searchsorted(at, begins).tolist()
+            packed = ids.tobytes()
             self.known.update(
-                (w, ids[a:b].tobytes()) for w, a, b in zip(some, cuts, cuts[1:])
-            )
+                (w, packed[4 * a:4 * b]) for w, a, b in zip(some, cuts, cuts[1:]))
+
+
+def _prepares_alike(definition: str) -> bool:
+    given = json.loads(definition)
+    try:
+        split, level = given["pre_tokenizer"]["pretokenizers"]
+        steps = given["normalizer"]["normalizers"]
+        return (
+            [s["type"] for s in steps] == NORMALIZERS
+            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and (split["type"], split["pattern"]) == ("Split", {"Regex": SPLIT})
+            and (split["behavior"], split["invert"]) == ("Removed", True)
+            and (level["type"], level["use_regex"]) == ("ByteLevel", False)
+            and not level["add_prefix_space"]
+            and all(t["content"].startswith("<|") for t in given["added_tokens"])
+        )
+    except (KeyError, TypeError, ValueError):
+        return False
 
 
 def encode(docs: DataFrame, definition: str, end_id: int,
@@ -89,10 +148,7 @@ def encode(docs: DataFrame, definition: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = per_worker(shared, WordTokenizer)
         for batch in row_slices(batches, "text"):
-            texts = binaries(batch.column("text"))
-            if len(texts) > 1:
-                tokenizer.learn([w for t in texts for w in t.split()])
-            ids = [tokenizer.encode(t) + end for t in texts]
+            ids = [i + end for i in tokenizer.encode(binaries(batch.column("text")))]
             yield record_batch(schema, batch.column("doc_id"), [len(i) // 4 for i in ids], ids)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -34,9 +34,20 @@ def test_query_equals_the_library(spark, con):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=50) | st.text(alphabet="aB'sé́ͅİς \n \x1c<|endoftext|>9", max_size=60))
-def test_words_equal_whole_texts(text):
-    assert np.frombuffer(OWN.encode(text.encode()), "<u4").tolist() == library_ids(text)
+@given(st.text(max_size=50) | st.text(alphabet="aB'sé́ͅİς \n \x1c<|endoftext|>9", max_size=60)
+       | st.text(alphabet=[chr(i) for i in range(256)], max_size=60)
+       | st.text(alphabet="aBstÉmdreµª²'\x85\xa0 .", max_size=40))
+def test_parts_equal_whole_texts(text):
+    assert np.frombuffer(OWN.encode([text.encode()])[0], "<u4").tolist() == library_ids(text)
+    two = OWN.encode([text.encode(), b"a"])
+    assert np.frombuffer(two[0], "<u4").tolist() == library_ids(text)
+
+
+def test_latin_texts_take_the_smaller_parts():
+    assert OWN.latin is not None
+    assert list(OWN._parts("Don't été,12".encode())) == [["don", "'t", "été", ",", "1", "2"]]
+    other = token_files.WordTokenizer(DEFINITION.replace("NFC", "NFD"))
+    assert other.latin is None and list(other._parts(b"a b,")) == [[b"a", b"b,"]]
 
 
 @given(st.lists(st.integers(0, 10**6), min_size=1, max_size=60), st.integers(6, 20))

@@ -5,7 +5,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe, languages, licenses, token_files, topk, word_pieces
+from dialogprep.llm import byte_bpe, languages, licenses, suffix_dedup, token_files, topk, word_pieces
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
 
@@ -35,6 +35,14 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES)
 
 
+def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: what remains of every text without repeated strings of 100 bytes."""
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=100).select(
+        "rest.doc_id", "n_bytes", "n_removed", "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: ids of every text and the text decoded from them, as digests."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -68,6 +76,7 @@ QUERIES = {
     "op3_license_scan": license_scan,
     "op10_exact_topk": top_k,
     "op9_token_files": token_files_roundtrip,
+    "op5_suffix_dedup": suffix_dedup_digest,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
 }
 

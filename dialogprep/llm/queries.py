@@ -5,7 +5,9 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialogprep.llm import byte_bpe, languages, licenses, suffix_dedup, token_files, topk, word_pieces
+from dialogprep.llm import (
+    byte_bpe, jaccard, languages, licenses, suffix_dedup, token_files, topk, word_pieces,
+)
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
 
@@ -43,6 +45,12 @@ def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: components of documents that share nine tenths of their 3-word shingles."""
+    joined = jaccard.join(table(spark, sf_dir, "documents"), words=3, share_=(90, 100))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: ids of every text and the text decoded from them, as digests."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -77,6 +85,7 @@ QUERIES = {
     "op10_exact_topk": top_k,
     "op9_token_files": token_files_roundtrip,
     "op5_suffix_dedup": suffix_dedup_digest,
+    "op8_jaccard_join": jaccard_join,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
 }
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import (
-    byte_bpe, jaccard, languages, licenses, suffix_dedup, token_files, topk, word_pieces,
+    byte_bpe, decontaminate, jaccard, languages, licenses, suffix_dedup, token_files, topk,
+    word_pieces,
 )
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
@@ -37,6 +38,12 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.TEMPLATES)
 
 
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: passages of benchmark items within every document."""
+    return decontaminate.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: what remains of every text without repeated strings of 100 bytes."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=100).select(
@@ -84,6 +91,7 @@ QUERIES = {
     "op3_license_scan": license_scan,
     "op10_exact_topk": top_k,
     "op9_token_files": token_files_roundtrip,
+    "op4_benchmark_passages": benchmark_passages,
     "op5_suffix_dedup": suffix_dedup_digest,
     "op8_jaccard_join": jaccard_join,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,

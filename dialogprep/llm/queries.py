@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import (
-    byte_bpe, decontaminate, jaccard, languages, licenses, suffix_dedup, token_files, topk,
-    word_pieces,
+    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, suffix_dedup, token_files,
+    topk, word_pieces,
 )
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
@@ -52,6 +52,15 @@ def suffix_dedup_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: log-probabilities of every text, learned from the documents not held out."""
+    held_out = F.coalesce(
+        F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(True))
+    scored = lm_score.score(table(spark, sf_dir, "documents"), learned=~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8: components of documents that share nine tenths of their 3-word shingles."""
     joined = jaccard.join(table(spark, sf_dir, "documents"), words=3, share_=(90, 100))
@@ -94,6 +103,7 @@ QUERIES = {
     "op4_benchmark_passages": benchmark_passages,
     "op5_suffix_dedup": suffix_dedup_digest,
     "op8_jaccard_join": jaccard_join,
+    "op6_recurrent_scores": recurrent_scores,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
 }
 

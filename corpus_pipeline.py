@@ -7,10 +7,15 @@ from dialogprep.llm.common import stored, table
 
 # (name, function of (spark, docs, sf_dir)); each stage reads what the one before it wrote.
 STAGES = [
+    ("language_id", pipeline.identify_languages),
+    ("jaccard_join", pipeline.drop_near_duplicates),
+    ("suffix_dedup", pipeline.cut_repeats),
+    ("decontamination", pipeline.drop_benchmark_passages),
     ("byte_bpe", pipeline.encode_bytes),
 ]
 
-# Encoding, edit distances and likelihoods have no SQL form.
+# Likelihoods, edit distances and merges have no SQL form; tests/llm/test_pipeline.py has the
+# brute-force version.
 ORACLE_SQL = None
 
 

@@ -52,6 +52,8 @@ SCAN_COST = 2.0
 COMMON, SEEN, MOST_COMMON = 32, 4, 1 << 18
 SHINGLES_AT_ONCE = 1 << 21
 
+_NO_ID = -(2**63)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _SPACE = np.zeros(256, bool)
@@ -493,9 +495,10 @@ def _units():
 
 def join(docs: DataFrame, words: int, share_: tuple[int, int],
          id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, n_shingles, component_id) of every row of ``docs``.
+    """(doc_id, h, n_shingles, component_id, a, b) of every row of ``docs``.
 
-    ``share_`` is the least similarity as a fraction. ``h`` is a hash of the text.
+    ``share_`` is the least similarity as a fraction. ``h`` is a hash of the text;
+    ``a`` and ``b`` together name the component also where no id is known.
     """
     steps = Join(docs, words, share_, id_col, text)
     _, roots = steps.links()
@@ -505,4 +508,26 @@ def join(docs: DataFrame, words: int, share_: tuple[int, int],
     least = own.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, ["a", "b"], "left").select(
         "doc_id", "h", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "a", "b")
+
+
+def one_of_each(docs: DataFrame, words: int, share_: tuple[int, int],
+                id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their components.
+
+    Of each component the row with the least id stays (a null id comes last, equal
+    ids in the order of a hash of the text), of repeated rows one. Documents with
+    an empty set are no copies of each other and stay. The texts are shuffled once.
+    """
+    joined = join(docs, words, share_, id_col, text)
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = joined.where("n_shingles > 0").groupBy("a", "b").agg(F.min(mine).alias("one"))
+    empty = joined.where("n_shingles = 0").select("doc_id", "h").distinct()
+    keys = first.select("one.doc_id", "one.h").unionByName(empty).select(
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("_d"), F.col("h").alias("_h"))
+    marked = docs.withColumns({
+        "_d": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)),
+        "_h": F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int")})
+    kept = marked.join(keys.hint("shuffle_hash"), ["_d", "_h"], "left_semi")
+    return kept.dropDuplicates(["_d", "_h"]).select(*docs.columns)

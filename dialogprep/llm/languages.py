@@ -242,3 +242,22 @@ def predict(docs: DataFrame, counts: dict[str, np.ndarray],
     return narrow.mapInArrow(
         run, "doc_id long, lang_pred string, score double, languages array<string>, "
              "proportions array<double>")
+
+
+def accept(docs: DataFrame, counts: dict[str, np.ndarray], least: float,
+           text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, of which one language makes up ``least``."""
+    shared = share(docs.sparkSession, counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = per_worker(shared, Model)
+        for batch in batches:
+            texts = batch.column(text)
+            for start, stop, features in batch_counts(texts, model.slice_bytes):
+                pi, _ = model.mixtures(stop - start, *features)
+                good = [bool(own.any() and own.max() >= least
+                             and _LETTER.search(texts[start + i].as_py() or ""))
+                        for i, own in enumerate(pi)]
+                yield batch.slice(start, stop - start).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -19,9 +19,12 @@ Documents with the same set are one unit. Units are paired size-aware:
 
 Lists are read twice. First each entry is paired with the leader of its list, the
 unit of compatible size with the fewest rare shingles, which links a group of
-copies without pairing all of them. Then all pairs of a list are made whose units
-are not in one component yet; nothing is left out. Every candidate is verified
-with the complete sets.
+copies without pairing all of them. Then all pairs of a list are looked at whose
+units are not in one component yet. Each set has a bitmap that tells, for each of
+``BITS`` classes of shingles, whether it holds an odd number of them; two sets
+differ in at least as many shingles as their bitmaps in bits, so pairs whose
+bitmaps differ too much are not made. No other pair is left out. Every candidate
+is verified with the complete sets.
 
 A null text, and one without words, has an empty set, links with nothing and is
 its own component. Rows with the same set are in one component whatever their
@@ -51,6 +54,7 @@ SCAN_COST = 2.0
 # once; the MOST_COMMON commonest are broadcast. They only choose the order of shingles.
 COMMON, SEEN, MOST_COMMON = 32, 4, 1 << 18
 SHINGLES_AT_ONCE = 1 << 21
+BITS = 512
 
 _NO_ID = -(2**63)
 
@@ -145,6 +149,12 @@ class Sets:
                 mark[filled] = np.add.reduceat(_mixed(self.shingle, seed), self.begin[filled])
             self.marks.append(mark.view(np.int64))
 
+    def bitmaps(self) -> list[bytes]:
+        """For each class of shingles whether the set holds an odd number of them."""
+        at = self.owner * BITS + (_mixed(self.shingle, 103) % np.uint64(BITS)).astype(np.int64)
+        odd = np.bincount(at, minlength=len(self.n) * BITS).reshape(-1, BITS) & 1
+        return [row.tobytes() for row in np.packbits(odd.astype(bool), axis=1)]
+
     def distinct(self) -> np.ndarray:
         """The first document of each set that is not empty."""
         _, first = np.unique(np.stack([*self.marks, self.n]), axis=1, return_index=True)
@@ -166,6 +176,10 @@ class Rule:
         """The smallest partner, and overlap, of a set of ``n``."""
         return -(-self.num * n // self.den)
 
+    def difference(self, both):
+        """The most shingles that only one of two sets holds, of ``both`` sizes together."""
+        return both * (self.den - self.num) // (self.den + self.num)
+
     def overlap(self, a: int, b: int) -> int:
         return -(-self.num * (a + b) // (self.num + self.den))
 
@@ -192,9 +206,10 @@ class Rule:
         return x_best
 
 
-PROFILE = "kind int, a long, b long, doc_id long, h int, n long"
+PROFILE = "kind int, a long, b long, doc_id long, h int, n long, bits binary"
 _PROFILE = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
-                      ("doc_id", pa.int64()), ("h", pa.int32()), ("n", pa.int64())])
+                      ("doc_id", pa.int64()), ("h", pa.int32()), ("n", pa.int64()),
+                      ("bits", pa.binary())])
 
 
 def _profiles(n: int):
@@ -207,7 +222,7 @@ def _profiles(n: int):
                 yield record_batch(
                     _PROFILE, np.zeros(stop - start, np.int32), *sets.marks,
                     batch.column("doc_id").slice(start, stop - start),
-                    batch.column("h").slice(start, stop - start), sets.n)
+                    batch.column("h").slice(start, stop - start), sets.n, sets.bitmaps())
                 own = np.isin(sets.owner, sets.distinct())
                 seen.append(sets.shingle[own])
                 size += len(seen[-1])
@@ -224,7 +239,7 @@ def _profiles(n: int):
         return record_batch(_PROFILE, np.ones(len(shingle), np.int32), shingle,
                             np.zeros(len(shingle), np.int64),
                             pa.nulls(len(shingle), pa.int64()), pa.nulls(len(shingle), pa.int32()),
-                            count)
+                            count, pa.nulls(len(shingle), pa.binary()))
 
     return run
 
@@ -334,7 +349,7 @@ def _led(rule: Rule):
 
 
 def _crossing(rule: Rule):
-    """Pairs of a list whose units have different labels, in blocks."""
+    """Pairs of a list whose units have different labels and can be similar, in blocks."""
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "la", "lb", "n")]
                        + [("weight", pa.int32())])
 
@@ -342,6 +357,8 @@ def _crossing(rule: Rule):
         for rows in _groups(batches, "key"):
             key, a, b, n, weight, ra, rb = (
                 rows.column(c).to_numpy() for c in ("key", "a", "b", "n", "weight", "ra", "rb"))
+            bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64)
+            bits = bits.reshape(len(key), BITS // 64)
             for at in range(0, len(key), 1024):
                 # each entry with all later ones of its list
                 stop = np.searchsorted(key, key[at:at + 1024], "right")
@@ -353,6 +370,9 @@ def _crossing(rule: Rule):
                     small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                     use = ((ra[i] != ra[j]) | (rb[i] != rb[j])) & (small >= rule.least(large))
                     i, j, small = i[use], j[use], small[use]
+                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+                    near = differ <= rule.difference(n[i] + n[j])
+                    i, j, small = i[near], j[near], small[near]
                     if not len(i):
                         continue
                     low = (a[i] < a[j]) | (a[i] == a[j]) & (b[i] < b[j])
@@ -404,7 +424,9 @@ class Join:
             F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int").alias("h"),
             F.coalesce(text, F.lit("")).alias("text"))
         rows = stored(self.texts.mapInArrow(_profiles(words), PROFILE), "profiles")
-        self.profiles = rows.where("kind = 0").drop("kind")
+        self.profiles = rows.where("kind = 0").drop("kind", "bits")
+        self.bitmaps = rows.where("kind = 0 and n > 0").groupBy("a", "b").agg(
+            F.first("bits").alias("bits"))
         commonest = (
             rows.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= COMMON).orderBy(F.desc("n"), "a").limit(MOST_COMMON)
@@ -466,7 +488,7 @@ class Join:
             F.min(F.struct("ra", "rb")).alias("low"), F.max(F.struct("ra", "rb")).alias("high"))
         mixed = mixed.where("low <> high").select("key")
         crossing = (
-            labelled.join(mixed, "key").repartition("key").sortWithinPartitions("key", "n", "a", "b")
+            labelled.join(mixed, "key").join(self.bitmaps, ["a", "b"]).repartition("key").sortWithinPartitions("key", "n", "a", "b")
             .mapInArrow(_crossing(self.rule), "a long, b long, la long, lb long, n long, weight int")
             .groupBy("a", "b", "la", "lb").agg(F.sum("weight").alias("met"), F.first("n").alias("n"))
         )

@@ -8,12 +8,14 @@ from dialogprep.operators.skew import flag_heavy
 
 USER, ASSISTANT = "user", "assistant"
 
-# A dialogue with more turns than this (or than one millionth of all turns) is
-# handed on in several parts instead of one row.
-MAX_WHOLE_TURNS = 10_000
-TURNS_PER_PART = 4_096
+# From this many turns on, and a millionth of all turns, a dialogue is put together
+# from blocks of TURNS_PER_BLOCK turns.
+BLOCKED_TURNS = 10_000
+TURNS_PER_BLOCK = 4_096
 SECOND_HALF = 1 << 52
 
+NO_KEY = "no_key"
+
 
 def route_roles(turns: DataFrame, user=USER, assistant=ASSISTANT) -> DataFrame:
     """User turns become inputs, assistant turns targets; other roles go."""
@@ -43,38 +45,66 @@ def turn_order(order: str, assistant=ASSISTANT) -> Column:
     return F.when(F.col("role") == assistant, 1).otherwise(0)
 
 
+def unkeyed(turns: DataFrame) -> DataFrame:
+    """Turns of no dialogue, with a reason; ``nest_turns`` and samples leave them out."""
+    return turns.filter(F.col("conv_id").isNull()).withColumn("reason", F.lit(NO_KEY))
+
+
 def nest_turns(
     turns: DataFrame,
-    order: str = "grouped",
     user=USER,
     assistant=ASSISTANT,
-    max_whole_turns: int = MAX_WHOLE_TURNS,
-    turns_per_part: int = TURNS_PER_PART,
+    turns_per_block: int = TURNS_PER_BLOCK,
+    floor: int = BLOCKED_TURNS,
     share: float = 1e-6,
 ) -> DataFrame:
-    """(conv_id, part, conversations) from (conv_id, turn, role, text) rows.
+    """(conv_id, conversations) from (conv_id, turn, role, text) rows, in turn order.
 
-    An ordinary dialogue is one row with part 0. A heavy one is cut into blocks
-    of turns with increasing part numbers, so that no group is unbounded; its
-    text is the parts' text in part order. For the grouped order a block holds
-    turns of one half only.
+    Every dialogue is one row whatever its length. The turns of a heavy one are
+    sorted in blocks first, in as many tasks, and the blocks are then joined, so
+    that only finished blocks meet in the task that writes the row.
     """
-    half = turn_order(order, assistant)
-    block = half * F.lit(SECOND_HALF) + F.expr(f"turn div {int(turns_per_part)}") + 1
-    flagged = flag_heavy(turns, ["conv_id"], "_heavy", max_whole_turns, share)
+    flagged = flag_heavy(
+        turns.filter(F.col("conv_id").isNotNull()), ["conv_id"], "_heavy", floor, share
+    )
     who = (
         F.when(F.col("role") == user, "human")
         .when(F.col("role") == assistant, "gpt")
         .otherwise(F.col("role"))
     )
     entry = F.struct("turn", who.alias("from"), F.col("text").alias("value"))
-    return (
-        flagged.withColumn("part", F.when(F.col("_heavy"), block).otherwise(F.lit(0)).cast("long"))
-        .groupBy("conv_id", "part")
+    block = F.when(F.col("_heavy"), F.expr(f"turn div {int(turns_per_block)}") + 1).otherwise(0)
+    blocks = (
+        flagged.withColumn("_block", block.cast("long")).groupBy("conv_id", "_block")
         .agg(F.sort_array(F.collect_list(entry)).alias("_turns"))
-        .select("conv_id", "part", F.transform(
-            "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
-        ).alias("conversations"))
+    )
+    joined = blocks.filter("_block > 0").groupBy("conv_id").agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("_block", "_turns")))["_turns"]).alias("_turns")
+    )
+    whole = blocks.filter("_block = 0").select("conv_id", "_turns").unionByName(joined)
+    return whole.select("conv_id", F.transform(
+        "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
+    ).alias("conversations"))
+
+
+def dialogue_blocks(
+    turns: DataFrame, order: str = "grouped", user=USER, assistant=ASSISTANT,
+    turns_per_block: int = TURNS_PER_BLOCK,
+) -> DataFrame:
+    """(conv_id, part, text): the rendered text of every dialogue in blocks of turns.
+
+    For texts that are not wanted in one row. The text is the parts' text in the
+    order of ``part``; in the grouped order a part holds turns of one half.
+    """
+    part = (
+        turn_order(order, assistant) * F.lit(SECOND_HALF)
+        + F.expr(f"turn div {int(turns_per_block)}") + 1
+    )
+    entry = F.struct("turn", template_turn(user, assistant).alias("text"))
+    return (
+        turns.filter(F.col("conv_id").isNotNull()).withColumn("part", part)
+        .groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(entry))["text"].alias("_texts"))
+        .select("conv_id", "part", F.array_join("_texts", "").alias("text"))
     )
 
 

@@ -11,6 +11,8 @@ def heavy_keys(df: DataFrame, keys: list[str], floor: int, share: float) -> Data
     is what makes the result fit for a broadcast. Counting combines map-side, so
     a hot key costs one partial row per task; the total comes from the counts.
     """
+    if not share > 0:
+        raise ValueError("share must be above 0: it bounds the number of heavy keys")
     present = df
     for key in keys:
         present = present.filter(F.col(key).isNotNull())

@@ -12,7 +12,7 @@ from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
 from dialogprep.operators.render import (
-    ASSISTANT, MAX_WHOLE_TURNS, USER, template_turn, turn_order,
+    ASSISTANT, BLOCKED_TURNS, USER, template_turn, turn_order,
 )
 from dialogprep.operators.skew import cut_heavy, keep_first, salted_join
 
@@ -151,7 +151,7 @@ def encode_turns(
 def sample_ids(
     turns: DataFrame, vocabulary: Codebook | DataFrame, length: int = fixed.MAX_LENGTH,
     order: str = "grouped", user=USER, assistant=ASSISTANT,
-    heavy_floor: int = MAX_WHOLE_TURNS, heavy_share: float = 1e-6,
+    heavy_floor: int = BLOCKED_TURNS, heavy_share: float = 1e-6,
 ) -> DataFrame:
     """(conv_id, ids, supervised): each dialogue cut to ``length`` ids.
 
@@ -160,11 +160,12 @@ def sample_ids(
     per dialogue is bounded however long the dialogue is, and a heavy
     dialogue's other turns go before they are encoded. Turns are encoded where
     they are read, so at most ``length`` ids per turn are shuffled, once.
-    ``supervised`` flags assistant tokens behind the turn header.
+    ``supervised`` flags assistant tokens behind the turn header. Turns without a
+    ``conv_id`` belong to no sample (``render.unkeyed``).
     """
     kept = F.col("role").isin(user, assistant)
     most = -(-length // fixed.MIN_TURN_TOKENS)
-    placed = turns.withColumn(
+    placed = turns.filter(F.col("conv_id").isNotNull()).withColumn(
         "half", F.when(kept, turn_order(order, assistant)).otherwise(F.lit(2))
     )
     usable = cut_heavy(placed, "conv_id", ["half", "turn"], most, heavy_floor, heavy_share)

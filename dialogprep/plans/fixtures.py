@@ -20,9 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Nested records; the image is named after the dialogue."""
-    nested = render.nest_turns(table(spark, folder, "conversations"), "interleaved")
+    nested = render.nest_turns(table(spark, folder, "conversations"))
     return nested.select(
-        F.col("conv_id").alias("sample_id"), "part",
+        F.col("conv_id").alias("sample_id"),
         F.concat((F.col("conv_id") * 7).cast("string"), F.lit(".png")).alias("image"),
         "conversations",
     )

@@ -224,14 +224,12 @@ FROM samples JOIN text_part t USING (conv_id) JOIN image_part i USING (conv_id)"
 
 
 def _parts() -> str:
-    """Dialogues of more than four turns come as blocks of three turn numbers per half."""
+    """Every dialogue comes as blocks of three turn numbers per half."""
     return f"""WITH {ROUTED},
-sized AS (SELECT conv_id, count(*) > 4 AS heavy FROM conversations GROUP BY conv_id),
 blocks AS (
-  SELECT conv_id, turn, role, CASE WHEN heavy THEN
-           CASE role WHEN 'assistant' THEN 1 ELSE 0 END * 4503599627370496 + turn // 3 + 1
-         ELSE 0 END AS part
-  FROM conversations JOIN sized USING (conv_id)
+  SELECT conv_id, turn,
+         CASE role WHEN 'assistant' THEN 1 ELSE 0 END * 4503599627370496 + turn // 3 + 1 AS part
+  FROM conversations
 )
 SELECT b.conv_id, part, coalesce(string_agg(rendered, '' ORDER BY half, b.turn), '') AS text
 FROM blocks b LEFT JOIN routed r ON b.conv_id = r.conv_id AND b.turn = r.turn
@@ -268,7 +266,7 @@ ORACLES = {
 SELECT idx, conv_id, turn, role, text FROM conversations JOIN keys USING (conv_id)
 WHERE idx IN (0, 7, 19)""",
     "optional_defaults": f"""WITH {DIALOGUES}
-SELECT conv_id AS sample_id, 0::BIGINT AS part, CASE WHEN n_replies > 0 THEN n_turns ELSE 0 END AS n_turns,
+SELECT conv_id AS sample_id, CASE WHEN n_replies > 0 THEN n_turns ELSE 0 END AS n_turns,
        CASE WHEN n_replies > 0 THEN text ELSE '' END AS text FROM dialogues""",
     "image_path": """SELECT conv_id, turn, CASE role WHEN 'system' THEN '/elsewhere/' ELSE 'data/images/' END
        || conv_id * 7 || '.png' AS path FROM conversations""",
@@ -283,9 +281,9 @@ FROM conversations LEFT JOIN embeddings ON conv_id % 5 * 7 = vec_id""",
     "role_routing": """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'input' ELSE 'target' END AS slot, text
 FROM conversations WHERE role IN ('user', 'assistant')""",
     "render_turns": f"WITH {ROUTED} SELECT conv_id, turn, rendered FROM routed",
-    "dialogue_grouped": f"WITH {DIALOGUES} SELECT conv_id, 0::BIGINT AS part, text FROM dialogues",
+    "dialogue_grouped": f"WITH {DIALOGUES} SELECT conv_id, text FROM dialogues",
     "dialogue_interleaved": f"""WITH {ROUTED}
-SELECT conv_id, 0::BIGINT AS part, coalesce(string_agg(rendered, '' ORDER BY c.turn), '') AS text
+SELECT conv_id, coalesce(string_agg(rendered, '' ORDER BY c.turn), '') AS text
 FROM conversations c LEFT JOIN routed r USING (conv_id, turn) GROUP BY conv_id""",
     "dialogue_parts": _parts(),
     "generation_prompt": """SELECT conv_id, turn, '<|im_start|>user' || chr(10) ||
@@ -417,7 +415,7 @@ GROUP BY conv_id, turn""",
     "tokenizer_hook": f"""SELECT conv_id, turn,
        {csv("list_transform(string_split(text, ''), lambda c: unicode(c))")} AS ids FROM conversations""",
     "json_roundtrip": f"""WITH {DIALOGUES}
-SELECT conv_id AS sample_id, 0::BIGINT AS part, conv_id * 7 || '.png' AS image, n_turns, text FROM dialogues""",
+SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, n_turns, text FROM dialogues""",
     "corrupt_quarantine": """WITH lines AS (
   SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id
 )
@@ -448,7 +446,7 @@ SELECT vec_id AS image_id, patch_pos::INTEGER AS patch_pos,
        {patch_mean('blue', 0.40821073, 0.27577711)} AS blue
 FROM planes JOIN spots ON vec_id % 50 < 48""",
     "stream_dialogues": f"""WITH {DIALOGUES}
-SELECT conv_id AS sample_id, 0::BIGINT AS part, conv_id * 7 || '.png' AS image, text FROM dialogues""",
+SELECT conv_id AS sample_id, conv_id * 7 || '.png' AS image, text FROM dialogues""",
 }
 
 # Sizes and positions are 32-bit in Spark.

@@ -85,7 +85,7 @@ def optional_defaults(spark, sf):
         "conversations", F.when(has_reply, F.col("conversations"))
     )
     return absent.select(
-        "sample_id", "part", F.size(tx.defaulted("conversations")).alias("n_turns"),
+        "sample_id", F.size(tx.defaulted("conversations")).alias("n_turns"),
         tx.grouped_dialogue("conversations").alias("text"),
     )
 
@@ -138,23 +138,20 @@ def render_turns(spark, sf):
 
 @query
 def dialogue_grouped(spark, sf):
-    nested = render.nest_turns(_turns(spark, sf), "grouped")
-    return render.dialogue_text(nested, "grouped").select("conv_id", "part", "text")
+    nested = render.nest_turns(_turns(spark, sf))
+    return render.dialogue_text(nested, "grouped").select("conv_id", "text")
 
 
 @query
 def dialogue_interleaved(spark, sf):
-    nested = render.nest_turns(_turns(spark, sf), "interleaved")
-    return render.dialogue_text(nested, "interleaved").select("conv_id", "part", "text")
+    nested = render.nest_turns(_turns(spark, sf))
+    return render.dialogue_text(nested, "interleaved").select("conv_id", "text")
 
 
 @query
 def dialogue_parts(spark, sf):
-    """Grouped text with a low limit, so that longer dialogues come in parts."""
-    nested = render.nest_turns(
-        _turns(spark, sf), "grouped", max_whole_turns=4, turns_per_part=3, share=0.0
-    )
-    return render.dialogue_text(nested, "grouped").select("conv_id", "part", "text")
+    """Grouped text of every dialogue in blocks of three turn numbers."""
+    return render.dialogue_blocks(_turns(spark, sf), "grouped", turns_per_block=3)
 
 
 @query
@@ -679,7 +676,7 @@ def json_roundtrip(spark, sf):
 
 def _described(df):
     return df.select(
-        "sample_id", "part", "image", F.size(tx.defaulted("conversations")).alias("n_turns"),
+        "sample_id", "image", F.size(tx.defaulted("conversations")).alias("n_turns"),
         tx.grouped_dialogue("conversations").alias("text"),
     )
 
@@ -688,7 +685,7 @@ def _described(df):
 def corrupt_quarantine(spark, sf):
     """Every tenth line is cut off in the middle."""
     out = scratch_dir(spark, "landing")
-    line = F.to_json(F.struct("sample_id", "part", "image", "conversations"))
+    line = F.to_json(F.struct("sample_id", "image", "conversations"))
     cut = F.when(F.col("sample_id") % 10 == 0, F.substring(line, 1, 40)).otherwise(line)
     fx.records(spark, sf).select(cut.alias("value")).write.text(out)
     good, bad = records.read_with_quarantine(spark, out)

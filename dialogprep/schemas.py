@@ -11,7 +11,6 @@ CORRUPT = "_corrupt_record"
 
 RECORD = T.StructType([
     T.StructField("sample_id", T.LongType()),
-    T.StructField("part", T.LongType()),
     T.StructField("image", T.StringType()),
     T.StructField("conversations", T.ArrayType(TURN)),
 ])

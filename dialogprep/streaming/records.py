@@ -1,7 +1,6 @@
 """The row-local operators over arriving record files; stateless."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dialogprep import fixed, schemas
 from dialogprep.functions import text as tx
@@ -25,7 +24,7 @@ def stream_dialogues(spark: SparkSession, folder: str, order: str = "grouped") -
     """Rendered dialogues of arriving records."""
     records = read_stream(spark, folder)
     return records.select(
-        "sample_id", F.coalesce("part", F.lit(0)).alias("part"), "image",
+        "sample_id", "image",
         tx.dialogue("conversations", order).alias("text"),
     )
 

@@ -130,7 +130,7 @@ def test_nested_and_long_forms_agree(spark, turns):
     book = tokens.load_codebook(jobs.corpus_vocabulary(turns, 200))
     for order in ("grouped", "interleaved"):
         for policy in jobs.LABELS:
-            nested = render.nest_turns(turns, "interleaved").select(
+            nested = render.nest_turns(turns).select(
                 F.col("conv_id").alias("sample_id"), F.lit(None).cast("string").alias("image"),
                 "conversations")
             a = jobs.prepare_records(nested, book, 90, order, policy, pad=False).drop("image")

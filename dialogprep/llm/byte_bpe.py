@@ -17,6 +17,7 @@ import base64
 import re
 from collections.abc import Iterator
 from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,17 +44,11 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class _Link:
-    """A token boundary: the token that ends here and the boundary where it begins."""
-
-    __slots__ = ("token", "back", "depth")
-
-    def __init__(self, token: int | None, back: "_Link | None", depth: int):
-        self.token, self.back, self.depth = token, back, depth
-
-
-# The live places: (vocabulary trie node reached from there, boundary there), oldest first.
-Live = list[tuple[int, _Link]]
+# A token boundary: (the token that ends here, the boundary where it begins, depth).
+Link = tuple[int | None, "Link | None", int]
+# The live places: (bytes that go on from there in the vocabulary, boundary there), oldest
+# first. The bytes lead to (token that ends, bytes that go on).
+Live = list[tuple[dict, Link]]
 
 
 class _State:
@@ -67,6 +62,13 @@ class _State:
         self.flush: bytes | None = None
 
 
+_depth = itemgetter(2)
+
+
+def _pair(first: int | None, second: int) -> int:
+    return ~second if first is None else first << 32 | second
+
+
 class Transducer:
     """Encodes pieces of text byte by byte.
 
@@ -77,39 +79,38 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.packed = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
-        self._child: dict[int, int] = {}
-        self._token_at: list[int | None] = [None]
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._tree: dict = {}
+        self._fits: dict[int, bool] = {}
         self._history: dict[int, list[tuple[float, bytes, bytes]]] = {}
         for token, rank in ranks.items():
             self._add(token, rank)
         self._remembered = _Remembered(self.encode_piece)
         self._states: dict = {}
         self._transitions = 0
-        self.root = self._state([(0, _Link(None, None, 0))])
+        self.root = self._state([(self._tree, (None, None, 0))])
 
     def _add(self, token: bytes, rank: int) -> None:
-        node = 0
-        for byte in token:
-            key = node << 8 | byte
-            if key not in self._child:
-                self._child[key] = len(self._token_at)
-                self._token_at.append(None)
-            node = self._child[key]
-        self._token_at[node] = rank
+        tree = self._tree
+        for byte in token[:-1]:
+            known, more = tree.get(byte, (None, None))
+            if more is None:
+                more = {}
+                tree[byte] = known, more
+            tree = more
+        tree[token[-1]] = rank, tree.get(token[-1], (None, None))[1]
         self._history[rank] = token  # replaced by its merges when they are first needed
 
     def _state(self, live: Live) -> _State:
-        key = tuple((node, *self._path(link)) for node, link in live)
+        key = tuple([(id(tree), *self._path(link)) for tree, link in live])
         if key not in self._states:
             self._states[key] = _State(live)
         return self._states[key]
 
     @staticmethod
-    def _path(link: _Link | None) -> Iterator[int | None]:
+    def _path(link: Link | None) -> Iterator[int | None]:
         while link is not None:
-            yield link.token
-            link = link.back
+            yield link[0]
+            link = link[1]
 
     def merges(self, data: bytes) -> Iterator[tuple[float, list[bytes]]]:
         """The definition: join the neighbours of lowest rank, the first of equals, until none
@@ -132,14 +133,12 @@ class Transducer:
         return known
 
     def _follows(self, first: int | None, second: int) -> bool:
-        """Whether merges alone make ``second`` and leave it behind ``first``."""
-        known = self._fits.get((first, second))
-        if known is None:
-            if len(self._fits) >= MAX_PAIRS:
-                self._fits.clear()
-            made = self._merges_of(second)[-1]
-            known = made[1] is made[2] and (first is None or self._apart(first, second))
-            self._fits[first, second] = known
+        """Whether merges alone make ``second`` and leave it behind ``first``; remembered."""
+        if len(self._fits) >= MAX_PAIRS:
+            self._fits.clear()
+        made = self._merges_of(second)[-1]
+        known = made[1] is made[2] and (first is None or self._apart(first, second))
+        self._fits[_pair(first, second)] = known
         return known
 
     def _apart(self, first: int, second: int) -> bool:
@@ -162,43 +161,48 @@ class Transducer:
 
     def _advance(self, live: Live, byte: int) -> Live:
         """The live places after one more byte; the last is the new end of the text."""
-        out, here = [], None
-        child_of, token_at = self._child, self._token_at
-        for node, link in live:
-            child = child_of.get(node << 8 | byte)
-            if child is not None:
-                out.append((child, link))
-                if here is None:
-                    token = token_at[child]
-                    if token is not None and self._follows(link.token, token):
-                        here = _Link(token, link, link.depth + 1)
-        out.append((0, here))
+        out, here, fits = [], None, self._fits
+        for tree, link in live:
+            found = tree.get(byte)
+            if found is None:
+                continue
+            token, more = found
+            if more is not None:
+                out.append((more, link))
+            if token is not None and here is None:
+                first = link[0]
+                known = fits.get(~token if first is None else first << 32 | token)
+                if known is None:
+                    known = self._follows(first, token)
+                if known:
+                    here = token, link, link[2] + 1
+        out.append((self._tree, here))
         return out
 
     def _settle(self, live: Live) -> tuple[bytes, Live]:
         """Emits what the chains of all live places share and bases them on its end."""
-        open_links, between = {link for _, link in live}, []
+        open_links, between = {id(link): link for _, link in live}, []
         while len(open_links) > 1:
-            link = max(open_links, key=lambda x: x.depth)
-            open_links.remove(link)
+            link = max(open_links.values(), key=_depth)
+            del open_links[id(link)]
             between.append(link)
-            open_links.add(link.back)
-        (cut,) = open_links
-        if cut.back is None:
+            open_links[id(link[1])] = link[1]
+        (cut,) = open_links.values()
+        if cut[1] is None:
             return b"", live
         emitted = self._tokens(cut)
         needed = any(link is cut for _, link in live)
-        moved = {cut: _Link(cut.token if needed else None, None, 0)}
+        moved = {id(cut): (cut[0] if needed else None, None, 0)}
         for link in reversed(between):
-            back = moved[link.back]
-            moved[link] = _Link(link.token, back, back.depth + 1)
-        return emitted, [(node, moved[link]) for node, link in live]
+            back = moved[id(link[1])]
+            moved[id(link)] = link[0], back, back[2] + 1
+        return emitted, [(tree, moved[id(link)]) for tree, link in live]
 
-    def _tokens(self, link: _Link) -> bytes:
+    def _tokens(self, link: Link) -> bytes:
         out = b""
-        while link.back is not None:
-            out = self.packed[link.token] + out
-            link = link.back
+        while link[1] is not None:
+            out = self.packed[link[0]] + out
+            link = link[1]
         return out
 
     def encode_piece(self, piece: bytes) -> bytes:

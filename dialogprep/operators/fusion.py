@@ -11,16 +11,40 @@ from pyspark.sql import functions as F
 
 from dialogprep.operators.skew import salted_join
 
-# Largest embedding table held by every Python worker, in bytes of float32: 152k
-# rows of 896 fit. It passes the driver once, below spark.driver.maxResultSize.
-MAX_SHARED_TABLE = 3 << 28
+# Largest embedding table held by every Python worker, in bytes of float32; it
+# passes the driver once. A larger one is joined.
+MAX_SHARED_TABLE = 1 << 27
 OUTPUT_BYTES = 1 << 26
 
-_erf = np.vectorize(math.erf, otypes=[np.float64])
+# erf by polynomials on equal pieces of [0, ERF_END]; beyond, it is 1 in double precision.
+ERF_END, ERF_PIECES, ERF_DEGREE = 6.0, 96, 8
+
+
+def _erf_pieces() -> np.ndarray:
+    """(degree + 1, pieces): coefficients through the values at Chebyshev nodes."""
+    nodes = np.cos((np.arange(ERF_DEGREE + 1) + 0.5) * np.pi / (ERF_DEGREE + 1))
+    at = (np.arange(ERF_PIECES)[:, None] + (nodes + 1) / 2) * (ERF_END / ERF_PIECES)
+    values = np.array([[math.erf(v) for v in row] for row in at])
+    return np.linalg.solve(np.vander(nodes, increasing=True), values.T)
+
+
+_ERF = _erf_pieces()
+
+
+def erf(x: np.ndarray) -> np.ndarray:
+    """The error function of an array, to about 1e-15."""
+    place = np.minimum(np.abs(x), ERF_END) * (ERF_PIECES / ERF_END)
+    piece = np.minimum(place.astype(np.int64), ERF_PIECES - 1)
+    u = 2 * (place - piece) - 1
+    out = _ERF[-1][piece]
+    for row in _ERF[-2::-1]:
+        out *= u
+        out += row[piece]
+    return np.copysign(out, x)
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)))
+    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -114,8 +138,9 @@ def load_vectors(table: DataFrame, width: int, limit: int = MAX_SHARED_TABLE) ->
 
 
 def lookup_shared(spark: SparkSession, ids: Column, matrix: np.ndarray) -> Column:
-    """ids -> vectors with the table on every worker; no shuffle.
+    """ids -> float vectors with the table on every worker; no shuffle.
 
+    An id that the table lacks, such as the reserved negative ones, gives null.
     A row of vectors is far larger than its ids, so batches go out in pieces.
     """
     shared = spark.sparkContext.broadcast(matrix)
@@ -125,8 +150,13 @@ def lookup_shared(spark: SparkSession, ids: Column, matrix: np.ndarray) -> Colum
         table = shared.value
         width = table.shape[1]
         for lists in _pieces(batches, lambda part: 4 * width * _longest(part)):
-            taken = table[lists.flatten().to_numpy(zero_copy_only=False)]
-            yield pa.ListArray.from_arrays(_offsets(lists), _rows(taken))
+            wanted = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            absent = (wanted < 0) | (wanted >= len(table))
+            taken = _rows(table[np.where(absent, 0, wanted)] if len(table) else
+                          np.zeros((len(wanted), width), np.float32))
+            if absent.any():
+                taken = pa.ListArray.from_arrays(taken.offsets, taken.values, mask=pa.array(absent))
+            yield pa.ListArray.from_arrays(_offsets(lists), taken)
 
     return apply(ids)
 
@@ -135,7 +165,9 @@ def lookup_by_join(
     df: DataFrame, key: list[str], ids: str, table: DataFrame, out: str = "vectors", **skew
 ) -> DataFrame:
     """(key, vectors) through a join, for a table too large to share; common
-    ids are salted. Samples are truncated, so a group is at most that long."""
+    ids are salted. Samples are truncated, so a group is at most that long.
+    Types and unknown ids are those of ``lookup_shared``."""
+    table = table.select("id", F.col("vec").cast("array<float>").alias("vec"))
     spread = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
     joined = salted_join(spread, table.select("id", "vec"), ["id"], [*key, "pos"], **skew)
     entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "vec"))

@@ -194,28 +194,28 @@ SELECT batch_id, idx, {csv(padded('v', 'width', value))} AS {column} FROM wide""
 
 
 def _looked_up() -> str:
-    return f"""WITH {samples(size=300)},
+    return f"""WITH {samples()},
 spots AS (SELECT conv_id, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM samples)
 SELECT conv_id, pos, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 6) AS total
-FROM spots JOIN embeddings ON id = vec_id"""
+FROM spots JOIN embeddings ON id % (SELECT count(*) FROM embeddings) = vec_id"""
 
 
 def _fused() -> str:
-    """Text: the first 8 of each id's vector. Image: four patches of 16, projected."""
+    """Text: each id's vector. Image: four patches of 16, projected to the same width."""
     patch = "list_slice(embedding, i * 16 + 1, i * 16 + 16)"
     hidden = f"list_transform({layer('patch', 8, 16, 4.0)}, lambda h: {GELU})"
-    return f"""WITH {IMAGES}, {samples(size=300)},
+    return f"""WITH {IMAGES}, {samples()},
 text_part AS (
-  SELECT s.conv_id, sum(list_sum(list_slice(e.embedding::DOUBLE[], 1, 8))) AS total
+  SELECT s.conv_id, sum(list_sum(e.embedding::DOUBLE[])) AS total
   FROM (SELECT conv_id, unnest({padded('ids', 512, 0)}) AS id FROM samples) s
-  JOIN embeddings e ON s.id = e.vec_id GROUP BY s.conv_id
+  JOIN embeddings e ON s.id % (SELECT count(*) FROM embeddings) = e.vec_id GROUP BY s.conv_id
 ),
 cut AS (
   SELECT conv_id, unnest(list_transform(range(4), lambda i: {patch})) AS patch FROM featured
 ),
 hidden AS (SELECT conv_id, {hidden} AS g FROM cut),
 image_part AS (
-  SELECT conv_id, sum(list_sum({layer('g', 8, 8, 4.0)})) AS total FROM hidden GROUP BY conv_id
+  SELECT conv_id, sum(list_sum({layer('g', 64, 8, 4.0)})) AS total FROM hidden GROUP BY conv_id
 )
 SELECT conv_id, 516 AS n_positions, round(t.total + i.total, 6) AS total,
        {csv(f"list_concat({fill(1, '4')}, {padded(fill(1, 'len(ids)'), 512, 0)})")} AS mask,

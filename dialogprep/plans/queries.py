@@ -350,15 +350,13 @@ def collate_batch(spark, sf):
 
 @query
 def embedding_lookup(spark, sf):
-    vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
-    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary))
+    samples = _samples(spark, sf)
     return _looked_up(fusion.embed(samples, ["conv_id"], "ids", _vector_table(spark, sf), 64))
 
 
 @query
 def embedding_lookup_by_join(spark, sf):
-    vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
-    samples = tokens.sample_ids(_turns(spark, sf), tokens.load_codebook(vocabulary))
+    samples = _samples(spark, sf)
     vectors = fusion.lookup_by_join(
         samples, ["conv_id"], "ids", _vector_table(spark, sf), floor=200, share=0.01
     )
@@ -366,9 +364,11 @@ def embedding_lookup_by_join(spark, sf):
 
 
 def _vector_table(spark, sf):
-    return fx.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vec")
-    )
+    """A vector for every id of the vocabulary; the stored vectors are used in turn."""
+    stored = fx.table(spark, sf, "embeddings")
+    ids = spark.range(fx.VOCABULARY_SIZE + len(fixed.RESERVED_TOKENS))
+    turn = ids.withColumn("vec_id", F.col("id") % stored.agg(F.count("*")).scalar())
+    return turn.join(stored, "vec_id").select("id", F.col("embedding").alias("vec"))
 
 
 def _looked_up(df):
@@ -431,17 +431,13 @@ def fuse_labels(spark, sf):
 @query
 def fused_samples(spark, sf):
     """Accepted dialogues as model inputs: four patches each, then the text."""
-    vocabulary = jobs.corpus_vocabulary(_turns(spark, sf), 300)
-    samples = jobs.prepare_samples(
-        _turns(spark, sf), tokens.load_codebook(vocabulary), labels="mask_pad"
-    )
+    samples = jobs.prepare_samples(_turns(spark, sf), _codebook(spark, sf), labels="mask_pad")
     patches = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("pixel_values", i * 16 + 1, F.lit(16))
     )
     with_patches = samples.join(_featured(spark, sf), "conv_id").withColumn("patches", patches)
-    table = _vector_table(spark, sf).withColumn("vec", F.slice("vec", 1, 8))
-    layers = (fx.weights(8, 16, 4.0), fx.weights(8, 8, 4.0))
-    fused = jobs.fuse_samples(with_patches, "patches", layers, table, 8, 4)
+    layers = (fx.weights(8, 16, 4.0), fx.weights(64, 8, 4.0))
+    fused = jobs.fuse_samples(with_patches, "patches", layers, _vector_table(spark, sf), 64, 4)
     total = F.aggregate(F.flatten("inputs"), F.lit(0.0), lambda acc, x: acc + x)
     return fused.select(
         "conv_id", F.size("inputs").alias("n_positions"), _round(total).alias("total"),

@@ -40,6 +40,27 @@ def test_lookup_both_ways(spark, monkeypatch):
     assert fusion.load_vectors(table, 3, 12 * 19) is None
 
 
+def test_unknown_ids_are_null_both_ways(spark):
+    table = spark.range(10).select("id", F.array(F.col("id").cast("double"), F.lit(0.5)).alias("vec"))
+    df = spark.createDataFrame(
+        [(1, [-100, 3, -200]), (2, [12, 9]), (3, None), (4, [-2, None])], "k int, ids array<int>")
+    shared, joined = (fusion.embed(df, ["k"], "ids", table, 2, limit=n) for n in (1 << 20, 8))
+    assert shared.schema["vectors"].dataType == joined.schema["vectors"].dataType
+    want = {1: [None, [3, 0.5], None], 2: [None, [9, 0.5]], 4: [None, None]}
+    for got in (shared, joined):
+        rows = {r.k: r.vectors for r in got.collect()}
+        assert {k: rows[k] for k in want} == want
+
+
+def test_erf_of_arrays(spark):
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, -0.0, np.inf, -np.inf, 1e-300]])
+    assert np.max(np.abs(fusion.erf(x) - [math.erf(v) for v in x])) < 1e-12
+    fusion.gelu(x)  # a call on the driver leaves nothing behind that tasks cannot take
+    df = spark.createDataFrame([([1.0, 2.0],)], "x array<float>")
+    w, b = np.eye(2), np.zeros(2)
+    assert len(df.select(fusion.project(spark, F.col("x"), ((w, b), (w, b)))).first()[0]) == 2
+
+
 def test_fused_shapes(spark):
     df = spark.createDataFrame(
         [([1, 1, 0], [5, 6, -100]), (None, None)], "m array<int>, l array<int>"

@@ -1,54 +1,166 @@
-"""Instruction records as JSON or Parquet."""
+"""Instruction records as JSON or Parquet.
 
-from pyspark.sql import DataFrame, SparkSession
+Reading JSON loses nothing: every line, or every file that is one document, ends
+up as records or as quarantined text. A file is taken line by line (a line may
+hold a record or an array of records); if a line cannot be read but the file as
+a whole can, as when an array is printed over several lines, it is one document.
+"""
+
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dialogprep import schemas
 
+ROWS_AT_ONCE = 4_096
+
+_TURN = pa.struct([("from", pa.string()), ("value", pa.string())])
+_PARSED = pa.schema([
+    ("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()),
+    ("sample_id", pa.int64()), ("image", pa.string()), ("conversations", pa.list_(_TURN)),
+    (schemas.CORRUPT, pa.string()),
+])
+_PARSED_DDL = (
+    "file string, block long, at long, sample_id long, image string, "
+    f"conversations array<struct<from:string,value:string>>, {schemas.CORRUPT} string"
+)
+
+
+def _record(value) -> tuple[int | None, str | None, list | None]:
+    """The fields of one record; ValueError for anything that is not one."""
+    if not isinstance(value, dict):
+        raise ValueError("not an object")
+    sample_id, image, turns = (value.get(k) for k in ("sample_id", "image", "conversations"))
+    if sample_id is not None and type(sample_id) is not int or abs(sample_id or 0) >= 2**63:
+        raise ValueError("sample_id is not an integer")
+    if image is not None and not isinstance(image, str):
+        raise ValueError("image is not a string")
+    if turns is not None:
+        if not isinstance(turns, list) or not all(isinstance(t, dict) for t in turns):
+            raise ValueError("conversations are not turns")
+        turns = [{"from": t.get("from"), "value": t.get("value")} for t in turns]
+        if not all(x is None or isinstance(x, str) for t in turns for x in t.values()):
+            raise ValueError("a turn is not text")
+    return sample_id, image, turns
+
+
+def parse(text: str) -> list[tuple] | None:
+    """The records of a document; None if it is anything else, or has more than a document."""
+    try:
+        value = json.loads(text)
+        return [_record(v) for v in (value if isinstance(value, list) else [value])]
+    except (ValueError, RecursionError):
+        return None
+
+
+def _parsed(lines: DataFrame, keep_corrupt: bool) -> DataFrame:
+    """Records of the texts ``value``, numbered within each split of a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            rows = []
+            for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if not text.strip():
+                    continue
+                found = parse(text)
+                if found is None:
+                    if keep_corrupt:
+                        rows.append((file, block, None, None, None, None, text))
+                    continue
+                for record in found:
+                    place = at[file, block] = at.get((file, block), -1) + 1
+                    rows.append((file, block, place, *record, None))
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+    return lines.mapInArrow(run, _PARSED_DDL)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, field.type) for column, field in zip(zip(*rows), _PARSED)], schema=_PARSED
+    )
+
 
-def is_multiline(spark: SparkSession, path: str) -> bool:
-    """True for an array printed over several lines.
+def read_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, block, at, record fields, _corrupt_record) of all files below ``path``.
 
-    Looks at the first non-blank line only. Line-delimited records and a
-    one-line array are both read line by line.
+    ``block`` is the start of the split that holds the line and ``at`` counts the
+    records of a split. The names of files with unreadable lines pass through the
+    driver, which has listed all files anyway; these files alone are read again,
+    whole, each in one task.
     """
-    lines = spark.read.text(path).filter(F.trim("value") != "").head(1)
-    if not lines:
-        return False
-    first = lines[0]["value"].strip()
-    return first.startswith("[") and not first.endswith("]") or first == "{"
+    source = ["value", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    by_line = _parsed(spark.read.text(path).select(*source), keep_corrupt=True)
+    broken = by_line.filter(f"{schemas.CORRUPT} is not null").select("file").distinct()
+    names = [row["file"] for row in broken.toLocalIterator()]
+    if not names:
+        return by_line
+    whole = _parsed(spark.read.text(names, wholetext=True).select(*source), keep_corrupt=False)
+    return by_line.join(whole.select("file").distinct(), "file", "left_anti").select(
+        *by_line.columns
+    ).unionByName(whole)
 
 
-def read_records(
-    spark: SparkSession, path: str, multiline: bool | None = None
-) -> DataFrame:
-    """Records with an explicit schema. A multi-line document is one task, so
-    write it out as Parquet before doing anything else with it."""
-    if multiline is None:
-        multiline = is_multiline(spark, path)
-    return spark.read.schema(schemas.RECORD).json(path, multiLine=multiline)
+def read_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, unreadable text); no line is on both sides or on none."""
+    parsed = read_parsed(spark, path)
+    records = parsed.filter(F.col(schemas.CORRUPT).isNull()).select(schemas.RECORD.names)
+    return records, parsed.filter(F.col(schemas.CORRUPT).isNotNull()).select(schemas.CORRUPT)
 
 
-def read_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good records, raw text of unreadable lines) of line-delimited input.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records with an explicit schema; fails if any text is unreadable."""
+    records, held = read_with_quarantine(spark, path)
+    first = held.first()
+    if first is not None:
+        raise ValueError(f"unreadable text in {path}: {first[0][:80]!r}")
+    return records
+
 
-    A line may also hold an array. Every non-blank line ends up on one side.
+def positioned(parsed: DataFrame) -> DataFrame:
+    """Readable records with ``position``: 0, 1, ... by file name and place in the file.
+
+    Only the counts of the splits meet in one window, a row for each, so that a
+    position does not depend on how the files were split.
     """
-    parsed = spark.read.text(path).filter(F.trim("value") != "").withColumn(
-        "rows", F.from_json("value", T.ArrayType(schemas.RECORD), {"mode": "PERMISSIVE"})
+    records = parsed.filter(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT)
+    counts = records.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    )
+    return records.join(offsets, ["file", "block"]).withColumn(
+        "position", F.col("_before") + F.col("at")
+    ).drop("_before")
+
+
+def identified(parsed: DataFrame) -> DataFrame:
+    """Records whose ``sample_id`` is their position, for files whose records have no id."""
+    return positioned(parsed).select(
+        F.col("position").alias("sample_id"), "image", "conversations"
     )
-    unreadable = F.col("rows").isNull() | F.exists("rows", lambda r: r.isNull())
-    good = parsed.filter(~unreadable).select(F.inline("rows"))
-    return good, parsed.filter(unreadable).select(F.col("value").alias(schemas.CORRUPT))
 
 
 def read_sources(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """All sources that can be read, and (path, problem) for the others."""
+    """All sources that can be read, and (path, problem) for the others.
+
+    A source is read once before it counts, so that one that fails while being
+    read, or holds unreadable text, is reported here and not by a later job.
+    """
     frames, problems = [], []
     for path in paths:
         try:
-            frames.append(read_records(spark, path))
+            frame = read_records(spark, path)
+            frame.count()
+            frames.append(frame)
         except Exception as error:  # a failing source is reported, the job goes on
             problems.append((path, str(error)))
     if not frames:

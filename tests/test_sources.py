@@ -28,20 +28,66 @@ def described(df):
 WANT = [("", 1, "[no] {image}"), ("a.png", 2, "Which colour is the door?"), ("c.png", 0, "")]
 
 
-@pytest.mark.parametrize("body, multiline", [
-    (json.dumps(RECORDS), False),
-    (json.dumps(RECORDS, indent=2), True),
-    ("\n  \n" + json.dumps(RECORDS, indent=1), True),
-    ("\n".join(map(json.dumps, RECORDS)) + "\n", False),
-    (json.dumps(RECORDS[0]) + "\n" + json.dumps(RECORDS[1:]), False),
-])
-def test_layouts_give_the_same_records(spark, tmp_path, body, multiline):
+LAYOUTS = [
+    json.dumps(RECORDS),
+    json.dumps(RECORDS, indent=2),
+    "\n  \n" + json.dumps(RECORDS, indent=1),
+    "\n".join(map(json.dumps, RECORDS)) + "\n",
+    json.dumps(RECORDS[0]) + "\n" + json.dumps(RECORDS[1:]),
+    "[" + ",\n".join(map(json.dumps, RECORDS)) + "]",
+]
+
+
+@pytest.mark.parametrize("body", LAYOUTS)
+def test_layouts_give_the_same_records(spark, tmp_path, body):
     path = str(tmp_path / "data.json")
     open(path, "w").write(body)
-    assert records.is_multiline(spark, path) is multiline
     assert described(records.read_records(spark, path)) == WANT
 
 
+def test_layouts_mix_in_a_folder(spark, tmp_path):
+    for i, body in enumerate(LAYOUTS):
+        (tmp_path / f"{i}.json").write_text(body)
+    parsed = records.read_parsed(spark, str(tmp_path))
+    assert described(records.read_records(spark, str(tmp_path))) == sorted(WANT * len(LAYOUTS))
+    rows = records.positioned(parsed).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(3 * len(LAYOUTS)))
+    assert [r.image for r in rows] == ["a.png", None, "c.png"] * len(LAYOUTS)
+    assert [r.sample_id for r in records.identified(parsed).orderBy("sample_id").collect()] == [
+        r.position for r in rows]
+
+
+@pytest.mark.parametrize("body, n_records, held", [
+    ('[{"image": "a.png"},\n{"image": "b.png"} ]', 2, []),
+    ('[{"image": "a.png", "conversations": []\n}, {"image": "b.png"}]', 2, []),
+    ('[[1]\n]', 0, ["[[1]", "]"]),
+    ('{"image": "a.png",\n"conversations": null}', 1, []),
+    ('{"image": "a.png"}\n{"image": "b.p', 1, ['{"image": "b.p']),
+    ('{"image": "a.png"} {"image": "b.png"}', 0, ['{"image": "a.png"} {"image": "b.png"}']),
+    ('{"image": 5}\n{"conversations": [1]}\n"text"', 0, ['"text"', '{"conversations": [1]}', '{"image": 5}']),
+])
+def test_every_text_is_a_record_or_held(spark, tmp_path, body, n_records, held):
+    path = str(tmp_path / "data.json")
+    open(path, "w").write(body)
+    good, bad = records.read_with_quarantine(spark, path)
+    assert good.count() == n_records and sorted(r[0] for r in bad.collect()) == held
+    if held:
+        with pytest.raises(ValueError):
+            records.read_records(spark, path)
+
+
+def test_positions_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(json.dumps({"image": f"{i}"}) + "\n" for i in range(500)))
+    (tmp_path / "b.json").write_text(json.dumps([{"image": f"{i}"} for i in range(500, 520)], indent=1))
+    for size in ("128m", "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = records.identified(records.read_parsed(spark, str(tmp_path))).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r.sample_id, r.image) for r in rows) == [(i, f"{i}") for i in range(520)]
+
+
 def test_single_pretty_object(spark, tmp_path):
     path = str(tmp_path / "one.json")
     open(path, "w").write(json.dumps(RECORDS[0], indent=2))
@@ -60,8 +106,11 @@ def test_quarantine_loses_nothing(spark, tmp_path):
 def test_failing_source_is_reported(spark, tmp_path):
     path = str(tmp_path / "ok.json")
     open(path, "w").write(json.dumps(RECORDS[0]))
-    df, problems = records.read_sources(spark, [str(tmp_path / "missing.json"), path])
-    assert df.count() == 1 and problems[0][0].endswith("missing.json")
+    bad = str(tmp_path / "bad.json.gz")
+    open(bad, "wb").write(b"\x1f\x8b not compressed")
+    df, problems = records.read_sources(spark, [str(tmp_path / "missing.json"), bad, path])
+    assert df.count() == 1
+    assert [os.path.basename(p) for p, _ in problems] == ["missing.json", "bad.json.gz"]
     with pytest.raises(ValueError):
         records.read_sources(spark, [str(tmp_path / "missing.json")])
 

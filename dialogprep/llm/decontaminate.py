@@ -60,6 +60,14 @@ def normalised(data: np.ndarray, offsets: np.ndarray):
     return folded[places], np.searchsorted(places, offsets), places
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The distinct columns in order."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+    return rows[:, new]
+
+
 class Items:
     """q-grams of a block of items and where they stand."""
 
@@ -113,6 +121,10 @@ class Items:
         at, item, place = self.hits(data)
         text = np.searchsorted(offsets, at, "right") - 1
         inside = at + GRAM <= offsets[text + 1]
+        # no band of an item has more q-grams than the text has with the item
+        _, pair, common = np.unique(text * len(self.ids) + item, return_inverse=True,
+                                    return_counts=True)
+        inside &= common[pair] >= self.least[item]
         at, item, place, text = at[inside], item[inside], place[inside], text[inside]
         step = np.maximum(self.edits[item], 1)
         diagonal = at - place + WINDOW  # WINDOW, so that it is not negative in the first text
@@ -120,7 +132,7 @@ class Items:
         # each band of two steps begins at a multiple of the step
         rows = np.concatenate([np.stack([text, item, band, place]),
                                np.stack([text, item, band - 1, place])], axis=1)
-        rows = np.unique(rows, axis=1)
+        rows = _distinct(rows)
         text, item, band, place = rows
         if not len(text):
             return []
@@ -138,8 +150,8 @@ class Items:
         high = np.minimum(place[first], self.size[item[first]] - self.window[item[first]])
         count = np.maximum(high - low + 1, 0)
         start = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        tries = np.unique(np.stack([np.repeat(text[first], count), np.repeat(item[first], count),
-                                    np.repeat(band[first], count), start]), axis=1)
+        tries = _distinct(np.stack([np.repeat(text[first], count), np.repeat(item[first], count),
+                                    np.repeat(band[first], count), start]))
         found = [self._aligned(data, offsets, tries[:, i:i + ALIGNED])
                  for i in range(0, tries.shape[1], ALIGNED)]
         edits, ends = (np.concatenate(x) for x in zip(*found))

@@ -55,6 +55,8 @@ SCAN_COST = 2.0
 COMMON, SEEN, MOST_COMMON = 32, 4, 1 << 18
 SHINGLES_AT_ONCE = 1 << 21
 BITS = 512
+# Pairs a task puts together before it writes them.
+PAIRS_AT_ONCE = 1 << 20
 
 _NO_ID = -(2**63)
 
@@ -295,14 +297,20 @@ def _subsets(sets: Sets, chosen: np.ndarray, rule: Rule):
                            np.full(k, size), np.zeros(k, np.int64), np.full(k, MET, np.int32))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows in order of ``key`` in tables that hold complete keys, as long as a key fits."""
+def _changes(columns: dict[str, np.ndarray], keys: tuple[str, ...]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before."""
+    new = np.ones(len(columns[keys[0]]), bool)
+    new[1:] = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
+    return new
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows in order of ``keys`` in tables that hold complete keys."""
     waiting = None
     for batch in batches:
         own = pa.Table.from_batches([batch])
         waiting = own if waiting is None else pa.concat_tables([waiting, own])
-        keys = waiting.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1]))
+        cut = int(np.flatnonzero(_changes({k: waiting.column(k).to_numpy() for k in keys}, keys))[-1])
         if cut:
             yield waiting.slice(0, cut)
             waiting = waiting.slice(cut)
@@ -310,19 +318,21 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield waiting
 
 
-LIST = ENTRY + ", la long, lb long"
-_LIST = pa.schema([*_ENTRY, ("la", pa.int64()), ("lb", pa.int64())])
+LIST = ENTRY + ", la long, lb long, ha long, hb long"
+_LIST = pa.schema([*_ENTRY, *((c, pa.int64()) for c in ("la", "lb", "ha", "hb"))])
 
 
 def _led(rule: Rule):
-    """Entries of lists with several units, each with its leader (la, lb).
+    """Entries of lists with several units, each with its leader (la, lb) and the list's
+    first unit (ha, hb).
 
     Rows come in the order of key, size class, rare shingles and unit. Only the
     leader of the class at hand is kept, so that a list may have any length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = None, None  # a first entry not written yet; the leader (key, class, a, b, n)
+        # a first entry not written yet; the leader (key, class, a, b, n); the first unit
+        held, last, head = None, None, None
         for batch in batches:
             key, a, b, n, rare, weight, band = (
                 batch.column(c).to_numpy().tolist() for c in (*_ENTRY.names, "band"))
@@ -332,15 +342,15 @@ def _led(rule: Rule):
                     if (row[1], row[2]) == held[1:3] and last[0] == row[0]:
                         continue  # the same unit from another task
                     if not last[6]:
-                        out.append((*held[:6], held[1], held[2]))
+                        out.append((*held[:6], held[1], held[2], *head))
                         last = (*last[:6], True)
                 if last is None or last[0] != row[0]:
                     last = (row[0], row[6], row[1], row[2], row[3], row[4], False)
-                    held = row
+                    held, head = row, row[1:3]
                     continue
                 if last[1] != row[6]:
                     last = (row[0], row[6], row[1], row[2], row[3], row[4], True)
-                out.append((*row[:6], last[2], last[3]))
+                out.append((*row[:6], last[2], last[3], *head))
                 held = row
             if out:
                 yield record_batch(_LIST, *map(list, zip(*out)))
@@ -349,39 +359,68 @@ def _led(rule: Rule):
 
 
 def _crossing(rule: Rule):
-    """Pairs of a list whose units have different labels and can be similar, in blocks."""
+    """Pairs of lists whose units have different labels and can be similar.
+
+    Rows come in the order of the lists' first units and of lists; a pair that is
+    met in several lists with one first unit is written once, with its weight.
+    """
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "la", "lb", "n")]
                        + [("weight", pa.int32())])
 
+    def written(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if found:
+            rows = np.concatenate(found, axis=1)
+            rows = rows[:, np.lexsort(rows[3::-1])]
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[:4, 1:] != rows[:4, :-1]).any(0)
+            at = np.flatnonzero(new)
+            if len(at):
+                weight = np.add.reduceat(rows[5], at)
+                yield record_batch(schema, *rows[:5, at], np.minimum(weight, MET).astype(np.int32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(batches, "key"):
-            key, a, b, n, weight, ra, rb = (
-                rows.column(c).to_numpy() for c in ("key", "a", "b", "n", "weight", "ra", "rb"))
+        found, head, size = [], None, 0
+        for rows in _groups(batches, ("ha", "hb", "key")):
+            columns = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "bits"}
             bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64)
-            bits = bits.reshape(len(key), BITS // 64)
-            for at in range(0, len(key), 1024):
-                # each entry with all later ones of its list
-                stop = np.searchsorted(key, key[at:at + 1024], "right")
-                reach = int((stop - np.arange(at, at + len(stop))).max())
-                for ahead in range(1, reach):
-                    i = np.arange(at, at + len(stop))
-                    i = i[i + ahead < stop]
-                    j = i + ahead
-                    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                    use = ((ra[i] != ra[j]) | (rb[i] != rb[j])) & (small >= rule.least(large))
-                    i, j, small = i[use], j[use], small[use]
-                    differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
-                    near = differ <= rule.difference(n[i] + n[j])
-                    i, j, small = i[near], j[near], small[near]
-                    if not len(i):
-                        continue
-                    low = (a[i] < a[j]) | (a[i] == a[j]) & (b[i] < b[j])
-                    i, j = np.where(low, i, j), np.where(low, j, i)
-                    yield record_batch(schema, a[i], b[i], a[j], b[j], small, weight[i])
+            bits = bits.reshape(rows.num_rows, BITS // 64)
+            ends = np.append(np.flatnonzero(_changes(columns, ("ha", "hb", "key"))[1:]) + 1,
+                             rows.num_rows)
+            start = 0
+            for end in ends.tolist():
+                own = columns["ha"][start], columns["hb"][start]
+                if own != head or size > PAIRS_AT_ONCE:
+                    yield from written(found)
+                    found, head, size = [], own, 0
+                for pairs in _pairs(rule, columns, bits, start, end):
+                    found.append(pairs)
+                    size += pairs.shape[1]
+                start = end
+        yield from written(found)
 
     return run
 
 
+def _pairs(rule: Rule, columns: dict, bits: np.ndarray, start: int, end: int):
+    """(a, b, la, lb, n, weight) of the entries ``start`` to ``end`` with later ones."""
+    a, b, n, weight, ra, rb = (columns[c] for c in ("a", "b", "n", "weight", "ra", "rb"))
+    for block in range(start, end, 1024):
+        first = np.arange(block, min(block + 1024, end))
+        for ahead in range(1, end - block):
+            i = first[first + ahead < end]
+            j = i + ahead
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            use = ((ra[i] != ra[j]) | (rb[i] != rb[j])) & (small >= rule.least(large))
+            i, j, small = i[use], j[use], small[use]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            near = differ <= rule.difference(n[i] + n[j])
+            i, j, small = i[near], j[near], small[near]
+            if len(i):
+                low = (a[i] < a[j]) | (a[i] == a[j]) & (b[i] < b[j])
+                i, j = np.where(low, i, j), np.where(low, j, i)
+                yield np.stack([a[i], b[i], a[j], b[j], small, weight[i].astype(np.int64)])
+
+
 def _verified(rule: Rule):
     """Pairs whose sets are similar enough."""
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "la", "lb")])
@@ -482,13 +521,15 @@ class Join:
         named = roots.select("node.a", "node.b", F.col("root.a").alias("ra"),
                              F.col("root.b").alias("rb"))
         labelled = lists.join(named, ["a", "b"], "left").select(
-            "key", "a", "b", "n", "weight", F.coalesce("ra", "a").alias("ra"),
+            "key", "a", "b", "n", "weight", "ha", "hb", F.coalesce("ra", "a").alias("ra"),
             F.coalesce("rb", "b").alias("rb"))
         mixed = labelled.groupBy("key").agg(
             F.min(F.struct("ra", "rb")).alias("low"), F.max(F.struct("ra", "rb")).alias("high"))
         mixed = mixed.where("low <> high").select("key")
         crossing = (
-            labelled.join(mixed, "key").join(self.bitmaps, ["a", "b"]).repartition("key").sortWithinPartitions("key", "n", "a", "b")
+            labelled.join(mixed, "key").join(self.bitmaps, ["a", "b"])
+            .repartition("ha", "hb", F.pmod("key", F.lit(4)))
+            .sortWithinPartitions("ha", "hb", "key", "n", "a", "b")
             .mapInArrow(_crossing(self.rule), "a long, b long, la long, lb long, n long, weight int")
             .groupBy("a", "b", "la", "lb").agg(F.sum("weight").alias("met"), F.first("n").alias("n"))
         )

@@ -39,6 +39,8 @@ SHARED = 1 << 18
 COUNTED_AT_ONCE = 400_000
 # Tasks that add up the parameters of all others before the driver does.
 ADDERS = 64
+# Bytes of text that are scored side by side.
+TEXT_BYTES = 4 << 20
 _SCALE, _WEIGHT = 1 << 24, 4096
 
 
@@ -70,11 +72,14 @@ class Lexicon:
         self.place = {word: i for i, word in enumerate(words)}
         self.log_count = np.log10(np.append(counts, 0) + 1.0)  # the last is for a word not here
 
-    def read(self, text: bytes) -> np.ndarray:
-        """Places of the words, -1 for words that are not here."""
+    def read(self, text: bytes, others: Counter | None = None) -> np.ndarray:
+        """Places of the words, -1 for words that are not here, which ``others`` counts."""
         get, parts = self.place.get, [np.zeros(0, np.int64)]
         for words in word_lists(text.lower()):
-            parts.append(np.array([get(w, -1) for w in words], np.int64))
+            places = [get(w, -1) for w in words]
+            parts.append(np.array(places, np.int64))
+            if others is not None:
+                others.update([w for w, place in zip(words, places) if place < 0])
         return np.concatenate(parts)
 
 
@@ -90,8 +95,10 @@ def _train(docs: DataFrame, shared, start: np.ndarray) -> np.ndarray:
     ddl = "task int, weight long, values binary"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, adam, tokens = per_worker(shared, lambda x: Lexicon(*x)), net.Adam(net.unpack(start)), 0
-        for batch in row_slices(batches, "text"):
+        words, counts = shared[1].value
+        lexicon = Lexicon(words[:net.WORDS], counts[:net.WORDS])
+        adam, tokens = net.Adam(net.unpack(start)), 0
+        for batch in row_slices(batches, "text", TEXT_BYTES):
             texts = [_ids(lexicon.read(t)) for t in binaries(batch.column("text"))]
             tokens += sum(map(len, texts))
             net.train(adam, texts)
@@ -119,7 +126,7 @@ def _train(docs: DataFrame, shared, start: np.ndarray) -> np.ndarray:
 
 
 ROWS = ("doc_id long, h int, n_tokens long, n_unknown long, n_rare long, common double, "
-        "other double, model double")
+        "other double, model double, rare array<binary>, times array<long>")
 
 
 def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,12 +155,14 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
     schema = pa.schema([
         ("doc_id", pa.int64()), ("h", pa.int32()), ("n_tokens", pa.int64()),
         ("n_unknown", pa.int64()), ("n_rare", pa.int64()), ("common", pa.float64()),
-        ("other", pa.float64()), ("model", pa.float64())])
+        ("other", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary())),
+        ("times", pa.list_(pa.int64()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, p = per_worker(shared, lambda x: Lexicon(*x)), net.unpack(model.value)
-        for batch in row_slices(batches, "text", 2 << 20):
-            places = [lexicon.read(t) for t in binaries(batch.column("text"))]
+        for batch in row_slices(batches, "text", TEXT_BYTES):
+            others = [Counter() for _ in range(batch.num_rows)]
+            places = [lexicon.read(t, o) for t, o in zip(binaries(batch.column("text")), others)]
             texts = [_ids(x) for x in places]
             unknown = [x[(x < 0) | (x >= net.WORDS)] for x in places]
             yield record_batch(
@@ -161,11 +170,12 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
                 [len(x) for x in unknown], [int((x < 0).sum()) for x in places],
                 [float(lexicon.log_count[x].sum()) for x in places],
                 [float(lexicon.log_count[x].sum()) for x in unknown],
-                net.score(p, texts) / np.log(10))
+                net.score(p, texts) / np.log(10), [list(o) for o in others],
+                [list(o.values()) for o in others])
 
-    scored = narrow.select("doc_id", "h", "text").mapInArrow(read, ROWS)
-    rare = _rare(narrow, shared, words)
-    joined = scored.join(
+    scored = stored(narrow.select("doc_id", "h", "text").mapInArrow(read, ROWS), "scored")
+    rare = _rare(scored, words)
+    joined = scored.drop("rare", "times").join(
         rare.withColumnsRenamed({"doc_id": "_d", "h": "_h"}),
         F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
     more, found = F.coalesce("logs", F.lit(0.0)), F.coalesce("found", F.lit(0))
@@ -182,27 +192,10 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
     )
 
 
-def _rare(docs: DataFrame, shared, words: DataFrame) -> DataFrame:
+def _rare(scored: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, h, logs, found): sums over the words of each text that are not broadcast."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int32()), ("word", pa.binary()),
-                        ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = per_worker(shared, lambda x: Lexicon(*x)).place
-        seen: set = set()
-        for batch in row_slices(batches, "text"):
-            ids, hs = (batch.column(c).to_pylist() for c in ("doc_id", "h"))
-            rows = []
-            for doc_id, h, text in zip(ids, hs, binaries(batch.column("text"))):
-                counts: Counter = Counter()
-                for some in word_lists(text.lower()):
-                    counts.update([w for w in some if w not in place])
-                rows += [(doc_id, h, word, n) for word, n in counts.items()]
-            if rows:
-                yield record_batch(schema, *map(list, zip(*rows)))
-
-    spread = docs.select("doc_id", "h", "text").mapInArrow(
-        run, "doc_id long, h int, word binary, n long")
+    spread = scored.select("doc_id", "h", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
+        F.col("w.rare").alias("word"), "doc_id", "h", F.col("w.times").alias("n"))
     # repeated rows count once; grouping and join use the one shuffle by word
     once = spread.repartition("word").groupBy("word", "doc_id", "h").agg(F.min("n").alias("n"))
     counted = once.join(words, "word").withColumn("logs", F.col("n") * F.log10(F.col("c") + 1.0))

@@ -11,8 +11,8 @@ END, UNKNOWN = 0, 1
 WORDS = CLASS_SIZE * CLASSES - 2  # besides the end and the unknown word
 
 WINDOW = 32
-TRAINED_TOGETHER = 128
-SCORED_TOGETHER = 512
+TRAINED_TOGETHER = 256
+SCORED_TOGETHER = 1024
 # One window in so many is learned from; the state runs through all of them.
 LEARN_EVERY = 12
 RATE, DECAY_1, DECAY_2 = 0.02, 0.9, 0.99

@@ -120,19 +120,75 @@ def encode_by_join(
     )
 
 
-def encode(
-    df: DataFrame, key: list[str], tokens: str, vocabulary: DataFrame, out: str = "ids",
-    limit: int = MAX_SHARED_VOCABULARY,
+def decode_by_join(
+    df: DataFrame, key: list[str], ids: str, vocabulary: DataFrame, out: str = "text",
+    skip_special: bool = True, **skew,
 ) -> DataFrame:
-    """Adds ``out`` to ``df``: shared vocabulary if it is small, else a join."""
-    codebook = load_codebook(vocabulary, limit)
-    if codebook is not None:
-        return df.withColumn(out, codebook.encode(F.col(tokens)))
-    return df.join(encode_by_join(df, key, tokens, vocabulary, out), key)
+    """(key, text) through a join, equal to ``Codebook.decode``. ``key`` must identify a row."""
+    shown = F.when(F.col("special"), F.lit("")).otherwise(F.col("tok")) if skip_special else F.col("tok")
+    spread = df.select(*key, F.posexplode_outer(ids).alias("pos", "id"))
+    table = vocabulary.select("id", shown.alias("tok"))
+    joined = salted_join(spread, table, ["id"], [*key, "pos"], **skew)
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "tok"))
+    return (
+        joined.groupBy(*key).agg(F.sort_array(F.collect_list(entry))["tok"].alias("_toks"))
+        .select(*key, F.array_join("_toks", "").alias(out))
+    )
+
+
+class Vocabulary:
+    """One handle for a vocabulary of any size.
+
+    At most ``limit`` rows are held by every worker; a larger table is joined.
+    Both ways give the same ids and texts. ``key`` names columns that identify
+    a row; only the join needs it.
+    """
+
+    def __init__(self, table: DataFrame, limit: int = MAX_SHARED_VOCABULARY):
+        self.table = table
+        self.shared = load_codebook(table, limit)
+
+    def encode(self, df: DataFrame, key: list[str], tokens: Column, out: str = "ids") -> DataFrame:
+        """Adds ``out``, the ids of an array of tokens."""
+        if self.shared is not None:
+            return df.withColumn(out, self.shared.encode(tokens))
+        named = df.withColumn("_tokens", tokens)
+        ids = encode_by_join(named, key, "_tokens", self.table, out)
+        return _attached(named.drop("_tokens"), ids, key)
+
+    def decode(
+        self, df: DataFrame, key: list[str], ids: str, out: str = "text", skip_special: bool = True
+    ) -> DataFrame:
+        """Adds ``out``, the text of an array of ids."""
+        if self.shared is not None:
+            return df.withColumn(out, self.shared.decode(F.col(ids), skip_special))
+        texts = decode_by_join(df, key, ids, self.table, out, skip_special)
+        return _attached(df, texts, key)
+
+
+def _attached(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with the columns found for its keys; a null key meets a null key."""
+    named = found.withColumnsRenamed({k: f"_{k}" for k in key})
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    new = [c for c in found.columns if c not in key]
+    return df.drop(*new).join(named, same).drop(*(f"_{k}" for k in key))
+
+
+def as_vocabulary(given) -> "Vocabulary":
+    """A handle from a handle, a shared codebook or a vocabulary table."""
+    if isinstance(given, Vocabulary):
+        return given
+    if isinstance(given, DataFrame):
+        return Vocabulary(given)
+    handle = Vocabulary.__new__(Vocabulary)
+    handle.table, handle.shared = None, given
+    return handle
 
 
 def encode_turns(
-    turns: DataFrame, vocabulary: Codebook | DataFrame, length: int | None = None,
+    turns: DataFrame, vocabulary: "Vocabulary | Codebook | DataFrame", length: int | None = None,
     user=USER, assistant=ASSISTANT,
 ) -> DataFrame:
     """Adds ``ids`` per turn. Tokens never cross turns, so a dialogue's ids are
@@ -142,14 +198,12 @@ def encode_turns(
     )
     if length is not None:
         tokens = ar.truncate(tokens, length)
-    if isinstance(vocabulary, Codebook):
-        return turns.withColumn("ids", vocabulary.encode(tokens))
-    tokenized = turns.withColumn("_tokens", tokens)
-    return encode(tokenized, ["conv_id", "turn"], "_tokens", vocabulary).drop("_tokens")
+    return as_vocabulary(vocabulary).encode(turns, ["conv_id", "turn"], tokens)
 
 
 def sample_ids(
-    turns: DataFrame, vocabulary: Codebook | DataFrame, length: int = fixed.MAX_LENGTH,
+    turns: DataFrame, vocabulary: "Vocabulary | Codebook | DataFrame",
+    length: int = fixed.MAX_LENGTH,
     order: str = "grouped", user=USER, assistant=ASSISTANT,
     heavy_floor: int = BLOCKED_TURNS, heavy_share: float = 1e-6,
 ) -> DataFrame:

@@ -43,17 +43,23 @@ def prepare_samples(
 
 
 def prepare_records(
-    records: DataFrame, codebook: tokens.Codebook, length: int = fixed.MAX_LENGTH,
+    records: DataFrame, vocabulary, length: int = fixed.MAX_LENGTH,
     order: str = "grouped", labels: str = "clone", pad: bool = True, pad_id: int = fixed.PAD_ID,
+    keep: tuple[str, ...] = ("sample_id", "image"),
 ) -> DataFrame:
-    """The same from nested records: row-local, so no shuffle at all."""
+    """The same from nested records: row-local, so no shuffle with a shared vocabulary.
+
+    ``keep`` names columns that are handed on; a joined vocabulary needs a unique ``sample_id``.
+    """
     split = records.withColumn("_turns", tx.turn_tokens("conversations", order))
     words = ar.truncate(F.flatten(F.col("_turns")["toks"]), length)
-    samples = split.select(
-        "sample_id", "image", codebook.encode(words).alias("ids"),
+    flagged = split.select(
+        *keep, words.alias("_words"),
         tokens.supervised_flags(F.col("_turns"), "toks", length).alias("supervised"),
     )
-    return _arrays(samples, ["sample_id", "image"], labels, length if pad else None, pad_id)
+    handle = tokens.as_vocabulary(vocabulary)
+    samples = handle.encode(flagged, ["sample_id"], F.col("_words"))
+    return _arrays(samples, list(keep), labels, length if pad else None, pad_id)
 
 
 def _arrays(samples: DataFrame, keep: list[str], labels: str, width: int | None, pad_id: int):

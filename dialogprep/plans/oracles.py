@@ -460,3 +460,4 @@ _INTEGERS = {
 for _name, _columns in _INTEGERS.items():
     _casts = ", ".join(f"{c}::INTEGER AS {c}" for c in _columns)
     ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"
+ORACLES["decode_tokens_by_join"] = ORACLES["decode_tokens"]

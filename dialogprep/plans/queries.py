@@ -38,8 +38,16 @@ def _vocabulary(spark, sf):
     return jobs.corpus_vocabulary(_turns(spark, sf), fx.VOCABULARY_SIZE)
 
 
+_books: dict = {}
+
+
 def _codebook(spark, sf):
-    return tokens.load_codebook(_vocabulary(spark, sf))
+    """The vocabulary of the corpus, built once for a session and folder as a job would load
+    a finished one."""
+    name = spark.sparkContext.applicationId, sf
+    if name not in _books:
+        _books[name] = tokens.load_codebook(_vocabulary(spark, sf))
+    return _books[name]
 
 
 def _samples(spark, sf, order="grouped"):
@@ -239,6 +247,15 @@ def decode_tokens(spark, sf):
     return encoded.select("conv_id", "turn", codebook.decode(F.col("ids")).alias("decoded"))
 
 
+@query
+def decode_tokens_by_join(spark, sf):
+    """The way taken by a vocabulary too large to share, there and back."""
+    vocabulary = tokens.Vocabulary(_vocabulary(spark, sf), limit=100)
+    encoded = tokens.encode_turns(render.route_roles(_turns(spark, sf)), vocabulary)
+    decoded = vocabulary.decode(encoded, ["conv_id", "turn"], "ids", "decoded")
+    return decoded.select("conv_id", "turn", "decoded")
+
+
 @query
 def nested_records(spark, sf):
     """Samples straight from nested records, without a shuffle of their own."""
@@ -651,7 +668,7 @@ def batch_evaluate(spark, sf):
 
 
 def _make_code_points():
-    return lambda text: [ord(c) for c in text]
+    return lambda texts: [[ord(c) for c in text] for text in texts]
 
 
 @query

@@ -16,7 +16,10 @@ def read_stream(spark: SparkSession, folder: str) -> DataFrame:
 def stream_samples(
     spark: SparkSession, folder: str, codebook: Codebook, length: int = fixed.MAX_LENGTH
 ) -> DataFrame:
-    """Padded ids, masks and labels of arriving records."""
+    """Padded ids, masks and labels of arriving records, with a shared vocabulary.
+
+    A larger vocabulary is joined once the records have landed (``jobs.prepare_records``).
+    """
     return jobs.prepare_records(read_stream(spark, folder), codebook, length)
 
 

@@ -25,9 +25,11 @@ def test_model_is_made_once_per_worker(spark, tmp_path):
 
 
 def test_tokenizer_hook(spark):
-    encode = inference.tokenizer(lambda: (lambda text: [len(w) for w in text.split()]))
+    encode = inference.tokenizer(lambda: (lambda texts: [[len(w) for w in t.split()] for t in texts]), 2)
     df = spark.createDataFrame([("a bb",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(encode(F.col("t"))).collect()] == [[1, 2], [], []]
+    row = inference.tokenized(df.limit(1), encode, "t", length=3, pad_id=9).first()
+    assert (row.input_ids, row.attention_mask) == ([1, 2, 9], [1, 1, 0])
 
 
 def test_evaluate_end_to_end(spark):

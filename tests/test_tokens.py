@@ -54,8 +54,8 @@ def test_too_large_a_vocabulary_is_joined(spark, turns):
     assert tokens.load_codebook(vocabulary, limit=20) is None
     words = turns.withColumn("w", tx.tokens(F.col("text")))
     key = ["conv_id", "turn"]
-    shared = tokens.encode(words, key, "w", vocabulary).select(*key, "ids")
-    joined = tokens.encode(words, key, "w", vocabulary, limit=20).select(*key, "ids")
+    shared = tokens.Vocabulary(vocabulary).encode(words, key, F.col("w")).select(*key, "ids")
+    joined = tokens.Vocabulary(vocabulary, 20).encode(words, key, F.col("w")).select(*key, "ids")
     assert sorted(map(str, shared.collect())) == sorted(map(str, joined.collect()))
     direct = tokens.sample_ids(turns, tokens.load_codebook(vocabulary), 32)
     through = tokens.sample_ids(turns, vocabulary, 32)
@@ -136,3 +136,28 @@ def test_nested_and_long_forms_agree(spark, turns):
             a = jobs.prepare_records(nested, book, 90, order, policy, pad=False).drop("image")
             b = jobs.prepare_samples(turns, book, 90, order, policy, pad=False)
             assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_all_jobs_take_a_vocabulary_of_any_size(spark, turns):
+    from dialogprep.operators import inference, render
+
+    table = jobs.corpus_vocabulary(turns, 60)
+    shared, joined = tokens.Vocabulary(table), tokens.Vocabulary(table, limit=10)
+    assert shared.shared is not None and joined.shared is None
+    nested = render.nest_turns(turns).select(
+        F.col("conv_id").alias("sample_id"), F.lit("a.png").alias("image"), "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    rows = asked.withColumn("f", F.array(F.lit(1.0)))
+
+    makes = [
+        lambda v: jobs.prepare_samples(turns, v, 80),
+        lambda v: jobs.prepare_records(nested, v, 80),
+        lambda v: v.decode(tokens.encode_turns(turns, v), ["conv_id", "turn"], "ids").drop("ids"),
+        lambda v: v.decode(tokens.encode_turns(turns, v), ["conv_id", "turn"], "ids", skip_special=False),
+        lambda v: inference.evaluate(rows, v, lambda f, i, c: i, "f", length=40)
+        .select("conv_id", "turn", "response"),
+    ]
+    for make in makes:
+        a, b = make(shared), make(joined)
+        assert sorted(a.columns) == sorted(b.columns)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))

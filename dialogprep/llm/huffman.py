@@ -48,8 +48,10 @@ class Code:
         starts = np.concatenate([[0], np.cumsum(spans)[:-1]]).astype(np.uint64)
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = starts >> (self.limit - lengths[order]).astype(np.uint64)
-        self._symbol = np.zeros(1 << self.limit, np.uint32)
-        self._symbol[:int(spans.sum())] = np.repeat(order, spans.astype(np.int64))
+        # by the next bits: the symbol and the length of its code
+        self._next = np.full(1 << self.limit, 1, np.uint32)
+        both = order.astype(np.uint32) << np.uint32(5) | lengths[order].astype(np.uint32)
+        self._next[:int(spans.sum())] = np.repeat(both, spans.astype(np.int64))
 
     def encode(self, symbols: np.ndarray, every: int) -> tuple[bytes, np.ndarray]:
         """(bits, bit offset of each ``every``-th symbol), most significant bit first."""
@@ -76,11 +78,10 @@ class Code:
         data = np.frombuffer(bits + bytes(-len(bits) % 4 + 12), ">u4").astype(np.uint64)
         pairs = (data[:-1] << np.uint64(32)) | data[1:]
         at, drop = offsets.astype(np.int64), np.uint64(64 - self.limit)
-        lengths = self.lengths.astype(np.int64)
         last = len(pairs) - 1
         for step in range(min(every, n)):
             window = pairs[np.minimum(at >> 5, last)] << (at & 31).astype(np.uint64)
-            symbol = self._symbol[window >> drop]
-            out[:, step] = symbol
-            at += lengths[symbol]
-        return out.reshape(-1)[:n]
+            found = self._next[window >> drop]
+            out[:, step] = found
+            at += found & np.uint32(31)
+        return (out >> np.uint32(5)).reshape(-1)[:n]

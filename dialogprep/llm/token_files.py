@@ -68,13 +68,14 @@ class WordTokenizer:
     put in lower case one by one.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kind: str = "<u4"):
+        self.kind, self.width = kind, np.dtype(kind).itemsize
         self.library = Tokenizer.from_str(definition)
         self.known: dict[str | bytes, bytes] = {}
         self.latin = _latin_parts() if _prepares_alike(definition) else None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers of ``kind``."""
         if len(texts) == 1:
             return [b"".join(b"".join(self._known([p])) for p in self._parts(texts[0]))]
         return self._known([[p for some in self._parts(t) for p in some] for t in texts])
@@ -111,13 +112,13 @@ class WordTokenizer:
             some = new[start:start + WORDS_AT_ONCE]
             texts = [w if isinstance(w, str) else w.decode() for w in some]
             encoded = self.library.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(encoded.ids, "<u4")
+            ids = np.array(encoded.ids, self.kind)
             begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
             at = np.array([begin for begin, _ in encoded.offsets], np.int64)
             cuts = np.searchsorted(at, begins).tolist()
-            packed = ids.tobytes()
+            packed, width = ids.tobytes(), self.width
             self.known.update(
-                (w, packed[4 * a:4 * b]) for w, a, b in zip(some, cuts, cuts[1:]))
+                (w, packed[width * a:width * b]) for w, a, b in zip(some, cuts, cuts[1:]))
 
 
 def _prepares_alike(definition: str) -> bool:
@@ -138,38 +139,23 @@ def _prepares_alike(definition: str) -> bool:
         return False
 
 
-def encode(docs: DataFrame, definition: str, end_id: int,
-           id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, definition: str, end_id: int, id_col: str = "doc_id",
+           text: str = "text", kind: str = "<u4") -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of each text and the end id, packed. No shuffle."""
-    shared = share(docs.sparkSession, definition)
-    end = end_id.to_bytes(4, "little")
+    shared = share(docs.sparkSession, (definition, kind))
+    end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = per_worker(shared, WordTokenizer)
+        tokenizer = per_worker(shared, lambda given: WordTokenizer(*given))
         for batch in row_slices(batches, "text"):
             ids = [i + end for i in tokenizer.encode(binaries(batch.column("text")))]
-            yield record_batch(schema, batch.column("doc_id"), [len(i) // 4 for i in ids], ids)
+            yield record_batch(schema, batch.column("doc_id"), [len(i) // width for i in ids], ids)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _pack(encoded: DataFrame, wide: bool) -> DataFrame:
-    """Stored ids need two bytes where the vocabulary allows it."""
-    if wide:
-        return encoded
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, "ids", 4 * SLICE_BYTES):
-            ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes()
-                   for i in batch.column("ids").to_pylist()]
-            yield record_batch(schema, batch.column("doc_id"), batch.column("n_tokens"), ids)
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
 def id_counts(packed: DataFrame, size: int, wide: bool) -> np.ndarray:
     """How often each of ``size`` ids occurs: one row per id and task is shuffled."""
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
@@ -204,12 +190,13 @@ def write(docs: DataFrame, path: str, definition: str, end_id: int,
     spark = docs.sparkSession
     size = max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1)
     wide = size > 1 << 16
-    packed = stored(_pack(encode(docs, definition, end_id, id_col, text), wide), "token-ids",
+    kind = "<u4" if wide else "<u2"  # stored ids need two bytes where the vocabulary allows it
+    packed = stored(encode(docs, definition, end_id, id_col, text, kind), "token-ids",
                     compression="zstd")
     lengths = code_lengths(id_counts(packed, size, wide), CODE_LIMIT)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(
         f"{path}/code")
-    shared, kind = share(spark, lengths), "<u4" if wide else "<u2"
+    shared = share(spark, lengths)
     schema = pa.schema([
         ("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()),
         ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),

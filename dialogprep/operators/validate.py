@@ -9,18 +9,22 @@ NO_IMAGE, NOT_FOUND, UNREADABLE = "no_image", "not_found", "unreadable"
 
 
 def attach_images(
-    records: DataFrame, images: DataFrame, key: str, salt_by: str, **skew
+    records: DataFrame, images: DataFrame, key: str, salt_by: str | list[str], **skew
 ) -> DataFrame:
     """Left join to an image table that is unique on ``key``; adds ``found``.
 
-    Many records may share one image, so heavy image keys are salted. A missing
-    or empty key is treated as null, which is spread the same way.
+    Many records may share one image, so heavy image keys are salted by columns
+    that differ among their records. A missing or empty key is treated as null,
+    which is spread the same way.
     """
+    salt_by = [salt_by] if isinstance(salt_by, str) else list(salt_by)
+    if key in salt_by or not salt_by:
+        raise ValueError("the salt needs columns other than the key, or a hot key stays together")
     named = records.withColumn(
         key, F.when(F.col(key).cast("string") != "", F.col(key))
     )
     return salted_join(
-        named, images.withColumn("found", F.lit(True)), [key], [salt_by], "left", **skew
+        named, images.withColumn("found", F.lit(True)), [key], salt_by, "left", **skew
     ).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -31,7 +35,7 @@ def rejection_reason(key: str, readable=None):
 
 
 def require_image(
-    records: DataFrame, images: DataFrame, key: str, salt_by: str,
+    records: DataFrame, images: DataFrame, key: str, salt_by: str | list[str],
     readable: str | None = None, **skew,
 ) -> DataFrame:
     """Records with a ``reason`` column: null when accepted."""

@@ -7,6 +7,7 @@ from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
 from dialogprep.operators import batching, fusion, index, render, tokens, validate
+from dialogprep.sources import images
 
 LABELS = ("clone", "mask_pad", "assistant_only")
 
@@ -95,8 +96,30 @@ def collated_batches(
     return batching.collate(batched, multiple_of=multiple_of, images=images)
 
 
+def prepare_dataset(
+    records: DataFrame, folder: str, vocabulary, length: int = fixed.MAX_LENGTH,
+    order: str = "grouped", labels: str = "clone", pad: bool = True,
+    size: int = fixed.IMAGE_SIZE, method: str = "bilinear",
+) -> tuple[DataFrame, DataFrame]:
+    """(samples, rejects) of records and the images they name below ``folder``.
+
+    A sample has sample_id, image, pixel_values, input_ids, attention_mask and
+    labels. Images are found by their path. A reject has a ``reason``: no_image,
+    not_found or unreadable. ``sample_id`` must be unique.
+    """
+    path = images.normal_path(tx.image_path(folder, F.col("image")))
+    named = records.withColumn("path", F.when(F.col("image") != "", path))
+    pixels = images.pixel_values(images.read_images(records.sparkSession, folder), size, method)
+    checked = validate.require_image(named, pixels, "path", ["sample_id"], "readable")
+    samples = prepare_records(
+        validate.accepted(checked), vocabulary, length, order, labels, pad,
+        keep=("sample_id", "image", "pixel_values"),
+    )
+    return samples, validate.rejected(checked).select("sample_id", "image", "reason")
+
+
 def with_image_features(
-    samples: DataFrame, images: DataFrame, key: str, salt_by: str
+    samples: DataFrame, images: DataFrame, key: str, salt_by: str | list[str]
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted samples with their image columns, rejected ones with a reason)."""
     checked = validate.require_image(samples, images, key, salt_by)

@@ -461,3 +461,32 @@ for _name, _columns in _INTEGERS.items():
     _casts = ", ".join(f"{c}::INTEGER AS {c}" for c in _columns)
     ORACLES[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLES[_name]})"
 ORACLES["decode_tokens_by_join"] = ORACLES["decode_tokens"]
+
+_DATASET = f"""{IMAGES}, {SHADES}, {samples()},
+stored AS (
+  SELECT vec_id, vec_id % 50 = 49 AS junk,
+         {channel('red', 0.48145466, 0.26862954)} + {channel('green', 0.4578275, 0.26130258)}
+         + {channel('blue', 0.40821073, 0.27577711)} AS total
+  FROM planes WHERE vec_id % 50 <> 48
+),
+checked AS (
+  SELECT w.conv_id AS sample_id, s.ids, t.total,
+         CASE WHEN w.image_id IS NULL THEN 'no_image' WHEN t.vec_id IS NULL THEN 'not_found'
+              WHEN junk THEN 'unreadable' ELSE 'accepted' END AS reason
+  FROM wanted w JOIN samples s USING (conv_id) LEFT JOIN stored t ON w.image_id = t.vec_id
+)"""
+ORACLES["dataset_samples"] = f"""WITH {_DATASET}
+SELECT sample_id, reason, CASE WHEN reason = 'accepted' THEN {csv('ids')} ELSE '' END AS input_ids,
+       CASE WHEN reason = 'accepted' THEN 768 ELSE 0 END::BIGINT AS n_values,
+       CASE WHEN reason = 'accepted' THEN round(total, 3) ELSE 0 END AS total FROM checked"""
+ORACLES["dataset_batches"] = f"""WITH {_DATASET},
+ordered AS (
+  SELECT ids, row_number() OVER (ORDER BY sample_id) - 1 AS idx FROM checked WHERE reason = 'accepted'
+),
+batched AS (
+  SELECT idx, idx // 4 AS batch_id, ids, max(len(ids)) OVER (PARTITION BY idx // 4) AS width FROM ordered
+)
+SELECT batch_id, count(*) AS n, string_agg({csv(padded('ids', 'width', 0))}, ';' ORDER BY idx) AS input_ids,
+       string_agg({csv(padded('ids', 'width', -100))}, ';' ORDER BY idx) AS labels,
+       string_agg('768', ';' ORDER BY idx) AS sizes
+FROM batched GROUP BY batch_id"""

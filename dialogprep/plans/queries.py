@@ -126,7 +126,7 @@ def missing_image_rejects_salted(spark, sf):
     )
     stored = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
     checked = validate.require_image(
-        wanted, stored, "image_id", "turn", floor=3, share=0.01, salts=8
+        wanted, stored, "image_id", ["conv_id", "turn"], floor=3, share=0.01, salts=8
     )
     return checked.select(
         "conv_id", "turn", "image_id", _or_minus_one("label"),
@@ -743,8 +743,8 @@ def image_inventory(spark, sf):
     files = images.list_images(spark, folder).select(
         _image_id("path").alias("image_id"), (F.col("length") > 4).cast("int").alias("large")
     )
-    wanted = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"))
-    attached = validate.attach_images(wanted, files, "image_id", "image_id")
+    wanted = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    attached = validate.attach_images(wanted, files, "image_id", "label")
     return attached.select(
         "image_id", F.col("found").cast("int").alias("found"), _or_minus_one("large")
     )
@@ -762,7 +762,7 @@ def image_decode(spark, sf):
 @query
 def image_tensor(spark, sf):
     raw = images.read_images(spark, _image_folder(spark, sf))
-    made = images.pixel_values(raw, size=16, method="nearest")
+    made = images.pixel_values(raw, size=16, method="nearest").filter("readable")
     total = lambda plane: F.aggregate(
         F.slice("pixel_values", plane * 256 + 1, 256), F.lit(0.0), lambda acc, x: acc + x
     )
@@ -772,6 +772,41 @@ def image_tensor(spark, sf):
     )
 
 
+def _dataset(spark, sf):
+    """Records whose dialogue has a system turn name no image; others may lack theirs."""
+    turns = _turns(spark, sf).groupBy("conv_id").agg(F.max(F.col("role") == "system").alias("none"))
+    records = fx.records(spark, sf).join(turns, F.col("sample_id") == F.col("conv_id")).withColumn(
+        "image", F.when(~F.col("none"), F.col("image"))).drop("conv_id", "none")
+    return jobs.prepare_dataset(
+        records, _image_folder(spark, sf), _codebook(spark, sf), labels="mask_pad", pad=False,
+        size=16, method="nearest")
+
+
+@query
+def dataset_samples(spark, sf):
+    """Whole samples from records and image files, joined by path, and the rejects."""
+    samples, rejects = _dataset(spark, sf)
+    total = F.aggregate("pixel_values", F.lit(0.0), lambda acc, x: acc + x)
+    kept = samples.select(
+        "sample_id", F.lit("accepted").alias("reason"), ar.as_text("input_ids").alias("input_ids"),
+        F.size("pixel_values").cast("long").alias("n_values"), F.round(total, 3).alias("total"))
+    held = rejects.select(
+        "sample_id", "reason", F.lit("").alias("input_ids"), F.lit(0).cast("long").alias("n_values"),
+        F.lit(0.0).alias("total"))
+    return kept.unionByName(held)
+
+
+@query
+def dataset_batches(spark, sf):
+    samples, _ = _dataset(spark, sf)
+    batches = jobs.collated_batches(
+        samples, samples.select("sample_id"), "sample_id", images="pixel_values")
+    rows = lambda name: F.array_join(F.transform(name, ar.as_text), ";")
+    return batches.select(
+        "batch_id", "n", rows("input_ids").alias("input_ids"), rows("labels").alias("labels"),
+        F.array_join(F.transform("pixel_values", lambda v: F.size(v).cast("string")), ";").alias("sizes"))
+
+
 def _make_patch_means():
     """Stands for a frozen encoder: the mean of each colour in four patches."""
 
@@ -785,7 +820,7 @@ def _make_patch_means():
 @query
 def image_features(spark, sf):
     raw = images.read_images(spark, _image_folder(spark, sf))
-    tensors = images.pixel_values(raw, size=16, method="nearest")
+    tensors = images.pixel_values(raw, size=16, method="nearest").filter("readable")
     encoder = inference.predictor(_make_patch_means, T.ArrayType(T.DoubleType()), 32, [[768]])
     patches = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("features", i * 3 + 1, F.lit(3))

@@ -14,8 +14,8 @@ ROWS_PER_TENSOR_BATCH = 32
 
 
 def normal_path(path) -> Column:
-    """One spelling for local paths: file:///a and file:/a are the same."""
-    return F.regexp_replace(path, "^file:/+", "file:/")
+    """One spelling for local paths: file:///a, file:/a and /a are the same."""
+    return F.regexp_replace(path, "^(file:)?/+", "file:/")
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,11 +49,12 @@ def rgb(images: DataFrame) -> DataFrame:
         batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]
     ) -> Iterator[pa.Array]:
         for columns in batches:
-            shapes = zip(*(c.to_pylist() for c in columns))
-            yield pa.array(
-                [px.to_rgb(d, h, w, n).tobytes() if n > 0 else None for d, h, w, n in shapes],
-                pa.binary(),
-            )
+            for start in range(0, len(columns[0]), ROWS_PER_TENSOR_BATCH):
+                part = (c.slice(start, ROWS_PER_TENSOR_BATCH).to_pylist() for c in columns)
+                yield pa.array(
+                    [px.to_rgb(d, h, w, n).tobytes() if n > 0 else None for d, h, w, n in zip(*part)],
+                    pa.binary(),
+                )
 
     return images.select(
         "path", "height", "width", "readable",
@@ -65,29 +66,35 @@ def pixel_values(
     images: DataFrame, size: int = fixed.IMAGE_SIZE, method: str = "bilinear",
     mean=fixed.PIXEL_MEAN, std=fixed.PIXEL_STD,
 ) -> DataFrame:
-    """(path, pixel_values, shape) of readable images: (3, size, size), flat.
+    """(path, readable, pixel_values, shape) of every image: (3, size, size), flat.
 
-    One trip to Python from the decoded bytes. Batches go out a few rows at a
-    time because a tensor is far larger than its file.
+    A file that cannot be decoded keeps its row, with null values. One trip to
+    Python from the decoded bytes. Batches go out a few rows at a time because a
+    tensor is far larger than its file.
     """
-    readable = images.filter("readable").select("path", "height", "width", "channels", "data")
+    width = 3 * size * size
 
     def tensors(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_TENSOR_BATCH):
                 part = batch.slice(start, ROWS_PER_TENSOR_BATCH)
+                readable = part.column(5).to_pylist()
                 shapes = zip(*(part.column(i).to_pylist() for i in (4, 1, 2, 3)))
                 made = [
-                    px.model_tensor(px.to_rgb(d, h, w, n), size, method, mean, std)
-                    for d, h, w, n in shapes
+                    px.model_tensor(px.to_rgb(*shape), size, method, mean, std)
+                    for shape, ok in zip(shapes, readable) if ok
                 ]
-                steps = np.arange(len(made) + 1, dtype=np.int32) * (3 * size * size)
-                values = pa.ListArray.from_arrays(pa.array(steps), pa.array(np.concatenate(made)))
+                steps = np.concatenate([[0], np.cumsum(np.array(readable) * width)]).astype(np.int32)
+                values = pa.ListArray.from_arrays(
+                    pa.array(steps), pa.array(np.concatenate([np.zeros(0, np.float32), *made])),
+                    mask=pa.array([not ok for ok in readable]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), values], names=["path", "pixel_values"]
-                )
-
-    shape = F.array(F.lit(3), F.lit(size), F.lit(size))
-    return readable.mapInArrow(tensors, "path string, pixel_values array<float>").withColumn(
-        "shape", shape
+                    [part.column(0), part.column(5), values],
+                    names=["path", "readable", "pixel_values"])
+
+    shape = F.when(F.col("readable"), F.array(F.lit(3), F.lit(size), F.lit(size)))
+    return (
+        images.select("path", "height", "width", "channels", "data", "readable")
+        .mapInArrow(tensors, "path string, readable boolean, pixel_values array<float>")
+        .withColumn("shape", shape)
     )

@@ -149,7 +149,7 @@ def test_inventory_matches_decoded_paths_and_reads_no_content(spark, folder):
 
 def test_tensor_shape_and_values(spark, folder):
     path, pictures = folder
-    made = images.pixel_values(images.read_images(spark, path)).collect()
+    made = images.pixel_values(images.read_images(spark, path)).filter("readable").collect()
     assert len(made) == 4 and all(r["shape"] == [3, 224, 224] for r in made)
     assert all(len(r.pixel_values) == 3 * 224 * 224 for r in made)
     grey = pictures["sub/deep"][0, 0] / 255.0
@@ -160,15 +160,47 @@ def test_tensor_shape_and_values(spark, folder):
         assert np.allclose(planes[c], (grey[c] - mean[c]) / std[c], atol=1e-6)
 
 
-def test_resize_weights():
-    for method in ("nearest", "bilinear"):
-        for source, target in ((8, 8), (8, 16), (100, 7), (1, 5)):
-            w = px.resize_weights(source, target, method)
-            assert w.shape == (target, source) and np.allclose(w.sum(axis=1), 1)
-        assert np.allclose(px.resize_weights(6, 6, method), np.eye(6))
-    assert np.allclose(px.resize_weights(2, 4, "bilinear") @ [0, 1], [0, 0.25, 0.75, 1])
+def dense(source, target, method):
+    places, weights = px.resize_taps(source, target, method)
+    out = np.zeros((target, source))
+    np.add.at(out, (np.broadcast_to(np.arange(target), places.shape), places), weights)
+    return out
+
+
+def test_resize_taps():
+    for method in ("nearest", "bilinear", "bicubic"):
+        for source, target in ((8, 8), (8, 16), (100, 7), (1, 5), (4000, 224)):
+            w = dense(source, target, method)
+            assert np.allclose(w.sum(axis=1), 1)
+        assert np.allclose(dense(6, 6, method), np.eye(6))
+    assert np.allclose(dense(2, 4, "bilinear") @ [0, 1], [0, 0.25, 0.75, 1])
+    # hand values of the cubic kernel at 0.25, 0.75, 1.25 and 1.75, halfway up a ramp
+    near = np.array([0.8671875, 0.2265625, -0.0703125, -0.0234375])
+    assert np.allclose(dense(8, 16, "bicubic")[7, 2:6], near[[2, 0, 1, 3]])
+    with pytest.raises(ValueError):
+        px.resize_taps(2, 2, "other")
+
+
+@pytest.mark.parametrize("method", ["bilinear", "bicubic"])
+def test_default_tensor_equals_weights_by_definition(spark, folder, method):
+    path, pictures = folder
+    made = {r.path.split(f"{path}/")[1][:-4]: r for r in
+            images.pixel_values(images.read_images(spark, path), method=method).collect()}
+    assert made.pop("junk").pixel_values is None and len(made) == 4
+    mean, std = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+    for name, values in pictures.items():
+        want = np.repeat(values, 3, axis=2) if values.shape[2] == 1 else values[:, :, :3]
+        got = np.array(made[name].pixel_values).reshape(3, 224, 224)
+        for c in range(3):
+            plane = dense(want.shape[0], 224, method) @ (want[:, :, c] / 255.0)
+            plane = plane @ dense(want.shape[1], 224, method).T
+            assert np.allclose(got[c], (plane - mean[c]) / std[c], atol=1e-5)
+
+
+def test_salt_must_differ_from_the_key(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, image string")
     with pytest.raises(ValueError):
-        px.resize_weights(2, 2, "cubic")
+        validate.require_image(df, df.select("image"), "image", ["image"])
 
 
 def test_records_are_accepted_or_rejected_with_a_reason(spark, folder):

@@ -36,9 +36,12 @@ def _positions(keys: DataFrame, order: list[str], shifts) -> DataFrame:
     bucketed = keys.withColumn("bucket", F.shiftright(order[0], shifts[0]))
     counts = bucketed.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = _bucket_offsets(counts, shifts[1:])
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
+    window = Window.partitionBy("bucket").orderBy(*order)
+    # Equal keys are neighbours; counting them would leave the positions to chance.
+    repeated = F.lag(order[-1]).over(window) == F.col(order[-1])
+    failure = F.raise_error(F.lit("a repeated key cannot be positioned")).cast("long")
     return (
-        bucketed.withColumn("_rank", rank)
+        bucketed.withColumn("_rank", F.row_number().over(window) + F.when(repeated, failure).otherwise(0))
         .join(offsets, "bucket")
         .withColumn("idx", (F.col("offset") + F.col("_rank") - 1).cast("long"))
     )

@@ -106,6 +106,13 @@ def losses(
     return staged.withColumn("loss", F.when(F.col("kl").isNull(), F.col("ce")).otherwise(mixed))
 
 
+def fuse_label_rows(log: DataFrame, positions: int) -> DataFrame:
+    """A log of fused sequences, one row per position, whose first ``positions`` are image
+    positions: their labels are ignored. Logits stay in their rows."""
+    label = F.when(F.col("pos") < positions, F.lit(fixed.IGNORE_INDEX)).otherwise(F.col("label"))
+    return log.withColumn("label", label)
+
+
 def distillation_loss(
     student: DataFrame, teacher: DataFrame | None, by: list[str] = (),
     alpha: float = fixed.ALPHA, temperature: float = fixed.TEMPERATURE,

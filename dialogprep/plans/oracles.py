@@ -490,3 +490,9 @@ SELECT batch_id, count(*) AS n, string_agg({csv(padded('ids', 'width', 0))}, ';'
        string_agg({csv(padded('ids', 'width', -100))}, ';' ORDER BY idx) AS labels,
        string_agg('768', ';' ORDER BY idx) AS sizes
 FROM batched GROUP BY batch_id"""
+ORACLES["mixed_layouts"] = """WITH rows AS (
+  SELECT conv_id, count(*) AS n_turns FROM conversations GROUP BY conv_id
+)
+SELECT 'good' AS status, count(*) AS n_rows, count(*) AS n_positions, sum(n_turns)::BIGINT AS n_turns,
+       sum(conv_id)::BIGINT AS ids FROM rows WHERE conv_id % 4 <> 3
+UNION ALL SELECT 'quarantined', count(*), 0, 0, 0 FROM rows WHERE conv_id % 4 = 3"""

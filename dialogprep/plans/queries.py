@@ -584,17 +584,9 @@ def hidden_state_loss(spark, sf):
 
 @query
 def fused_ce_loss(spark, sf):
-    """Nested logs over four image and six text positions: labels are fused first."""
-    log = fx.student_log(spark, sf)
-    nested = log.groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "label", "student"))).alias("rows")
-    )
-    text_labels = F.transform(F.filter("rows", lambda r: r["pos"] >= 4), lambda r: r["label"])
-    fused = nested.select(
-        "sample_id", F.col("rows")["student"].alias("logits"),
-        ar.fuse_labels(text_labels, 4).alias("labels"),
-    )
-    losses = scoring.distillation_loss(scoring.explode_log(fused), None)
+    """Logs over four image and six text positions: labels are fused row by row."""
+    fused = scoring.fuse_label_rows(fx.student_log(spark, sf), 4)
+    losses = scoring.distillation_loss(fused, None)
     return _report(losses, "ce", "n_counted", "n_positions")
 
 
@@ -687,6 +679,34 @@ def json_roundtrip(spark, sf):
     return _described(records.read_records(spark, out))
 
 
+@query
+def mixed_layouts(spark, sf):
+    """A folder of JSON lines, arrays on a line, arrays over several lines, and cut lines."""
+    out = scratch_dir(spark, "mixed")
+    rows = fx.records(spark, sf).withColumn("kind", F.col("sample_id") % 4)
+    record = F.struct("sample_id", "image", "conversations")
+    lines = rows.filter("kind = 0").select(F.to_json(record).alias("value"))
+    short = rows.filter("kind = 1").select(F.to_json(F.array(record)).alias("value"))
+    pretty = (
+        rows.filter("kind = 2").groupBy(F.expr("sample_id div 100").alias("file"))
+        .agg(F.to_json(F.sort_array(F.collect_list(record)), {"pretty": "true"}).alias("value"))
+    )
+    cut = rows.filter("kind = 3").select(F.substring(F.to_json(record), 1, 50).alias("value"))
+    for name, frame in (("lines", lines.unionByName(cut)), ("short", short)):
+        frame.write.text(f"{out}/{name}")
+    pretty.write.partitionBy("file").text(f"{out}/pretty")
+    parsed = records.read_parsed(spark, [f"{out}/lines", f"{out}/short", f"{out}/pretty/*"])
+    kept = records.positioned(parsed)
+    held = parsed.filter(F.col(schemas.CORRUPT).isNotNull())
+    return kept.agg(
+        F.count("*").alias("n_rows"), F.countDistinct("position").alias("n_positions"),
+        F.sum(F.size("conversations")).alias("n_turns"), F.sum("sample_id").alias("ids"),
+    ).withColumn("status", F.lit("good")).unionByName(held.agg(
+        F.count("*").alias("n_rows"), F.lit(0).cast("long").alias("n_positions"),
+        F.lit(0).cast("long").alias("n_turns"), F.lit(0).cast("long").alias("ids"),
+    ).withColumn("status", F.lit("quarantined")))
+
+
 def _described(df):
     return df.select(
         "sample_id", "image", F.size(tx.defaulted("conversations")).alias("n_turns"),

@@ -54,3 +54,10 @@ def test_batches_and_steps(spark):
     assert sizes == {0: 4, 1: 4, 2: 4, 3: 4, 4: 2}
     steps = sorted(tuple(r) for r in batching.accumulation_steps(batched).collect())
     assert steps == [(0, 4, 16), (1, 1, 2)]
+
+
+def test_repeated_keys_fail(spark):
+    df = spark.createDataFrame([(1,), (5,), (5,)], "k long")
+    for positions in (index.dense_index(df, "k"), index.shuffled_index(df, "k", 3)):
+        with pytest.raises(Exception, match="repeated key"):
+            positions.collect()

@@ -4,13 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialogprep.functions import text as tx
-from dialogprep.operators.skew import flag_heavy
 
 USER, ASSISTANT = "user", "assistant"
 
-# From this many turns on, and a millionth of all turns, a dialogue is put together
-# from blocks of TURNS_PER_BLOCK turns.
-BLOCKED_TURNS = 10_000
 TURNS_PER_BLOCK = 4_096
 SECOND_HALF = 1 << 52
 
@@ -50,41 +46,26 @@ def unkeyed(turns: DataFrame) -> DataFrame:
     return turns.filter(F.col("conv_id").isNull()).withColumn("reason", F.lit(NO_KEY))
 
 
-def nest_turns(
-    turns: DataFrame,
-    user=USER,
-    assistant=ASSISTANT,
-    turns_per_block: int = TURNS_PER_BLOCK,
-    floor: int = BLOCKED_TURNS,
-    share: float = 1e-6,
-) -> DataFrame:
+def nest_turns(turns: DataFrame, user=USER, assistant=ASSISTANT) -> DataFrame:
     """(conv_id, conversations) from (conv_id, turn, role, text) rows, in turn order.
 
-    Every dialogue is one row whatever its length. The turns of a heavy one are
-    sorted in blocks first, in as many tasks, and the blocks are then joined, so
-    that only finished blocks meet in the task that writes the row.
+    Every dialogue is one row whatever its length, so its turns meet in the task
+    that writes the row, as large as the row itself. ``dialogue_blocks`` is for
+    dialogues that are too long for a row.
     """
-    flagged = flag_heavy(
-        turns.filter(F.col("conv_id").isNotNull()), ["conv_id"], "_heavy", floor, share
-    )
     who = (
         F.when(F.col("role") == user, "human")
         .when(F.col("role") == assistant, "gpt")
         .otherwise(F.col("role"))
     )
     entry = F.struct("turn", who.alias("from"), F.col("text").alias("value"))
-    block = F.when(F.col("_heavy"), F.expr(f"turn div {int(turns_per_block)}") + 1).otherwise(0)
-    blocks = (
-        flagged.withColumn("_block", block.cast("long")).groupBy("conv_id", "_block")
+    return (
+        turns.filter(F.col("conv_id").isNotNull()).groupBy("conv_id")
         .agg(F.sort_array(F.collect_list(entry)).alias("_turns"))
+        .select("conv_id", F.transform(
+            "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
+        ).alias("conversations"))
     )
-    joined = blocks.filter("_block > 0").groupBy("conv_id").agg(
-        F.flatten(F.sort_array(F.collect_list(F.struct("_block", "_turns")))["_turns"]).alias("_turns")
-    )
-    whole = blocks.filter("_block = 0").select("conv_id", "_turns").unionByName(joined)
-    return whole.select("conv_id", F.transform(
-        "_turns", lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))
-    ).alias("conversations"))
 
 
 def dialogue_blocks(

@@ -12,12 +12,14 @@ from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
 from dialogprep.operators.render import (
-    ASSISTANT, BLOCKED_TURNS, USER, template_turn, turn_order,
+    ASSISTANT, USER, template_turn, turn_order,
 )
 from dialogprep.operators.skew import cut_heavy, keep_first, salted_join
 
 # Largest vocabulary held on every worker; a larger one is joined instead.
 MAX_SHARED_VOCABULARY = 1 << 18
+# Dialogues of more turns, and of a millionth of all, are cut before they are encoded.
+HEAVY_TURNS = 10_000
 
 
 def reserved_rows(spark: SparkSession) -> DataFrame:
@@ -205,7 +207,7 @@ def sample_ids(
     turns: DataFrame, vocabulary: "Vocabulary | Codebook | DataFrame",
     length: int = fixed.MAX_LENGTH,
     order: str = "grouped", user=USER, assistant=ASSISTANT,
-    heavy_floor: int = BLOCKED_TURNS, heavy_share: float = 1e-6,
+    heavy_floor: int = HEAVY_TURNS, heavy_share: float = 1e-6,
 ) -> DataFrame:
     """(conv_id, ids, supervised): each dialogue cut to ``length`` ids.
 

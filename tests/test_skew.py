@@ -58,9 +58,9 @@ def rendered(rows, conv, order):
     return "".join(f"<|im_start|>{r[2]}\n{r[3]}<|im_end|>\n" for r in keep)
 
 
-def test_heavy_dialogue_is_one_row_put_together_from_blocks(spark):
+def test_heavy_dialogue_is_one_row_or_comes_in_blocks(spark):
     df, rows = hot_turns(spark)
-    nested = render.nest_turns(df, turns_per_block=40, floor=100, share=1e-9)
+    nested = render.nest_turns(df)
     for order in ("grouped", "interleaved"):
         texts = {r.conv_id: r.text for r in render.dialogue_text(nested, order).collect()}
         assert texts == {conv: rendered(rows, conv, order) for conv in [*range(5), 6, 7]}

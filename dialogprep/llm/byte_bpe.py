@@ -30,8 +30,8 @@ from dialogprep.llm.common import per_worker, record_batch, row_slices, share
 
 # Transitions, pairs and whole matches kept in each worker; the last two start anew when full.
 MAX_TRANSITIONS = 60_000
-MAX_PAIRS = 300_000
-MAX_REMEMBERED = 500_000
+MAX_PAIRS = 200_000
+MAX_REMEMBERED = 300_000
 REMEMBERED_LENGTH = 24
 DECODED_AT_ONCE = 512
 

@@ -41,7 +41,7 @@ def per_worker(shared: tuple[str, object], build: Callable):
     """What ``build`` makes of a shared value, made once in each Python worker."""
     name, value = shared
     if name not in _kept:
-        while len(_kept) >= 4:
+        while len(_kept) >= 2:
             _kept.pop(next(iter(_kept)))
         _kept[name] = build(value.value)
     return _kept[name]

@@ -53,7 +53,7 @@ SCAN_COST = 2.0
 # Shingles counted as common: in at least COMMON sets, of which a task has seen SEEN at
 # once; the MOST_COMMON commonest are broadcast. They only choose the order of shingles.
 COMMON, SEEN, MOST_COMMON = 32, 4, 1 << 18
-SHINGLES_AT_ONCE = 1 << 21
+SHINGLES_AT_ONCE = 1 << 20
 BITS = 512
 # Pairs a task puts together before it writes them.
 PAIRS_AT_ONCE = 1 << 20

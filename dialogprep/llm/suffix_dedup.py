@@ -46,7 +46,7 @@ HOT = 20_000
 REFINED_BYTES = 1 << 20
 # Zones of a task among which copies are settled before the shuffle.
 ZONES_AT_ONCE = 1 << 18
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _PLACE = np.uint64((1 << 21) - 1)
 _NO_ID = -(2**63)

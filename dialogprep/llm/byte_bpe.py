@@ -22,7 +22,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import utf8
@@ -338,12 +338,14 @@ class Decoder:
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+UNPACKED = pa.schema([*list(ENCODED)[:2], ("ids", pa.list_(pa.int32()))])
 DECODED = pa.schema([*ENCODED, ("decoded", pa.string())])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
-           id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ``ids`` packs unsigned 32-bit little-endian integers.
+           id_col: str = "doc_id", text: str = "text", packed: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids): ``ids`` packs unsigned 32-bit little-endian integers, or
+    is an array of integers.
 
     Each match of ``pattern`` is encoded by itself; there are no special tokens.
     The vocabulary is a file of fixed size and is broadcast. No shuffle.
@@ -354,9 +356,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
         splitter, known = Splitter(pattern), per_worker(shared, Transducer)
         for batch in row_slices(batches, "text"):
             ids = [encoded(splitter, known, t or "") for t in batch.column("text").to_pylist()]
-            yield record_batch(ENCODED, batch.column("doc_id"), [len(i) // 4 for i in ids], ids)
+            sizes = [len(i) // 4 for i in ids]
+            if packed:
+                yield record_batch(ENCODED, batch.column("doc_id"), sizes, ids)
+            else:
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield record_batch(UNPACKED, batch.column("doc_id"), sizes, lists)
 
-    return _narrow(docs, id_col, text).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    kind = "binary" if packed else "array<int>"
+    return _narrow(docs, id_col, text).mapInArrow(run, f"doc_id long, n_tokens long, ids {kind}")
 
 
 def encoded(splitter: Splitter, known: Transducer, text: str) -> bytes:
@@ -380,18 +390,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     )
 
 
-def ids_of(packed: Column) -> Column:
-    """Packed ids as an array of integers."""
-
-    @F.arrow_udf("array<int>")
-    def unpack(column: pa.Array) -> pa.Array:
-        packed_ids = [np.frombuffer(b or b"", "<u4").astype(np.int32) for b in column.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(i) for i in packed_ids])]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.int32), *packed_ids])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-    return unpack(packed)
-
-
 def _narrow(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))

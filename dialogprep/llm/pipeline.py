@@ -46,5 +46,4 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: (doc_id, n_tokens, ids) of every remaining text."""
     ranks = byte_bpe.read_ranks(spark, public_tokenizers.path(RANKS))
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "n_tokens", byte_bpe.ids_of("ids").alias("ids"))
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=False)

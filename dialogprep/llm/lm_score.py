@@ -8,10 +8,9 @@ The network reads ids of the commonest words, an end and an unknown word, and
 its output softmax is factored by classes. An unknown word is spelled out by the
 smoothed counts of all other words, so that the score is a log-probability of
 the complete text. Training is truncated backpropagation in each task over its
-share of the learned texts: the state runs through every text, and one window in
-``recurrent.LEARN_EVERY`` is learned from. The tasks' parameters are averaged,
-weighted by their tokens, as whole numbers, so that the order of tasks does not
-matter.
+share of the learned texts: the state runs through every text, and every window
+is learned from. The tasks' parameters are averaged, weighted by their tokens, as
+whole numbers, so that the order of tasks does not matter.
 
 Counts of the commonest ``SHARED`` words are broadcast; other words meet their
 counts in a join, one row for each text and word. A null text is empty and has

@@ -13,8 +13,6 @@ WORDS = CLASS_SIZE * CLASSES - 2  # besides the end and the unknown word
 WINDOW = 32
 TRAINED_TOGETHER = 256
 SCORED_TOGETHER = 1024
-# One window in so many is learned from; the state runs through all of them.
-LEARN_EVERY = 12
 RATE, DECAY_1, DECAY_2 = 0.02, 0.9, 0.99
 CLIP = 1.0
 
@@ -162,6 +160,24 @@ class Adam:
         self.mean = {name: np.zeros_like(value) for name, value in p.items()}
         self.square = {name: np.zeros_like(value) for name, value in p.items()}
         self.steps = 0
+        self.gathered, self.tokens = {name: np.zeros_like(value) for name, value in p.items()}, 0
+
+    def gather(self, g: Parameters, tokens: int, enough: int) -> None:
+        """Adds mean gradients of some tokens, and makes a step of ``enough`` tokens."""
+        for name, value in g.items():
+            self.gathered[name] += value * tokens
+        self.tokens += tokens
+        if self.tokens >= enough:
+            self.release(enough)
+
+    def release(self, enough: int) -> None:
+        """A step of the gathered gradients, which count for less if they are of fewer tokens."""
+        if self.tokens:
+            count = max(self.tokens, enough)
+            self.step({name: value / count for name, value in self.gathered.items()})
+            for value in self.gathered.values():
+                value[:] = 0
+            self.tokens = 0
 
     def step(self, g: Parameters) -> None:
         self.steps += 1
@@ -197,16 +213,23 @@ def _sides(texts: list[np.ndarray], together: int) -> Iterator[np.ndarray]:
 
 
 def train(adam: Adam, texts: list[np.ndarray]) -> None:
-    """Truncated backpropagation over texts of ids; the state goes on from window to window."""
+    """Truncated backpropagation over texts of ids; the state goes on from window to window.
+
+    Every window is learned from. Windows in which few texts still run are gathered into one
+    step until they hold half the tokens of a first window, so that no step follows a few texts.
+    """
+    enough = 1
     for side in _sides(texts, TRAINED_TOGETHER):
         chosen = [texts[i] for i in side]
         state = np.zeros((len(side), HIDDEN), np.float32)
         for k, (ids, active) in enumerate(_windows(chosen)):
-            learn = (k + adam.steps) % LEARN_EVERY == 0
-            window = Window(adam.p, state[:len(side)], ids, active, learn)
-            if learn:
-                adam.step(window.gradients())
+            n = active[0]  # texts that have ended take no more part
+            window = Window(adam.p, state[:n], ids[:, :n], active, True)
+            if k == 0:
+                enough = max(enough, int(active.sum()) // 2)
+            adam.gather(window.gradients(), int(active.sum()), enough)
             state = window.state
+    adam.release(enough)
 
 
 def score(p: Parameters, texts: list[np.ndarray]) -> np.ndarray:

@@ -119,3 +119,21 @@ def test_training_learns_a_cycle(small):
     for _ in range(12):
         net.train(adam, texts)
     assert net.score(adam.p, texts[:1])[0] > before / 3
+
+
+def test_short_texts_are_all_learned_from(small, monkeypatch):
+    learned = []
+    gradients = net.Window.gradients
+
+    def counted(window):
+        learned.append(int(window.running.sum()))
+        return gradients(window)
+
+    monkeypatch.setattr(net.Window, "gradients", counted)
+    monkeypatch.setattr(net, "TRAINED_TOGETHER", 16)
+    for n in (50, 500):
+        learned.clear()
+        adam = net.Adam(small)
+        for start in range(0, n, 25):
+            net.train(adam, [np.arange(2, 9)] * 25)
+        assert sum(learned) == 7 * n and adam.steps == len(learned) == 4 * n // 25 and not adam.tokens

@@ -137,3 +137,17 @@ def test_short_texts_are_all_learned_from(small, monkeypatch):
         for start in range(0, n, 25):
             net.train(adam, [np.arange(2, 9)] * 25)
         assert sum(learned) == 7 * n and adam.steps == len(learned) == 4 * n // 25 and not adam.tokens
+
+
+def test_every_token_of_long_texts_is_learned_from(small, monkeypatch):
+    learned, lengths = [], (3, 4, 5, 90, 131)
+    gradients = net.Window.gradients
+
+    def counted(window):
+        learned.append(np.sort(window.ids[window.running]))
+        return gradients(window)
+
+    monkeypatch.setattr(net.Window, "gradients", counted)
+    texts = [np.random.default_rng(n).integers(0, 40, n) for n in lengths]
+    net.train(net.Adam(small), texts)
+    assert np.array_equal(np.sort(np.concatenate(learned)), np.sort(np.concatenate(texts)))

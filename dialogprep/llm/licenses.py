@@ -7,8 +7,15 @@ template, the score is 2 |A & B| / (|A| + |B|). A score of t or more needs
 |B| t / (2 - t) <= |A| <= |B| (2 - t) / t, so templates outside these bounds are
 not compared, nor are those that share no pair.
 
+A template that no region reaches is also compared with every window of
+consecutive words, across lines and paragraphs: a notice of several paragraphs
+in a larger document, or a sentence within a longer line. A best window begins
+and ends with a pair of the template, and neither pair occurs again in it, so
+that only such windows are scored. A template within another one is found too.
+
 The result has one row for each document and template that reaches t: the best
-region, the first of equals, lines before paragraphs before the whole. A null or
+region, the first of equals, lines before paragraphs before the whole, or else
+the best window with the lines it lies in, the first of equals. A null or
 empty text matches nothing; repeated rows are scanned each. Columns other than
 the id and the text are not read.
 """
@@ -16,6 +23,7 @@ the id and the text are not read.
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,11 +106,12 @@ class Scanner:
                 if dice >= self.threshold:
                     yield name, dice
 
-    def regions(self, text: bytes) -> Iterator[tuple[int, int, int, Pairs]]:
+    def regions(self, text: bytes, known: Pairs) -> Iterator[tuple[int, int, int, Pairs]]:
         """(kind, first line, lines, pairs). Regions with too many pairs for any template are
-        left out. Words do not pair across lines: a pair that a line break cuts is added."""
+        left out. Words do not pair across lines: a pair that a line break cuts is added.
+        ``known`` gets all pairs of the text that are a template's."""
         first, paragraphs, block, whole = 1, 0, _Union(self.largest), _Union(self.largest)
-        lines = 0
+        lines, last = 0, b""
         for lines, line in enumerate(_lines(text), 1):
             if _BLANK.fullmatch(line):
                 if lines - first > 1 and block.fits:
@@ -112,6 +121,11 @@ class Scanner:
             paragraphs += first == lines
             words = _WORD.findall(line.lower())
             own = set(zip(words, words[1:]))
+            if words:
+                known |= own & self.all
+                if (last, words[0]) in self.all:
+                    known.add((last, words[0]))
+                last = words[-1]
             if len(own) <= self.largest:
                 yield 0, lines, 1, own
             block.add(words, own)
@@ -121,16 +135,30 @@ class Scanner:
         if paragraphs > 1 and whole.fits:
             yield 2, 1, lines, whole.pairs
 
-    def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
-        """(template, score, first line, lines) of each template that is found."""
+    def scan(self, text: bytes, known: Pairs | None = None) -> list[tuple[str, float, int, int]]:
+        """(template, score, first line, lines) of each template that a region reaches."""
         best: dict[str, tuple[float, int, int, int]] = {}
-        for kind, first, n, region in self.regions(text):
+        for kind, first, n, region in self.regions(text, set() if known is None else known):
             for name, dice in self.score(region):
                 found = (-dice, kind, first, n)
                 if name not in best or found < best[name]:
                     best[name] = found
         return [(name, -dice, first, n) for name, (dice, _, first, n) in sorted(best.items())]
 
+    def find(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """The same of each template that a region or else a window of words reaches."""
+        known: Pairs = set()
+        out = self.scan(text, known)
+        found, words = {name for name, *_ in out}, None
+        for (name, own), (low, high) in zip(self.templates, self.bounds):
+            # a window has at least so many of the template's pairs
+            if name not in found and len(known & own) >= low:
+                words = words or _Words(text)
+                dice, first, n = words.best(own, high)
+                if dice >= self.threshold:
+                    out.append((name, dice, first, n))
+        return sorted(out)
+
 
 class _Union:
     """Pairs of a growing region, given up once they are more than any template allows."""
@@ -148,6 +176,50 @@ class _Union:
         self.fits = len(self.pairs) <= self.most
 
 
+class _Words:
+    """The pairs of a complete text in order, each with the nearest places of its equals."""
+
+    def __init__(self, text: bytes):
+        self.place: dict[bytes, int] = {}
+        ids, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, line in enumerate(_lines(text), 1):
+            own = [self.place.setdefault(w, len(self.place)) for w in _WORD.findall(line.lower())]
+            if own:
+                ids.append(np.array(own, np.int64))
+                lines.append(np.full(len(own), n))
+        words, self.line = np.concatenate(ids), np.concatenate(lines)
+        self.pairs = words[:-1] << 32 | words[1:]
+        by = np.argsort(self.pairs, kind="stable")
+        same = self.pairs[by][1:] == self.pairs[by][:-1]
+        self.before, self.after = np.full(len(by), -1), np.full(len(by), len(by))
+        self.before[by[1:][same]] = by[:-1][same]
+        self.after[by[:-1][same]] = by[1:][same]
+
+    def best(self, template: Pairs, most: float) -> tuple[float, int, int]:
+        """(score, first line, lines) of the first of the best windows of at most ``most``
+        different pairs."""
+        codes = [self.place[a] << 32 | self.place[b] for a, b in template
+                 if a in self.place and b in self.place]
+        inside = np.isin(self.pairs, codes)
+        out = 0.0, 0, 0
+        for start in np.flatnonzero(inside).tolist():
+            end, size = int(self.after[start]), 2 * int(most) + 2
+            while True:
+                stop = min(start + size, end)
+                new = self.before[start:stop] < start
+                different = np.cumsum(new)
+                if stop == end or different[-1] > most:
+                    break
+                size *= 2
+            shared = np.cumsum(new & inside[start:stop])
+            dice = np.where(different <= most, 2 * shared / (different + len(template)), 0)
+            at = int(dice.argmax())
+            if dice[at] > out[0]:
+                first, last = self.line[start], self.line[start + at + 1]
+                out = float(dice[at]), int(first), int(last - first) + 1
+        return out
+
+
 def _lines(text: bytes) -> Iterator[bytes]:
     start = 0
     while (stop := text.find(b"\n", start)) >= 0:
@@ -173,7 +245,7 @@ def scan(docs: DataFrame, templates: dict[str, str], threshold: float = THRESHOL
             rows = [
                 (doc_id, *found)
                 for doc_id, t in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text")))
-                for found in scanner.scan(t)
+                for found in scanner.find(t)
             ]
             if rows:
                 yield record_batch(schema, *map(list, zip(*rows)))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -72,3 +73,66 @@ def test_edges(spark):
         (0, "gpl-3.0-line", 1.0, 1), (3, "gpl-3.0-line", 1.0, 1), (3, "gpl-3.0-line", 1.0, 1),
         (4, "gpl-3.0-line", 1.0, 2)]
     assert licenses.scan(docs.limit(0), licenses.TEMPLATES).count() == 0
+
+
+# Paragraphs as published, between other text.
+BREAKS = {
+    "mit": (" The above copyright", " THE SOFTWARE IS"),
+    "gpl-3.0-notice": (" This program is distributed", " You should have"),
+    "apache-2.0-notice": (" You may obtain", " Unless required"),
+}
+
+
+def every_window(text, template):
+    words, lines = [], []
+    for n, line in enumerate(text.split("\n"), 1):
+        own = re.findall("[a-z0-9]+", line.lower())
+        words += own
+        lines += [n] * len(own)
+    own = re.findall("[a-z0-9]+", template.lower())
+    own, found = set(zip(own, own[1:])), []
+    all_pairs = list(zip(words, words[1:]))
+    for i in range(len(all_pairs)):
+        for j in range(i, len(all_pairs)):
+            seen = all_pairs[i:j + 1]
+            dice = 2 * len(set(seen) & own) / (len(set(seen)) + len(own))
+            tight = all(x in own and seen.count(x) == 1 for x in (seen[0], seen[-1]))
+            found.append((-dice, not tight, i, j))
+    dice, loose, i, j = min(found)
+    assert not loose or not dice
+    return -dice, lines[i], lines[j + 1] - lines[i] + 1
+
+
+@pytest.mark.parametrize("name", BREAKS)
+def test_headers_in_larger_documents(name):
+    notice = " ".join(licenses.TEMPLATES[name].split())
+    for at in BREAKS[name]:
+        assert at in notice
+        notice = notice.replace(at, "\n\n" + at[1:])
+    other = "\n".join(f"line{i} of program{i} and text{i}\n" for i in range(300))
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    for text in (f"{notice}\n\n{other}", f"{other}\n{notice}\n\n{other}", f"/* Copyright A {notice} import b\n{other}"):
+        found = {row[0]: row[1:] for row in scanner.find(text.encode())}
+        assert found[name] == (1.0, text[:text.index(notice)].count("\n") + 1, 5)
+
+
+def test_sentence_within_a_longer_line():
+    text = "one\nSee below. " + licenses.TEMPLATES["mit-line"] + " All other rights are kept by their owners.\ntwo"
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    assert scanner.find(text.encode()) == [("mit-line", 1.0, 2, 1)]
+
+
+def test_windows_equal_every_window():
+    rng = random.Random(5)
+    template = "a b c d e a c b f g"
+    scanner = licenses.Scanner({"x": template}, 0.5)
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice("abcdefgh") + rng.choice([" ", " ", "\n", "\n\n"]) for _ in range(60))
+        if brute(text, {"x": template}, 0.5):
+            continue
+        want = every_window(text, template)
+        got = scanner.find(text.encode())
+        assert got == ([("x", *want)] if want[0] >= 0.5 else [])
+        found += bool(got)
+    assert found > 20

@@ -174,6 +174,13 @@ def _first_of_equals(columns: list[np.ndarray], order: list[np.ndarray]):
     return by, first
 
 
+def _not_leaders(by, new, d, h, first) -> np.ndarray:
+    """Rows that lie elsewhere than the first of their equals; rows with the same id and text
+    bring the same place several times."""
+    leader = by[new][np.cumsum(new) - 1]
+    return by[(d[by] != d[leader]) | (h[by] != h[leader]) | (first[by] != first[leader])]
+
+
 def _zone_rows(length: int):
     """Zones that are the first of their kind in a part of the task; repeats among them."""
 
@@ -182,8 +189,7 @@ def _zone_rows(length: int):
         by, new = _first_of_equals([gram, whole], [d, h, first])
         once = by[new]
         yield _marks(ZONE, gram[once], whole[once], d[once], h[once], first[once], last[once])
-        leader = once[np.cumsum(new) - 1]
-        again = by[(d[by] != d[leader]) | (h[by] != h[leader]) | (first[by] != first[leader])]
+        again = _not_leaders(by, new, d, h, first)
         yield from _repeats(d[again], h[again], first[again], last[again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +240,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gram, whole, d, h, first, last = (
         rows.column(c).to_numpy() for c in ("gram", "whole", "d", "h", "first", "last"))
     by, new = _first_of_equals([gram, whole], [d, h, first])
-    leader = by[new][np.cumsum(new) - 1]
-    again = by[(d[by] != d[leader]) | (h[by] != h[leader]) | (first[by] != first[leader])]
+    again = _not_leaders(by, new, d, h, first)
     yield from _repeats(d[again], h[again], first[again], last[again])
     once = by[new]
     _, bucket, kinds = np.unique(gram[once], return_inverse=True, return_counts=True)
@@ -330,15 +335,15 @@ def _refined(length: int):
         rank = np.empty(len(d), np.int64)
         rank[np.lexsort([first, h, d])] = np.arange(len(d))
         by, new = _first_of_equals([pointer[offsets[zone] + within]], [rank[zone]])
-        again = by[~new]
-        place = first[zone[again]] + within[again]
-        yield from _repeats(d[zone[again]], h[zone[again]], place, place)
+        d, h, place = d[zone], h[zone], first[zone] + within
+        again = _not_leaders(by, new, d, h, place)
+        yield from _repeats(d[again], h[again], place[again], place[again])
 
     def hot(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         gram, whole, d, h, first = (
             rows.column(c).to_numpy() for c in ("gram", "whole", "d", "h", "first"))
         by, new = _first_of_equals([gram, whole], [d, h, first])
-        again = by[~new]
+        again = _not_leaders(by, new, d, h, first)
         yield from _repeats(d[again], h[again], first[again], first[again])
 
     def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:

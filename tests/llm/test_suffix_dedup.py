@@ -94,3 +94,17 @@ def test_edges(spark):
     assert [r.n_removed for r in out] == [0, 0]
     none = spark.createDataFrame([], "doc_id long, text string, kept int")
     assert suffix_dedup.dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_repeated_rows_are_one_document_when_refined(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(3)
+    t, u, v = ("".join(rng.choice(list("abcdef "), n)) for n in (400, 200, 200))
+    # 90 bytes hold q-grams of zones, but no window; the last document holds windows
+    rows = [(7, t, 0), (7, t, 0), (9, u + t[50:140] + v, 0), (11, v[:90] + t[200:350], 0)]
+    want = [size for _, size, _, _ in brute([text.encode() for _, text, _ in rows[1:]], 100)]
+    _, out = run(spark, rows, 100)
+    assert want[0] == want[1] == 0 < want[2]
+    assert sorted((r.rest.doc_id, r.n_removed) for r in out) == [
+        (7, 0), (7, want[0]), (9, want[1]), (11, want[2])]

@@ -38,16 +38,9 @@ def _vocabulary(spark, sf):
     return jobs.corpus_vocabulary(_turns(spark, sf), fx.VOCABULARY_SIZE)
 
 
-_books: dict = {}
-
-
 def _codebook(spark, sf):
-    """The vocabulary of the corpus, built once for a session and folder as a job would load
-    a finished one."""
-    name = spark.sparkContext.applicationId, sf
-    if name not in _books:
-        _books[name] = tokens.load_codebook(_vocabulary(spark, sf))
-    return _books[name]
+    """The vocabulary of the corpus, built within each query that needs it."""
+    return tokens.load_codebook(_vocabulary(spark, sf))
 
 
 def _samples(spark, sf, order="grouped"):

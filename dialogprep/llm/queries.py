@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import (
-    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, suffix_dedup, token_files,
-    topk, word_pieces,
+    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, mixing, suffix_dedup,
+    token_files, topk, word_pieces,
 )
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
@@ -94,6 +94,12 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: how many words of every document go into the mix of sources."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES = {
     "op1_language_mixtures": language_mixtures,
     "op2_word_piece_counts": word_piece_counts,
@@ -105,6 +111,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op6_recurrent_scores": recurrent_scores,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
+    "op13_mix_sources": mix_sources,
 }
 
 ORACLES: dict[str, str] = {
@@ -126,4 +133,43 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op13_mix_sources": r"""
+        WITH sized AS (
+            SELECT doc_id, source,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents
+        ), sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+        ), weighted AS (
+            SELECT source, source_size, 3 * source_size AS most,
+                   (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+            FROM sources
+        ), levels AS (
+            SELECT most, weight, most / weight AS reach,
+                   (CAST((SELECT sum(size) FROM sized) AS DOUBLE)
+                    - coalesce(CAST(sum(most) OVER before AS DOUBLE), 0))
+                   / CAST(sum(weight) OVER onwards AS DOUBLE) AS level
+            FROM weighted
+            WINDOW before AS (ORDER BY most / weight, source NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   onwards AS (ORDER BY most / weight, source NULLS LAST
+                               ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        ), found AS (
+            SELECT coalesce(min(level), 0) AS level FROM (
+                SELECT level FROM levels WHERE most > weight * level ORDER BY reach LIMIT 1)
+        ), targets AS (
+            SELECT source, source_size,
+                   CASE WHEN most <= weight * level THEN CAST(most AS DOUBLE) ELSE weight * level END AS target
+            FROM weighted, found
+        ), drawn AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target,
+                   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                   CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)
+                        AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u
+            FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM drawn
+    """,
 }

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import (
-    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, mixing, suffix_dedup,
-    token_files, topk, word_pieces,
+    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, mixing, resample,
+    suffix_dedup, token_files, topk, word_pieces,
 )
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
@@ -94,6 +94,11 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: a tenth of the documents, drawn by importance for the benchmark's words."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13: how many words of every document go into the mix of sources."""
     return mixing.plan(table(spark, sf_dir, "documents")).select(
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op6_recurrent_scores": recurrent_scores,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
+    "op12_importance_resample": importance_resample,
     "op13_mix_sources": mix_sources,
 }
 
@@ -133,6 +139,58 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    # CRC-32 by its table of 256 remainders, for each distinct word.
+    "op12_importance_resample": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), uses AS (
+            SELECT r, unnest(words) AS word FROM docs
+        ), aims AS (
+            SELECT unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+            FROM benchmark
+        ), remainders AS (
+            SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)
+                        ORDER BY n) AS t
+            FROM (SELECT unnest(range(256)) AS n)
+        ), buckets AS (
+            SELECT word, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(
+                       range(0, length(hex(word)), 2),
+                       lambda i: CAST('0x' || substr(hex(word), i + 1, 2) AS BIGINT))),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+            FROM (SELECT word FROM uses UNION SELECT word FROM aims), remainders
+        ), counts AS (
+            SELECT b.bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t
+            FROM (SELECT unnest(range(10000)) AS bucket) b
+            LEFT JOIN (SELECT bucket, count(*) AS s FROM uses JOIN buckets USING (word) GROUP BY ALL) x USING (bucket)
+            LEFT JOIN (SELECT bucket, count(*) AS t FROM aims JOIN buckets USING (word) GROUP BY ALL) y USING (bucket)
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln(
+                       CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+                       / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS gain
+            FROM counts
+        ), weights AS (
+            SELECT r, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+            FROM uses JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+            SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+                       '2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE))
+                       / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+            FROM docs LEFT JOIN weights USING (r)
+        ), placed AS (
+            SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank,
+                   count(*) OVER () AS n
+            FROM scored WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+        FROM scored LEFT JOIN placed USING (r)
+    """,
     "op13_mix_sources": r"""
         WITH sized AS (
             SELECT doc_id, source,

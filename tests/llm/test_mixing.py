@@ -58,7 +58,8 @@ def test_query_equals_sql(spark, con):
 
 
 @pytest.mark.parametrize("limit", [10_000, 2])
-@pytest.mark.parametrize("weights,percent,most", [((1, 2, 3), 100, 3), ((5, 1), 40, 1), ((1,), 500, 2)])
+@pytest.mark.parametrize("limit,weights,percent,most", [
+    (10_000, (1, 2, 3), 100, 3), (2, (5, 1), 40, 1), (10_000, (1,), 500, 2)])
 def test_equals_brute_force(spark, monkeypatch, limit, weights, percent, most):
     monkeypatch.setattr(mixing, "MAX_BROADCAST", limit)
     table = spark.createDataFrame(corpus(), SCHEMA).repartition(5)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import (
-    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, mixing, resample,
-    suffix_dedup, token_files, topk, word_pieces,
+    byte_bpe, decontaminate, jaccard, languages, licenses, lm_score, mixing, phrases,
+    resample, suffix_dedup, token_files, topk, word_pieces,
 )
 from dialogprep.llm.common import table
 from dialogprep.sources.scratch import scratch_dir
@@ -94,6 +94,11 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: the 2000 best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 12: a tenth of the documents, drawn by importance for the benchmark's words."""
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op6_recurrent_scores": recurrent_scores,
     "op7_byte_bpe_roundtrip": byte_bpe_roundtrip,
+    "op11_phrase_collocations": collocations,
     "op12_importance_resample": importance_resample,
     "op13_mix_sources": mix_sources,
 }
@@ -139,6 +145,49 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), sizes AS (
+            SELECT unnest([1, 2, 3, 4]) AS m
+        ), runs AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS p
+            FROM words, sizes WHERE len(w) >= m
+        ), counts AS (
+            SELECT lang, p, m, count(*) AS f FROM runs GROUP BY ALL
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+        ), candidates AS (
+            SELECT lang, p, m, f AS a FROM counts WHERE m >= 2 AND f >= 30
+        ), cuts AS (
+            SELECT lang, p, m, a, unnest(range(1, m)) AS k FROM candidates
+        ), scored AS (
+            SELECT c.lang, c.p, c.m, c.a, x.f AS l, y.f AS r,
+                   CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS BIGINT) AS score,
+                   row_number() OVER (PARTITION BY c.lang, c.p
+                       ORDER BY (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f), k) AS place
+            FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:k]
+                        JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:]
+        ), inner_runs AS (
+            SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda s:
+                list_transform(range(1, m - s + 2), lambda i: p[i:i + s - 1])))) AS p
+            FROM candidates WHERE m > 2
+        ), longer AS (
+            SELECT lang, p, max(a) AS longest FROM inner_runs GROUP BY lang, p
+        ), kept AS (
+            SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score
+            FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.p = s.p
+            WHERE place = 1 AND (longest IS NULL OR 100 * longest < 80 * s.a)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     # CRC-32 by its table of 256 remainders, for each distinct word.
     "op12_importance_resample": r"""
         WITH docs AS (

@@ -111,3 +111,16 @@ def write_images(rows: DataFrame, folder: str) -> None:
             yield pdf[["image_id"]]
 
     rows.mapInPandas(write, "image_id long").write.format("noop").mode("overwrite").save()
+
+
+def write_array(rows: DataFrame, folder: str) -> None:
+    """A single file that holds all records as one array on one line, by ``sample_id``."""
+    first = rows.agg(F.min("sample_id")).scalar()
+    record = F.to_json(F.struct("sample_id", "image", "conversations"))
+    opened = F.concat(F.when(F.col("sample_id") == first, "[").otherwise(","), record)
+    ends = rows.agg(F.max("sample_id").alias("sample_id")).select(
+        "sample_id", F.lit(1).alias("place"),
+        F.when(F.col("sample_id").isNull(), "[]").otherwise("]").alias("value"))
+    parts = rows.select("sample_id", F.lit(0).alias("place"), opened.alias("value")).unionByName(ends)
+    parts.coalesce(1).sortWithinPartitions(F.col("sample_id"), "place").select("value").write.option(
+        "lineSep", " ").text(folder)

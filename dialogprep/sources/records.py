@@ -1,12 +1,16 @@
 """Instruction records as JSON or Parquet.
 
-Reading JSON loses nothing: every line, or every file that is one document, ends
-up as records or as quarantined text. A file is taken line by line (a line may
-hold a record or an array of records); if a line cannot be read but the file as
-a whole can, as when an array is printed over several lines, it is one document.
+Reading JSON loses nothing: every text ends up as records or as quarantined
+text. A file that is an array, on one line or many, is read in splits
+(``json_array``). Other files are taken line by line (a line may hold a record or
+an array of records); if a line cannot be read but the file as a whole can, as
+when one record is printed over several lines, it is one document.
 """
 
+import functools
 import json
+import re
+import urllib.parse
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialogprep import schemas
+from dialogprep.sources import json_array
+from dialogprep.sources.scratch import stored
 
 ROWS_AT_ONCE = 4_096
 
@@ -29,6 +35,15 @@ _PARSED_DDL = (
 )
 
 
+def _text(value) -> str | None:
+    """A string, or ValueError if it cannot be stored, as half of a surrogate pair cannot."""
+    if value is not None:
+        if not isinstance(value, str):
+            raise ValueError("not text")
+        value.encode()
+    return value
+
+
 def _record(value) -> tuple[int | None, str | None, list | None]:
     """The fields of one record; ValueError for anything that is not one."""
     if not isinstance(value, dict):
@@ -36,43 +51,44 @@ def _record(value) -> tuple[int | None, str | None, list | None]:
     sample_id, image, turns = (value.get(k) for k in ("sample_id", "image", "conversations"))
     if sample_id is not None and type(sample_id) is not int or abs(sample_id or 0) >= 2**63:
         raise ValueError("sample_id is not an integer")
-    if image is not None and not isinstance(image, str):
-        raise ValueError("image is not a string")
     if turns is not None:
         if not isinstance(turns, list) or not all(isinstance(t, dict) for t in turns):
             raise ValueError("conversations are not turns")
-        turns = [{"from": t.get("from"), "value": t.get("value")} for t in turns]
-        if not all(x is None or isinstance(x, str) for t in turns for x in t.values()):
-            raise ValueError("a turn is not text")
-    return sample_id, image, turns
+        turns = [{"from": _text(t.get("from")), "value": _text(t.get("value"))} for t in turns]
+    return sample_id, _text(image), turns
 
 
-def parse(text: str) -> list[tuple] | None:
+def parse(text: str | bytes) -> list[tuple] | None:
     """The records of a document; None if it is anything else, or has more than a document."""
     try:
-        value = json.loads(text)
+        value = json.loads(text if isinstance(text, str) else text.decode())
         return [_record(v) for v in (value if isinstance(value, list) else [value])]
     except (ValueError, RecursionError):
         return None
 
 
-def _parsed(lines: DataFrame, keep_corrupt: bool) -> DataFrame:
-    """Records of the texts ``value``, numbered within each split of a file."""
+def _parsed(lines: DataFrame, keep_corrupt: bool = True) -> DataFrame:
+    """Records of the texts of (value, file, block, at).
+
+    A null ``at`` numbers the records within each split; a text that has one is a single record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[tuple[str, int], int] = {}
+        counts: dict[tuple[str, int], int] = {}
         for batch in batches:
             rows = []
-            for text, file, block in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, file, block, at in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text.strip():
                     continue
                 found = parse(text)
                 if found is None:
                     if keep_corrupt:
-                        rows.append((file, block, None, None, None, None, text))
+                        rows.append((file, block, at, None, None, None, text.decode(errors="backslashreplace")))
                     continue
                 for record in found:
-                    place = at[file, block] = at.get((file, block), -1) + 1
+                    place = at
+                    if place is None:
+                        place = counts[file, block] = counts.get((file, block), -1) + 1
                     rows.append((file, block, place, *record, None))
                 if len(rows) >= ROWS_AT_ONCE:
                     yield _batch(rows)
@@ -80,7 +96,8 @@ def _parsed(lines: DataFrame, keep_corrupt: bool) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    return lines.mapInArrow(run, _PARSED_DDL)
+    value = F.col("value").cast("binary").alias("value")
+    return lines.select(value, "file", "block", "at").mapInArrow(run, _PARSED_DDL)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -89,24 +106,48 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def literal_path(name: str) -> str:
+    """A file name with the characters that paths take as patterns escaped."""
+    return re.sub(r"([\\\[\]{}*?^])", r"\\\1", name)
+
+
+def _named(files: DataFrame) -> list[str]:
+    """Paths that read exactly the files in ``file``, which Spark gives as URLs."""
+    return [literal_path(urllib.parse.unquote(r["file"])) for r in files.select("file").toLocalIterator()]
+
+
+def _lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    return spark.read.text(path, **options).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.lit(None).cast("long").alias("at"))
+
+
 def read_parsed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, block, at, record fields, _corrupt_record) of all files below ``path``.
 
-    ``block`` is the start of the split that holds the line and ``at`` counts the
-    records of a split. The names of files with unreadable lines pass through the
-    driver, which has listed all files anyway; these files alone are read again,
-    whole, each in one task.
+    ``block`` is the start of the split that holds the text and ``at`` counts the
+    records of a split. A file whose first character is a bracket is read as an
+    array, in as many tasks as it has splits; a record of it that cannot be read
+    is held alone. Other files, and those that turn out to be no array, are read
+    by lines; of these, a file with an unreadable line is tried as one document.
+    Names of files pass through the driver, which has listed all of them anyway.
     """
-    source = ["value", F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
-    by_line = _parsed(spark.read.text(path).select(*source), keep_corrupt=True)
-    broken = by_line.filter(f"{schemas.CORRUPT} is not null").select("file").distinct()
-    names = [row["file"] for row in broken.toLocalIterator()]
-    if not names:
-        return by_line
-    whole = _parsed(spark.read.text(names, wholetext=True).select(*source), keep_corrupt=False)
-    return by_line.join(whole.select("file").distinct(), "file", "left_anti").select(
-        *by_line.columns
-    ).unionByName(whole)
+    kinds = json_array.begins_with_array(spark, path)
+    arrays = _named(kinds.where("is_array"))
+    frames, by_line = [], path
+    if arrays:
+        texts, refused = json_array.cut_records(spark, arrays)
+        frames.append(_parsed(texts.withColumnRenamed("text", "value")))
+        by_line = _named(kinds.where("NOT is_array")) + _named(refused)
+    if by_line:
+        lines = stored(_parsed(_lines(spark, by_line)), "lines")
+        names = _named(lines.filter(f"{schemas.CORRUPT} is not null").select("file").distinct())
+        if names:
+            whole = _parsed(_lines(spark, names, wholetext=True), keep_corrupt=False)
+            lines = lines.join(whole.select("file").distinct(), "file", "left_anti").select(
+                *lines.columns).unionByName(whole)
+        frames.append(lines)
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
 def read_with_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -128,15 +169,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def positioned(parsed: DataFrame) -> DataFrame:
     """Readable records with ``position``: 0, 1, ... by file name and place in the file.
 
-    Only the counts of the splits meet in one window, a row for each, so that a
-    position does not depend on how the files were split.
+    Only the counts of the splits are dealt by ranges and summed, first within a
+    range and then over ranges, so that a position does not depend on how the
+    files were split and no task sees all splits.
     """
     records = parsed.filter(F.col(schemas.CORRUPT).isNull()).drop(schemas.CORRUPT)
     counts = records.groupBy("file", "block").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
+    ranged = stored(
+        counts.repartitionByRange("file", "block").withColumn("_range", F.spark_partition_id()), "counts")
+    running = lambda window: F.coalesce(
+        F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("_range").agg(F.sum("_n").alias("_n")).select(
+        "_range", running(Window.orderBy("_range")).alias("_above"))
+    offsets = ranged.withColumn("_inside", running(Window.partitionBy("_range").orderBy("file", "block"))).join(
+        F.broadcast(ranges), "_range").select("file", "block", (F.col("_above") + F.col("_inside")).alias("_before"))
     return records.join(offsets, ["file", "block"]).withColumn(
         "position", F.col("_before") + F.col("at")
     ).drop("_before")

@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from dialogprep.plans.queries import QUERIES
+from dialogprep.plans.catalogue import QUERIES
 from tests.compare import compare
 from tests.conftest import SF
 

@@ -820,7 +820,7 @@ def dataset_batches(spark, sf):
         F.array_join(F.transform("pixel_values", lambda v: F.size(v).cast("string")), ";").alias("sizes"))
 
 
-def _make_patch_means():
+def make_patch_means():
     """Stands for a frozen encoder: the mean of each colour in four patches."""
 
     def predict(pixels: np.ndarray) -> np.ndarray:
@@ -834,7 +834,7 @@ def _make_patch_means():
 def image_features(spark, sf):
     raw = images.read_images(spark, _image_folder(spark, sf))
     tensors = images.pixel_values(raw, size=16, method="nearest").filter("readable")
-    encoder = inference.predictor(_make_patch_means, T.ArrayType(T.DoubleType()), 32, [[768]])
+    encoder = inference.predictor(make_patch_means, T.ArrayType(T.DoubleType()), 32, [[768]])
     patches = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("features", i * 3 + 1, F.lit(3))
     )

@@ -27,15 +27,19 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, folder: str) -> DataFrame:
+def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(path, height, width, channels, data, readable): every file is a row.
 
+    ``folder`` may be a list of files instead.
+
     ``data`` is interleaved BGR, BGRA or grey; a file that cannot be decoded has
     ``readable`` false.
     """
     decoded = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
+    # The origin is a URL, in which a plus sign stands for itself.
+    origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
     return decoded.select(
-        normal_path(F.col("image.origin")).alias("path"), F.col("image.height").alias("height"),
+        normal_path(origin).alias("path"), F.col("image.height").alias("height"),
         F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"), (F.col("image.nChannels") > 0).alias("readable"),
     )

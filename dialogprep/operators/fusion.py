@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.operators.skew import salted_join
+from dialogprep.sources.scratch import stored
 
 # Largest embedding table held by every Python worker, in bytes of float32; it
 # passes the driver once. A larger one is joined.
@@ -32,9 +33,9 @@ _ERF = _erf_pieces()
 
 
 def erf(x: np.ndarray) -> np.ndarray:
-    """The error function of an array, to about 1e-15."""
+    """The error function of an array, to about 1e-15; NaN stays NaN."""
     place = np.minimum(np.abs(x), ERF_END) * (ERF_PIECES / ERF_END)
-    piece = np.minimum(place.astype(np.int64), ERF_PIECES - 1)
+    piece = np.minimum(np.nan_to_num(place).astype(np.int64), ERF_PIECES - 1)
     u = 2 * (place - piece) - 1
     out = _ERF[-1][piece]
     for row in _ERF[-2::-1]:
@@ -44,7 +45,8 @@ def erf(x: np.ndarray) -> np.ndarray:
 
 
 def gelu(x: np.ndarray) -> np.ndarray:
-    return 0.5 * x * (1.0 + erf(x / math.sqrt(2.0)))
+    # Minus infinity times zero is taken as the limit.
+    return np.where(x == -np.inf, 0.0, x) * (0.5 * (1.0 + erf(x / math.sqrt(2.0))))
 
 
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -181,8 +183,13 @@ def embed(
     df: DataFrame, key: list[str], ids: str, table: DataFrame, width: int,
     out: str = "vectors", limit: int = MAX_SHARED_TABLE,
 ) -> DataFrame:
-    """Adds the vectors of an id array, by shared table or by join."""
+    """Adds the vectors of an id array, by shared table or by join.
+
+    For the join, rows are numbered and written once, so that equal keys stay
+    apart; ``key`` then only spreads the rows of common ids.
+    """
     matrix = load_vectors(table, width, limit)
     if matrix is not None:
         return df.withColumn(out, lookup_shared(df.sparkSession, F.col(ids), matrix))
-    return df.join(lookup_by_join(df, key, ids, table, out), key)
+    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return numbered.drop(out).join(lookup_by_join(numbered, ["_row"], ids, table, out), "_row").drop("_row")

@@ -15,6 +15,7 @@ from dialogprep.operators.render import (
     ASSISTANT, USER, template_turn, turn_order,
 )
 from dialogprep.operators.skew import cut_heavy, keep_first, salted_join
+from dialogprep.sources.scratch import stored
 
 # Largest vocabulary held on every worker; a larger one is joined instead.
 MAX_SHARED_VOCABULARY = 1 << 18
@@ -142,8 +143,7 @@ class Vocabulary:
     """One handle for a vocabulary of any size.
 
     At most ``limit`` rows are held by every worker; a larger table is joined.
-    Both ways give the same ids and texts. ``key`` names columns that identify
-    a row; only the join needs it.
+    Both ways give the same ids and texts, for repeated keys too.
     """
 
     def __init__(self, table: DataFrame, limit: int = MAX_SHARED_VOCABULARY):
@@ -154,9 +154,9 @@ class Vocabulary:
         """Adds ``out``, the ids of an array of tokens."""
         if self.shared is not None:
             return df.withColumn(out, self.shared.encode(tokens))
-        named = df.withColumn("_tokens", tokens)
-        ids = encode_by_join(named, key, "_tokens", self.table, out)
-        return _attached(named.drop("_tokens"), ids, key)
+        named = _numbered(df.withColumn("_tokens", tokens))
+        ids = encode_by_join(named, [_ROW], "_tokens", self.table, out)
+        return named.drop("_tokens", out).join(ids, _ROW).drop(_ROW)
 
     def decode(
         self, df: DataFrame, key: list[str], ids: str, out: str = "text", skip_special: bool = True
@@ -164,22 +164,24 @@ class Vocabulary:
         """Adds ``out``, the text of an array of ids."""
         if self.shared is not None:
             return df.withColumn(out, self.shared.decode(F.col(ids), skip_special))
-        texts = decode_by_join(df, key, ids, self.table, out, skip_special)
-        return _attached(df, texts, key)
+        named = _numbered(df)
+        texts = decode_by_join(named, [_ROW], ids, self.table, out, skip_special)
+        return named.drop(out).join(texts, _ROW).drop(_ROW)
 
 
-def _attached(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
-    """``df`` with the columns found for its keys; a null key meets a null key."""
-    named = found.withColumnsRenamed({k: f"_{k}" for k in key})
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    new = [c for c in found.columns if c not in key]
-    return df.drop(*new).join(named, same).drop(*(f"_{k}" for k in key))
+_ROW = "_row"
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with a number each, written once: what is joined back is neither computed twice
+    nor multiplied where a key is repeated."""
+    return stored(df.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
 
 
 def as_vocabulary(given) -> "Vocabulary":
     """A handle from a handle, a shared codebook or a vocabulary table."""
+    if given is None:
+        raise ValueError("no vocabulary; load_codebook gives none where the table is too large: pass the table")
     if isinstance(given, Vocabulary):
         return given
     if isinstance(given, DataFrame):

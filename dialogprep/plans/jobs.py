@@ -7,7 +7,9 @@ from dialogprep import fixed
 from dialogprep.functions import arrays as ar
 from dialogprep.functions import text as tx
 from dialogprep.operators import batching, fusion, index, render, tokens, validate
+from dialogprep.operators.skew import salted_join
 from dialogprep.sources import images
+from dialogprep.sources.scratch import stored
 
 LABELS = ("clone", "mask_pad", "assistant_only")
 
@@ -96,6 +98,37 @@ def collated_batches(
     return batching.collate(batched, multiple_of=multiple_of, images=images)
 
 
+def dataset_parts(
+    records: DataFrame, folder: str, vocabulary, length: int = fixed.MAX_LENGTH,
+    order: str = "grouped", labels: str = "clone", pad: bool = True,
+    size: int = fixed.IMAGE_SIZE, method: str = "bilinear",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, rejects, pictures) of records and the images they name below ``folder``.
+
+    Samples have the ``path`` of their picture, pictures (path, pixel_values) are
+    a table of their own, for ``with_pictures``: a tensor is far larger than all
+    else and should move last. Images that no record names are left before
+    tensors are made, and tensors are made and written once.
+    """
+    path = images.normal_path(tx.image_path(folder, F.col("image")))
+    named = records.withColumn("path", F.when(F.col("image") != "", path))
+    wanted = named.where("path IS NOT NULL").select("path").distinct()
+    raw = images.read_images(records.sparkSession, folder).join(wanted, "path", "left_semi")
+    pictures = stored(images.pixel_values(raw, size, method), "pictures")
+    checked = validate.require_image(named, pictures.select("path", "readable"), "path", ["sample_id"], "readable")
+    samples = prepare_records(
+        validate.accepted(checked), vocabulary, length, order, labels, pad,
+        keep=("sample_id", "image", "path"),
+    )
+    rejects = validate.rejected(checked).select("sample_id", "image", "reason")
+    return samples, rejects, pictures.where("readable").select("path", "pixel_values")
+
+
+def with_pictures(samples: DataFrame, pictures: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples with the pixel values of their ``path``; a picture that many share is salted."""
+    return salted_join(samples, pictures, ["path"], [key], "inner").drop("path")
+
+
 def prepare_dataset(
     records: DataFrame, folder: str, vocabulary, length: int = fixed.MAX_LENGTH,
     order: str = "grouped", labels: str = "clone", pad: bool = True,
@@ -107,15 +140,26 @@ def prepare_dataset(
     labels. Images are found by their path. A reject has a ``reason``: no_image,
     not_found or unreadable. ``sample_id`` must be unique.
     """
-    path = images.normal_path(tx.image_path(folder, F.col("image")))
-    named = records.withColumn("path", F.when(F.col("image") != "", path))
-    pixels = images.pixel_values(images.read_images(records.sparkSession, folder), size, method)
-    checked = validate.require_image(named, pixels, "path", ["sample_id"], "readable")
-    samples = prepare_records(
-        validate.accepted(checked), vocabulary, length, order, labels, pad,
-        keep=("sample_id", "image", "pixel_values"),
-    )
-    return samples, validate.rejected(checked).select("sample_id", "image", "reason")
+    samples, rejects, pictures = dataset_parts(
+        records, folder, vocabulary, length, order, labels, pad, size, method)
+    return with_pictures(samples, pictures), rejects
+
+
+def dataset_batches(
+    records: DataFrame, folder: str, vocabulary, batch_size: int = fixed.BATCH_SIZE,
+    seed: int | None = None, multiple_of: int | None = None, length: int = fixed.MAX_LENGTH,
+    order: str = "grouped", labels: str = "clone", size: int = fixed.IMAGE_SIZE, method: str = "bilinear",
+) -> tuple[DataFrame, DataFrame]:
+    """(batches, rejects): collated batches of ``prepare_dataset``'s samples.
+
+    Batch ids are found from the samples' keys; tensors join the batched samples.
+    """
+    samples, rejects, pictures = dataset_parts(
+        records, folder, vocabulary, length, order, labels, False, size, method)
+    samples = stored(samples, "samples")
+    batched = batch_samples(samples, samples.select("sample_id"), "sample_id", batch_size, seed)
+    return batching.collate(
+        with_pictures(batched, pictures), multiple_of=multiple_of, images="pixel_values"), rejects
 
 
 def with_image_features(

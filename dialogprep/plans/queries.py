@@ -15,7 +15,7 @@ from dialogprep.operators import (
 from dialogprep.plans import fixtures as fx
 from dialogprep.plans import jobs
 from dialogprep.sources import images, records
-from dialogprep.sources.scratch import scratch_dir
+from dialogprep.sources.scratch import scratch_dir, stored
 from dialogprep.streaming import records as streaming
 
 QUERIES = {}
@@ -311,25 +311,20 @@ def collate_multiple_of(spark, sf):
 
 
 def _featured(spark, sf):
-    """Accepted dialogues with their image vectors, positioned among themselves."""
-    stored = fx.table(spark, sf, "embeddings").select(
+    """Accepted dialogues with their image vectors, joined and written once."""
+    known = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixel_values")
     )
     accepted, _ = jobs.with_image_features(
-        fx.image_keys(spark, sf), stored, "image_id", "conv_id"
+        fx.image_keys(spark, sf), known, "image_id", "conv_id"
     )
-    return accepted
-
-
-def _accepted_keys(spark, sf):
-    stored = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"))
-    accepted, _ = jobs.with_image_features(fx.image_keys(spark, sf), stored, "image_id", "conv_id")
-    return accepted.select("conv_id")
+    return stored(accepted, "featured")
 
 
 @query
 def stack_features(spark, sf):
-    batched = jobs.batch_samples(_featured(spark, sf), _accepted_keys(spark, sf), "conv_id")
+    featured = _featured(spark, sf)
+    batched = jobs.batch_samples(featured, featured.select("conv_id"), "conv_id")
     stacked = batching.stack(batched, ["pixel_values"], ["pixel_values"])
     flat = F.flatten("pixel_values")
     return stacked.select(
@@ -345,7 +340,7 @@ def collate_batch(spark, sf):
         _turns(spark, sf), _codebook(spark, sf), labels="mask_pad", pad=False
     ).join(featured, "conv_id")
     batches = jobs.collated_batches(
-        samples, _accepted_keys(spark, sf), "conv_id", images="pixel_values"
+        samples, featured.select("conv_id"), "conv_id", images="pixel_values"
     )
     rows = lambda name: F.array_join(F.transform(name, ar.as_text), ";")
     return batches.select(
@@ -786,19 +781,19 @@ def image_tensor(spark, sf):
 
 
 def _dataset(spark, sf):
-    """Records whose dialogue has a system turn name no image; others may lack theirs."""
+    """(records, folder, vocabulary): records whose dialogue has a system turn name no image;
+    others may lack theirs."""
     turns = _turns(spark, sf).groupBy("conv_id").agg(F.max(F.col("role") == "system").alias("none"))
     records = fx.records(spark, sf).join(turns, F.col("sample_id") == F.col("conv_id")).withColumn(
         "image", F.when(~F.col("none"), F.col("image"))).drop("conv_id", "none")
-    return jobs.prepare_dataset(
-        records, _image_folder(spark, sf), _codebook(spark, sf), labels="mask_pad", pad=False,
-        size=16, method="nearest")
+    return records, _image_folder(spark, sf), _codebook(spark, sf)
 
 
 @query
 def dataset_samples(spark, sf):
     """Whole samples from records and image files, joined by path, and the rejects."""
-    samples, rejects = _dataset(spark, sf)
+    samples, rejects = jobs.prepare_dataset(
+        *_dataset(spark, sf), labels="mask_pad", pad=False, size=16, method="nearest")
     total = F.aggregate("pixel_values", F.lit(0.0), lambda acc, x: acc + x)
     kept = samples.select(
         "sample_id", F.lit("accepted").alias("reason"), ar.as_text("input_ids").alias("input_ids"),
@@ -811,9 +806,7 @@ def dataset_samples(spark, sf):
 
 @query
 def dataset_batches(spark, sf):
-    samples, _ = _dataset(spark, sf)
-    batches = jobs.collated_batches(
-        samples, samples.select("sample_id"), "sample_id", images="pixel_values")
+    batches, _ = jobs.dataset_batches(*_dataset(spark, sf), labels="mask_pad", size=16, method="nearest")
     rows = lambda name: F.array_join(F.transform(name, ar.as_text), ";")
     return batches.select(
         "batch_id", "n", rows("input_ids").alias("input_ids"), rows("labels").alias("labels"),

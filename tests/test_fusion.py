@@ -68,3 +68,19 @@ def test_fused_shapes(spark):
     rows = df.select(ar.fuse_mask(F.col("m"), 2).alias("m"), ar.fuse_labels(F.col("l"), 2).alias("l")).collect()
     assert rows[0].m == [1, 1, 1, 1, 0] and rows[0].l == [-100, -100, 5, 6, -100]
     assert rows[1].m is None and rows[1].l is None
+
+
+def test_gelu_of_odd_values():
+    x = np.array([np.nan, np.inf, -np.inf, 0.0, -40.0])
+    out = fusion.gelu(x)
+    assert np.isnan(out[0]) and out[1] == np.inf and out[2:].tolist() == [0.0, 0.0, 0.0]
+    assert np.isnan(fusion.erf(np.array([np.nan, 1.0]))[0])
+
+
+def test_joined_vectors_keep_repeated_keys_apart(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id int, vec array<float>")
+    rows = spark.createDataFrame([(1, [0, 2]), (1, [4]), (2, []), (2, None), (None, [7])], "k int, ids array<int>")
+    shared, joined = (
+        sorted(map(str, fusion.embed(rows, ["k"], "ids", table, 2, limit=limit).collect())) for limit in (1 << 20, 8))
+    assert len(shared) == len(joined) == 5
+    assert [r.replace("vectors=None", "vectors=[]") for r in shared] == [r.replace("vectors=None", "vectors=[]") for r in joined]

@@ -128,19 +128,19 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_exact_topk": """
-        WITH usable AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
+        WITH usable AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+            SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
                    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id
+            FROM usable q JOIN usable c ON q.r <> c.r
             WHERE q.vec_id % 20 = 0
         ), ranked AS (
             SELECT query_id, vec_id, score, CAST(row_number() OVER (
-                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+                PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20

@@ -13,11 +13,16 @@ counted in bands of 2 e diagonals that overlap by e; stretches of an item whose
 count meets the bound are kept, and their windows are aligned with the document
 within the band. The filter loses nothing.
 
+A text and an item that both repeat themselves have very many equal q-grams; such
+a text is searched in overlapping slices, equal ones once, and within a slice
+some items and places at a time, so that memory stays bounded.
+
 Items whose normalised text has fewer than ``GRAM`` bytes, or is null, are too
 short to tell and match nothing; a null document is empty. Repeated documents
 and repeated items are each reported. Empty tables give empty results.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,9 @@ GRAM = 12
 BLOCK_BYTES = 4 << 20
 # Windows aligned at once.
 ALIGNED = 4096
+# Pairs of equal q-grams taken at once; a text that alone makes more is cut into slices.
+PAIRS = 1 << 20
+SLICE, OVERLAP, SHIFT = 2048, WINDOW + 4 * EDITS, 128
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[ord("0"):ord("9") + 1] = np.arange(ord("0"), ord("9") + 1)
@@ -62,10 +70,24 @@ def normalised(data: np.ndarray, offsets: np.ndarray):
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
     """The distinct columns in order."""
-    rows = rows[:, np.lexsort(rows[::-1])]
-    new = np.ones(rows.shape[1], bool)
-    new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
-    return rows[:, new]
+    low = rows.min(axis=1, initial=0)
+    bits = [int(top - least).bit_length() for top, least in zip(rows.max(axis=1, initial=0), low)]
+    if sum(bits) > 62:
+        rows = rows[:, np.lexsort(rows[::-1])]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(0)
+        return rows[:, new]
+    packed = np.zeros(rows.shape[1], np.int64)
+    for row, least, width in zip(rows, low, bits):
+        packed = packed << width | (row - least)
+    packed.sort()
+    new = np.ones(len(packed), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    packed, out = packed[new], []
+    for least, width in zip(low[::-1], bits[::-1]):
+        out.append((packed & ((1 << width) - 1)) + least)
+        packed = packed >> width
+    return np.array(out[::-1])
 
 
 class Items:
@@ -99,26 +121,93 @@ class Items:
         self.present = np.zeros(1 << 20, bool)
         self.present[self.hashes >> np.uint64(44)] = True
 
-    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the texts, item, place in the item) of common q-grams."""
+    def _common(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the texts, number of the q-gram) of q-grams that items have too."""
         none = np.zeros(0, np.int64)
         if len(data) < GRAM or not len(self.hashes):
-            return none, none, none
+            return none, none
         grams = Hashes(data, 0).grams(GRAM)
         at = np.flatnonzero(self.present[grams >> np.uint64(44)])
         gram = np.minimum(np.searchsorted(self.hashes, grams[at]), len(self.hashes) - 1)
         same = self.hashes[gram] == grams[at]
-        at, gram = at[same], gram[same]
-        count = self.count[gram]
-        entry = np.repeat(self.first[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        return np.repeat(at, count), self.owner[entry], self.place[entry]
+        return at[same], gram[same]
 
     def find(self, data: np.ndarray, offsets: np.ndarray):
         """(text, item, least edits, first and last window, end in the text) of what matches.
 
-        ``data`` is normalised; the texts lie at ``offsets``.
+        ``data`` is normalised; the texts lie at ``offsets``. Texts are taken
+        together as long as they make at most ``PAIRS`` pairs of equal q-grams.
+        """
+        at, gram = self._common(data)
+        text = np.searchsorted(offsets, at, "right") - 1
+        pairs = np.bincount(text, self.count[gram], len(offsets) - 1).astype(np.int64)
+        out = []
+        for start, stop in slices(pairs, PAIRS):
+            low, high = int(offsets[start]), int(offsets[stop])
+            if pairs[start:stop].sum() > PAIRS:
+                out += [(start, *rest, low + end) for _, *rest, end in self._by_slices(data[low:high])]
+                continue
+            some = slice(*np.searchsorted(at, [low, high]))
+            found = self._search(data[low:high], offsets[start:stop + 1] - low, at[some] - low, gram[some],
+                                 (self.first, self.count, self.owner, self.place))
+            out += [(t + start, *rest, low + end) for t, *rest, end in found]
+        return out
+
+    def _by_slices(self, data: np.ndarray):
+        """``find`` in one text that has very many q-grams in common with items.
+
+        Slices overlap by more than any window and its edits. Such a text repeats
+        itself, so what was found in an equal slice is taken over.
         """
-        at, item, place = self.hits(data)
+        known: dict[bytes, list] = {}
+        best: dict[int, list] = {}
+        # A slice begins where the q-gram of least hash in reach does, at the same place of each
+        # repetition.
+        grams = Hashes(data, 0).grams(GRAM)
+        after = 0
+        while True:
+            start = after
+            part = np.ascontiguousarray(data[start:start + SLICE])
+            name = hashlib.blake2b(part, digest_size=16).digest()
+            if name not in known:
+                known[name] = self._bounded(part, (0, len(self.ids)), (0, int(self.size.max())))
+            for _, item, edits, first, last, end in known[name]:
+                _merge(best, item, edits, first, last, start + end)
+            if start + SLICE >= len(data):
+                break
+            after = start + SLICE - OVERLAP
+            after -= int(grams[after - SHIFT + 1:after + 1][::-1].argmin())
+        return [(0, item, *values) for item, values in sorted(best.items())]
+
+    def _bounded(self, data: np.ndarray, items: tuple[int, int], places: tuple[int, int]):
+        """``find`` in one slice, for some items and places, in halves where pairs are too many."""
+        at, gram = self._common(data)
+        kept = ((self.owner >= items[0]) & (self.owner < items[1])
+                & (self.place >= places[0]) & (self.place < places[1]))
+        before = np.concatenate([[0], np.cumsum(kept)])
+        first, count = before[self.first], before[self.first + self.count] - before[self.first]
+        low, high = places
+        if count[gram].sum() <= PAIRS or (items[1] - items[0] == 1 and high - low <= 4 * WINDOW):
+            return self._search(data, np.array([0, len(data)]), at, gram,
+                                (first, count, self.owner[kept], self.place[kept]))
+        best: dict[int, list] = {}
+        if items[1] - items[0] > 1:
+            middle = sum(items) // 2
+            halves = [((items[0], middle), places), ((middle, items[1]), places)]
+        else:
+            middle = (low + high) // 2
+            halves = [(items, (low, middle + WINDOW)), (items, (middle, high))]
+        for half in halves:
+            for _, item, *values in self._bounded(data, *half):
+                _merge(best, item, *values)
+        return [(0, item, *values) for item, values in sorted(best.items())]
+
+    def _search(self, data, offsets, at, gram, entries):
+        """``find`` for the q-grams ``gram`` at places ``at``, where items have them at ``entries``."""
+        first, count, owner, places = entries
+        count = count[gram]
+        entry = np.repeat(first[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        at, item, place = np.repeat(at, count), owner[entry], places[entry]
         text = np.searchsorted(offsets, at, "right") - 1
         inside = at + GRAM <= offsets[text + 1]
         # no band of an item has more q-grams than the text has with the item
@@ -148,21 +237,49 @@ class Items:
             return []
         low = np.maximum(0, place[within[first]] + GRAM - self.window[item[first]])
         high = np.minimum(place[first], self.size[item[first]] - self.window[item[first]])
+        # Both rise within a band, so that what the stretch before has tried is left out.
+        low[1:] = np.where(np.diff(group[first]) == 0, np.maximum(low[1:], high[:-1] + 1), low[1:])
         count = np.maximum(high - low + 1, 0)
         start = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-        tries = _distinct(np.stack([np.repeat(text[first], count), np.repeat(item[first], count),
-                                    np.repeat(band[first], count), start]))
-        found = [self._aligned(data, offsets, tries[:, i:i + ALIGNED])
-                 for i in range(0, tries.shape[1], ALIGNED)]
-        edits, ends = (np.concatenate(x) for x in zip(*found))
-        text, item, _, start = tries
-        close = edits <= self.edits[item]
-        best: dict[tuple[int, int], list] = {}
-        for t, i, e, s, end in zip(*(x[close].tolist() for x in (text, item, edits, start, ends))):
-            known = best.setdefault((t, i), [e, s, s, end])
-            known[0], known[1] = min(known[0], e), min(known[1], s)
-            known[2], known[3] = max(known[2], s), max(known[3], end)
-        return [(t, i, *known) for (t, i), known in sorted(best.items())]
+        tries = np.stack([np.repeat(text[first], count), np.repeat(item[first], count),
+                          np.repeat(band[first], count), start])
+        if not tries.shape[1]:
+            return []
+        return self._best(data, offsets, tries)
+
+    def _best(self, data, offsets, tries):
+        """What the tries find, from the last to the first.
+
+        A try that can neither lower the edits of its text and item nor widen
+        what is known of them is left out.
+        """
+        pair = tries[0] * len(self.ids) + tries[1]
+        pairs, own = np.unique(pair, return_inverse=True)
+        least = np.full(len(pairs), 1 << 20)
+        first, last = np.full(len(pairs), 1 << 40), np.full(len(pairs), -1)
+        ends = np.full(len(pairs), -1)
+        reach = np.minimum(self._base(tries) + 4 * EDITS + 2 + WINDOW, offsets[tries[0] + 1])
+        waiting = np.arange(tries.shape[1])[::-1]
+        while len(waiting):
+            some, waiting = waiting[:ALIGNED], waiting[ALIGNED:]
+            edits, stops = self._aligned(data, offsets, tries[:, some])
+            close = edits <= self.edits[tries[1, some]]
+            at, start = own[some][close], tries[3, some][close]
+            np.minimum.at(least, at, edits[close])
+            np.minimum.at(first, at, start)
+            np.maximum.at(last, at, start)
+            np.maximum.at(ends, at, stops[close])
+            at, start = own[waiting], tries[3, waiting]
+            waiting = waiting[(least[at] > 0) | (start < first[at]) | (start > last[at]) | (reach[waiting] > ends[at])]
+        found = np.flatnonzero(last >= 0)
+        return [(p // len(self.ids), p % len(self.ids), e, a, b, end) for p, e, a, b, end in zip(
+            *(x[found].tolist() for x in (pairs, least, first, last, ends)))]
+
+    def _base(self, tries) -> np.ndarray:
+        """The place in the texts of the first diagonal of a try's band at its first byte."""
+        _, item, band, start = tries
+        edits = self.edits[item]
+        return band * np.maximum(edits, 1) - self.size[item] - WINDOW - edits + start
 
     def _aligned(self, data, offsets, tries) -> tuple[np.ndarray, np.ndarray]:
         """(edits, end in the texts) of windows aligned within their bands.
@@ -171,30 +288,39 @@ class Items:
         text byte too many to the one after. The alignment begins and ends on
         any diagonal of the band.
         """
-        text, item, band, start = tries
-        edits, window = self.edits[item], self.window[item]
-        step = np.maximum(edits, 1)
-        width = int(4 * step.max() + 2)
+        text, item, _, start = tries
+        window = self.window[item]
+        width = int(4 * np.maximum(self.edits[item], 1).max() + 2)
+        base = self._base(tries)
+        span = base[:, None] + np.arange(width + int(window.max()))
+        there = np.where((span >= offsets[text][:, None]) & (span < offsets[text + 1][:, None]),
+                         data[np.clip(span, 0, len(data) - 1)].astype(np.int16), -1).astype(np.int16)
+        own = np.minimum((self.offsets[item] + start)[:, None] + np.arange(int(window.max())), len(self.data) - 1)
+        here = self.data[own].astype(np.int16)
+        # Where texts repeat themselves, so do tries: equal bytes are aligned once.
+        whole = np.ascontiguousarray(np.hstack([there, here, window[:, None].astype(np.int16)]))
+        _, some, same = np.unique(whole.view(f"V{2 * whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        there, here, window = there[some], here[some], window[some]
         column = np.arange(width)
-        base = band * step - self.size[item] - WINDOW - edits + start
-        cost = np.zeros((len(text), width), np.int32)
-        own = self.offsets[item] + start
-        low, high = offsets[text][:, None], offsets[text + 1][:, None]
-        best, ends = np.full(len(text), 1 << 20), np.zeros(len(text), np.int64)
+        cost = np.zeros((len(some), width), np.int32)
+        best, ends = np.full(len(some), 1 << 20), np.zeros(len(some), np.int64)
         for row in range(int(window.max())):
-            place = base[:, None] + column + row
-            there = np.where((place >= low) & (place < high),
-                             data[np.clip(place, 0, len(data) - 1)].astype(np.int16), -1)
-            here = self.data[np.minimum(own + row, len(self.data) - 1)].astype(np.int16)
-            after = cost + (there != here[:, None])
+            after = cost + (there[:, row:row + width] != here[:, row:row + 1])
             after[:, :-1] = np.minimum(after[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(after - column, axis=1) + column
             done = window == row + 1
             if done.any():
                 least = cost[done].argmin(1)
                 best[done] = cost[done].min(1)
-                ends[done] = base[done] + least + row + 1
-        return best, np.clip(ends, offsets[text], offsets[text + 1])
+                ends[done] = least + row + 1
+        return best[same], np.clip(base + ends[same], offsets[text], offsets[text + 1])
+
+
+def _merge(best: dict, key, edits: int, first: int, last: int, end: int) -> None:
+    """Keeps the least edits, the first and last window and the last end."""
+    known = best.setdefault(key, [edits, first, last, end])
+    known[0], known[1] = min(known[0], edits), min(known[1], first)
+    known[2], known[3] = max(known[2], last), max(known[3], end)
 
 
 def _found(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -218,10 +344,7 @@ def _long_found(data: np.ndarray, row: int, items: Items):
         part = data[at:at + CHUNK]
         folded, borders, places = normalised(part, np.array([0, len(part)]))
         for _, item, edits, first, last, end in items.find(folded, borders):
-            end = at + int(places[end - 1]) + 1 if end else at
-            known = best.setdefault(item, [edits, first, last, end])
-            known[0], known[1] = min(known[0], edits), min(known[1], first)
-            known[2], known[3] = max(known[2], last), max(known[3], end)
+            _merge(best, item, edits, first, last, at + int(places[end - 1]) + 1 if end else at)
     for item, known in sorted(best.items()):
         yield (row, item, *known)
 

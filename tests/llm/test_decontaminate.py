@@ -1,6 +1,10 @@
 import re
 
+import time
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dialogprep.llm import decontaminate
@@ -44,7 +48,8 @@ def changed(rng, text, edits):
     return text
 
 
-def test_equals_aligning_everything(con):
+def test_equals_aligning_everything(con, monkeypatch):
+    """Also where each text is cut into slices, and slices are taken item by item."""
     rng = np.random.default_rng(5)
     items = [t for (t,) in con.execute("SELECT text FROM benchmark LIMIT 6").fetchall()]
     items += ["short item no", "tiny", items[0][:100], "A b " * 30]
@@ -55,13 +60,17 @@ def test_equals_aligning_everything(con):
         part = item[int(rng.integers(0, 20)):][:int(rng.integers(60, 200))]
         texts.append(prose[k % 20][:150] + changed(rng, part, int(rng.integers(0, 12))) + prose[3][:90])
     index = decontaminate.Items(list(enumerate(items)))
-    import pyarrow as pa
-
-    got = {(t, i): tuple(rest[:3]) for t, i, *rest in
-           decontaminate._found(pa.array(texts), index)}
     want = {(t, i): found for t, text in enumerate(texts) for i, item in enumerate(items)
             if (found := brute(text, item))}
-    assert len(want) > 20 and got == want
+    assert len(want) > 20
+    ends = []
+    for pairs, size in ((1 << 20, 2048), (2_000, 300), (40, 300)):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        found = list(decontaminate._found(pa.array(texts), index))
+        assert {(t, i): tuple(rest[:3]) for t, i, *rest in found} == want
+        ends.append(sorted((t, i, rest[3]) for t, i, *rest in found))
+    assert ends[0] == ends[1] == ends[2]
 
 
 def test_query_finds_copies_and_nothing_else(spark, con):
@@ -95,3 +104,35 @@ def test_tables(spark, con, monkeypatch, block, chunk):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == 7
+
+
+@pytest.mark.parametrize("word,text_bytes,item_bytes", [
+    ("ha ", 510_000, 3_000), ("buy this cheap watch now ", 486_000, 3_200), ("x", 300_000, 4_000)])
+def test_repetitive_texts_take_bounded_memory(word, text_bytes, item_bytes):
+    """As many pairs of q-grams as text bytes times item bytes, or a part of them."""
+    text = "At first. " + word * (text_bytes // len(word))
+    items = decontaminate.Items([(1, word * (item_bytes // len(word))), (2, "at first glance there is no passage here")])
+    tracemalloc.start()
+    began = time.time()
+    try:
+        found = list(decontaminate._found(pa.array([text]), items))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    ((row, item, edits, first, last, end),) = found
+    size = len(plain(word * (item_bytes // len(word))))
+    assert (row, item, edits, first) == (0, 0, 0, 0) and last == size - decontaminate.WINDOW
+    assert end >= len(text.rstrip()) - 1
+    assert peak < 600e6 and time.time() - began < 120
+
+
+def test_slices_take_equal_parts_once(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    seen = []
+    real = decontaminate.Items._bounded
+    monkeypatch.setattr(decontaminate.Items, "_bounded", lambda self, *a: seen.append(1) or real(self, *a))
+    word = "ab" * 4
+    items = decontaminate.Items([(1, word * 30)])
+    found = list(decontaminate._found(pa.array([word * 20_000]), items))
+    assert found == [(0, 0, 0, 0, len(word) * 30 - decontaminate.WINDOW, len(word) * 20_000)]
+    assert len(seen) < 60

@@ -75,15 +75,16 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _long_counted(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``counted`` of one long text, piece by piece; pieces meet at spaces or ASCII where
-    they can, and a border between two letters counts as a space."""
-    data, total, start = text.as_py(), np.zeros(BUCKETS, np.int64), 0
-    while start < len(data):
+    """``counted`` of one long text, part by part; a part is seen with the characters beside
+    it, whose own trigrams are left to the next part."""
+    data, total = text.as_py(), np.zeros(BUCKETS, np.int64)
+    letters = lambda some: int((SYMBOLS[text_bytes(pc.utf8_lower(pa.array([some])))[1]] != 0x20).sum())
+    for start in range(0, len(data), SLICE_BYTES):
         stop = start + SLICE_BYTES
-        space = data.find(" ", stop, stop + 4096) if stop < len(data) else -1
-        stop = space if space >= 0 else stop
-        total += np.bincount(trigrams(pa.array([data[start:stop]]))[1], minlength=BUCKETS)
-        start = stop
+        before, behind = data[max(0, start - 1):start], data[stop:stop + 1]
+        found = trigrams(pa.array([before + data[start:stop] + behind]))[1]
+        own = found[letters(before):len(found) - letters(behind)]
+        total += np.bincount(own, minlength=BUCKETS)
     found = np.flatnonzero(total)
     return np.zeros(len(found), np.int64), found, total[found]
 

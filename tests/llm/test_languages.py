@@ -117,3 +117,13 @@ def test_long_texts_count_as_short_ones(monkeypatch):
     (other,) = languages.batch_counts(pa.array([text]), 1 << 20)
     for a, b in zip(one[2], other[2]):
         assert np.array_equal(a, b)
+
+
+def test_cuts_change_no_count(monkeypatch):
+    """Letters, marks of several bytes and no space at all, cut at every place."""
+    text = "Straße" * 7 + "ΣΊΣé\U0001F600x" * 9 + "don't İ  end." + "a"
+    _, whole, n = languages.counted(pa.array([text]))
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(languages, "SLICE_BYTES", size)
+        _, found, counts = languages._long_counted(pa.scalar(text))
+        assert found.tolist() == whole.tolist() and counts.tolist() == n.tolist()

@@ -23,9 +23,8 @@ END = -1
 
 def _order(symbols: np.ndarray) -> np.ndarray:
     """Rows in the order of their symbols, two columns of 32 bits compared at once."""
-    wide = (symbols.astype(np.int64) + 1).astype(np.uint64)
-    first = wide[0] << np.uint64(32) | wide[1]
-    second = wide[2] << np.uint64(32) | wide[3]
+    first, second = (
+        (symbols[d].astype(np.int64) + 1) << 32 | (symbols[d + 1].astype(np.int64) + 1) for d in (0, 2))
     return np.lexsort((second, first))
 
 

@@ -39,8 +39,8 @@ from dialogprep.operators.skew import salted_join
 
 UNKNOWN = "und"
 # Bytes of text that make a shard, and words that a range holds at most on average.
-SHARD_BYTES = 16 << 20
-RANGE_WORDS = 2_000_000
+SHARD_BYTES = 8 << 20
+RANGE_WORDS = 1_000_000
 # A shard is split into at most 2^10 ranges at once.
 SPLIT_BITS = 10
 # A word is common if it would fill an eighth of a range and makes up more than this share

@@ -7,10 +7,13 @@ score gives each token (count + 1) / (all + distinct + 1).
 The network reads ids of the commonest words, an end and an unknown word, and
 its output softmax is factored by classes. An unknown word is spelled out by the
 smoothed counts of all other words, so that the score is a log-probability of
-the complete text. Training is truncated backpropagation in each task over its
-share of the learned texts: the state runs through every text, and every window
-is learned from. The tasks' parameters are averaged, weighted by their tokens, as
-whole numbers, so that the order of tasks does not matter.
+the complete text. Training is truncated backpropagation: the state runs through
+every text, and every window is learned from. Learned texts are dealt by a hash to
+rounds, and in a round to trainers of about equal tokens, in an order of their
+own, so that neither the split of the input nor the number of tasks matters and a
+trainer learns from as much however large the corpus is. The trainers of a round
+begin with the average of the round before, weighted by tokens and taken as whole
+numbers, so that their order does not matter.
 
 Counts of the commonest ``SHARED`` words are broadcast; other words meet their
 counts in a join, one row for each text and word. A null text is empty and has
@@ -41,6 +44,8 @@ ADDERS = 64
 # Bytes of text that are scored side by side.
 TEXT_BYTES = 4 << 20
 _SCALE, _WEIGHT = 1 << 24, 4096
+# Times that parameters are averaged, and tokens that a trainer learns from before it.
+ROUNDS, TRAINER_TOKENS = 3, 2_000_000
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -88,7 +93,8 @@ def _ids(places: np.ndarray) -> np.ndarray:
     return np.append(np.where(known, places + 2, net.UNKNOWN), net.END)
 
 
-def _train(docs: DataFrame, shared, start: np.ndarray) -> np.ndarray:
+def _train(docs: DataFrame, shared, start: np.ndarray, trainers: int) -> np.ndarray:
+    """The average of what ``trainers`` learn from the texts of (key, text), from ``start`` on."""
     size = len(start)
     schema = pa.schema([("task", pa.int32()), ("weight", pa.int64()), ("values", pa.binary())])
     ddl = "task int, weight long, values binary"
@@ -116,7 +122,8 @@ def _train(docs: DataFrame, shared, start: np.ndarray) -> np.ndarray:
         if weight:
             yield record_batch(schema, [0], [weight], [values.tobytes()])
 
-    parts = docs.select("text").mapInArrow(learn, ddl)
+    dealt = docs.repartition(trainers, "key").sortWithinPartitions("key", "text")
+    parts = dealt.select("text").mapInArrow(learn, ddl)
     weight, values = 0, np.zeros(size, np.int64)
     for row in parts.repartition(ADDERS, "task").mapInArrow(add, ddl).toLocalIterator():
         weight += row["weight"]
@@ -138,7 +145,7 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
         F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"),
         F.shiftright(F.xxhash64(F.coalesce(text, F.lit(""))), 32).cast("int").alias("h"),
         F.coalesce(learned, F.lit(False)).alias("learned"))
-    lessons = narrow.where("learned").select("text")
+    lessons = narrow.where("learned").select(F.xxhash64("doc_id", "h").alias("key"), "text")
     words = stored(count_words(lessons), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = lessons.count()
@@ -149,8 +156,11 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
     rest, rest_distinct = total - ends - int(own.sum()), distinct - (ends > 0) - len(own)
     shared = share(spark, (known, counts))
     start = net.pack(net.initial(np.concatenate([[ends, rest], own])))
-    learned_parameters = _train(lessons, shared, start)
-    _, model = share(spark, learned_parameters)
+    parameters, trainers = start, max(1, total // (ROUNDS * TRAINER_TOKENS))
+    for turn in range(ROUNDS if ends else 0):
+        part = lessons.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == turn)
+        parameters = _train(part, shared, parameters, trainers)
+    _, model = share(spark, parameters)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("h", pa.int32()), ("n_tokens", pa.int64()),
         ("n_unknown", pa.int64()), ("n_rare", pa.int64()), ("common", pa.float64()),

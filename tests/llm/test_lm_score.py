@@ -151,3 +151,16 @@ def test_every_token_of_long_texts_is_learned_from(small, monkeypatch):
     texts = [np.random.default_rng(n).integers(0, 40, n) for n in lengths]
     net.train(net.Adam(small), texts)
     assert np.array_equal(np.sort(np.concatenate(learned)), np.sort(np.concatenate(texts)))
+
+
+def test_split_of_the_input_does_not_matter(spark, monkeypatch):
+    """Held-out scores of the same texts in 1, 8 and 64 partitions; several trainers."""
+    monkeypatch.setattr(lm_score, "TRAINER_TOKENS", 8_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    means = []
+    for partitions in (1, 8, 64):
+        rows = lm_score.score(docs.repartition(partitions), F.col("doc_id") % 7 != 2).collect()
+        held = [r for r in rows if r.doc_id % 7 == 2]
+        means.append(sum(r.score for r in held) / sum(r.n_tokens for r in held))
+    base = sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert max(means) - min(means) < 1e-3 and min(means) > base

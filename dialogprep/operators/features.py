@@ -47,11 +47,11 @@ class FeatureStore:
         ``encode`` gets one row of each picture that is not known yet and adds
         ``features``. ``key`` tells the pictures apart.
         """
-        named = pictures.where(F.col("digest").isNotNull())
-        unknown = named.join(self.read().select("digest"), "digest", "left_anti")
-        # One row for each digest; which of equal pictures it is makes no difference.
-        first = unknown.groupBy("digest").agg(F.min(key).alias(key))
-        new = unknown.join(first, ["digest", key], "left_semi").dropDuplicates(["digest"])
-        encode(new).select("digest", "features").write.mode("append").parquet(self.path)
-        narrow = pictures.select(key, "digest")
+        narrow = stored(pictures.select(key, "digest"), "digests")
+        unknown = narrow.where(F.col("digest").isNotNull()).join(self.read().select("digest"), "digest", "left_anti")
+        # One name for each digest; which of equal pictures it is makes no difference.
+        first = stored(unknown.groupBy("digest").agg(F.min(key).alias(key)), "new")
+        if not first.isEmpty():
+            new = stored(pictures.join(first.select(key), key, "left_semi"), "new")
+            encode(new.dropDuplicates(["digest"])).select("digest", "features").write.mode("append").parquet(self.path)
         return salted_join(narrow, self.read(), ["digest"], [key])

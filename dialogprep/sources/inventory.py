@@ -89,7 +89,7 @@ def list_files(spark: SparkSession, folder: str, entries: int = ENTRIES_AT_ONCE)
     frontier = spark.createDataFrame([(folder.rstrip("/"),)], "path string")
     found = None
     while True:
-        spread = frontier.repartition(TASKS, "path")
+        spread = frontier.coalesce(1) if found is None else frontier.repartition(TASKS, "path")
         listed = stored(spread.mapInArrow(_list(entries), _DDL), "listing")
         files = listed.where("NOT folder").select("path", "length", "modified")
         found = files if found is None else found.unionByName(files)

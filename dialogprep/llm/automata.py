@@ -84,8 +84,9 @@ def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def restricted(words: pa.Array, sequences: np.ndarray, weights: np.ndarray) -> tuple[pa.Array, Automaton]:
     """The automaton of some sorted sequences, with the words they use alone."""
-    used = np.unique(sequences)
-    used = used[used != END]
+    present = np.zeros(len(words) + 1, bool)
+    present[sequences] = True
+    used = np.flatnonzero(present[:-1])
     place = np.full(len(words) + 1, END, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     return words.take(pa.array(used)), Automaton.of(place[sequences], weights, ordered=True)
@@ -97,13 +98,17 @@ def union(parts: list[tuple[pa.Array, Automaton]]) -> tuple[pa.Array, Automaton]
     A part comes with its own words, which its symbols number; the result has
     the words of all parts, sorted.
     """
-    words = pa.concat_arrays([w for w, _ in parts]).unique()
-    words = words.take(pc.sort_indices(words))
-    columns, weights = [], []
+    coded = pa.concat_arrays([w for w, _ in parts]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    places = rank[coded.indices.to_numpy()]
+    columns, weights, at = [], [], 0
     for own, part in parts:
-        found = pc.index_in(own, value_set=words).to_numpy(zero_copy_only=False)
-        columns.append(np.append(found, END).astype(np.int32)[part.sequences()])
+        columns.append(np.append(places[at:at + len(own)], np.int32(END))[part.sequences()])
         weights.append(part.weights)
+        at += len(own)
+    words = coded.dictionary.take(pa.array(order))
     return words, Automaton.of(np.concatenate(columns, axis=1), np.concatenate(weights))
 
 

@@ -43,8 +43,8 @@ SHARD_BYTES = 8 << 20
 RANGE_WORDS = 1_000_000
 # A shard is split into at most 2^10 ranges at once.
 SPLIT_BITS = 10
-# A word is common if it would fill an eighth of a range and makes up more than this share
-# of all words; so there are at most 50,000.
+# A word is common if it would fill a range and makes up more than this share of all words;
+# so there are at most 50,000.
 COMMON_SHARE = 2e-5
 
 _CUT = re.compile(rb"[ \t.,;:!?\x0A-\x0D]")
@@ -298,7 +298,7 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, best: int
     sums = stored(singles.groupBy("lang").agg(F.sum("f").alias("n")), "sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
     common: dict[str, list[str]] = {}
-    often = max(RANGE_WORDS // 8, total * COMMON_SHARE)
+    often = max(RANGE_WORDS, total * COMMON_SHARE)
     for lang, word in singles.where(F.col("f") > often).select("lang", "phrase").collect():
         common.setdefault(lang, []).append(word)
     frequent = stored(

@@ -39,78 +39,128 @@ CODE_LIMIT = 20
 EVERY = 256
 BLOCK_IDS = 1 << 18
 
-# Parts whose ids each worker keeps, and parts given to the library at once.
+# Parts whose ids each worker keeps, their length, and words given to the library at once.
 MAX_REMEMBERED = 600_000
+REMEMBERED_LENGTH = 64
 WORDS_AT_ONCE = 256
 
 
 # How the tokenizer of ``word_bpe_49k.json`` prepares a text.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The same with the commonest first; of all branches only the last can begin as others do.
+SPLIT_ALIKE = r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"
 
 
 def _latin_parts() -> re.Pattern:
     """``SPLIT`` for lower-cased texts of characters up to U+00FF."""
-    parts = re.split(r"(\\p\{[LN]\}|\\s)", SPLIT)  # every class stands within brackets
+    parts = re.split(r"(\\p\{[LN]\}|\\s)", SPLIT_ALIKE)  # every class stands within brackets
     return re.compile("".join(
         "".join(f"\\x{i:02x}" for i in range(256) if regex.match(part, chr(i))) if k % 2 else part
         for k, part in enumerate(parts)))
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary of a byte-level tokenizer."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Parts(dict):
+    """Ids of parts by the library's model, asked when a part is first met."""
+
+    def __init__(self, library: Tokenizer, width: int):
+        self._tokenize, self._letters = library.model.tokenize, _byte_letters()
+        size = library.get_vocab_size()
+        self._packed = [i.to_bytes(4, "little")[:width] for i in range(size)]
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part
+        if not (part.isascii() and part.isprintable()):
+            letters = part.encode().decode("latin-1").translate(self._letters)
+        ids = b"".join([self._packed[token.id] for token in self._tokenize(letters)])
+        if len(part) <= REMEMBERED_LENGTH:
+            if len(self) >= MAX_REMEMBERED:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class WordTokenizer:
     """The library's encoding of whole texts, asked once for each distinct part.
 
-    Valid for tokenizers that drop white space and split there, so that parts
+    Valid for tokenizers that drop white space and split there, so that words
     between ASCII white space are encoded independently. If the tokenizer
     prepares texts as ``word_bpe_49k.json`` does, a text of characters up to
     U+00FF without ``<|`` is cut into the smaller parts that the library itself
-    would make of it: such texts are in normal form C, and their characters are
-    put in lower case one by one.
+    would make of it, and the library's model encodes those: such texts are in
+    normal form C, and their characters are put in lower case one by one.
     """
 
     def __init__(self, definition: str, kind: str = "<u4"):
         self.kind, self.width = kind, np.dtype(kind).itemsize
         self.library = Tokenizer.from_str(definition)
-        self.known: dict[str | bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.latin = _latin_parts() if _prepares_alike(definition) else None
+        self.parts = _Parts(self.library, self.width)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned integers of ``kind``."""
-        if len(texts) == 1:
-            return [b"".join(b"".join(self._known([p])) for p in self._parts(texts[0]))]
-        return self._known([[p for some in self._parts(t) for p in some] for t in texts])
+        out, others = [b""] * len(texts), []
+        for i, data in enumerate(texts):
+            text = self._lowered(data)
+            if text is None:
+                others.append(i)
+            else:
+                out[i] = b"".join(
+                    [b"".join(map(self.parts.__getitem__, some)) for some in self._cut(text)])
+        if len(others) == 1:
+            out[others[0]] = b"".join(
+                b"".join(self._known([p])) for p in word_lists(texts[others[0]]))
+        elif others:
+            lists = [[p for some in word_lists(texts[i]) for p in some] for i in others]
+            for i, ids in zip(others, self._known(lists)):
+                out[i] = ids
+        return out
+
+    def _lowered(self, data: bytes) -> str | None:
+        """A text whose words may be cut, in lower case; None for any other."""
+        if self.latin is None or b"<|" in data:
+            return None
+        text = data.decode()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return text.lower()
 
     def _parts(self, data: bytes) -> Iterator[list]:
-        if self.latin is not None and b"<|" not in data:
-            try:
-                text = data.decode()
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                if len(text) <= SLICE_BYTES:
-                    yield self.latin.findall(text.lower())
-                else:
-                    found = (m.group() for m in self.latin.finditer(text.lower()))
-                    while some := list(islice(found, 1 << 16)):
-                        yield some
-                return
-        yield from word_lists(data)
-
-    def _known(self, lists: list[list]) -> list[bytes]:
+        text = self._lowered(data)
+        yield from word_lists(data) if text is None else self._cut(text)
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        if len(text) <= SLICE_BYTES:
+            yield self.latin.findall(text)
+        else:
+            found = (m.group() for m in self.latin.finditer(text))
+            while some := list(islice(found, 1 << 16)):
+                yield some
+
+    def _known(self, lists: list[list[bytes]]) -> list[bytes]:
         new = set()
-        for parts in lists:
-            new.update(set(parts).difference(self.known))
+        for words in lists:
+            new.update(set(words).difference(self.known))
         if new and len(self.known) + len(new) > MAX_REMEMBERED:
             self.known.clear()
             new = set().union(*lists)
         self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in lists]
+        return [b"".join(map(self.known.__getitem__, words)) for words in lists]
 
-    def _learn(self, new: list) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         for start in range(0, len(new), WORDS_AT_ONCE):
             some = new[start:start + WORDS_AT_ONCE]
-            texts = [w if isinstance(w, str) else w.decode() for w in some]
+            texts = [w.decode() for w in some]
             encoded = self.library.encode(" ".join(texts), add_special_tokens=False)
             ids = np.array(encoded.ids, self.kind)
             begins = np.cumsum([0, *(len(t) + 1 for t in texts)])

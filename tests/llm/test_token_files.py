@@ -108,3 +108,22 @@ def test_empty_table(spark, tmp_path):
 def test_symbol_without_code():
     with pytest.raises(ValueError):
         Code(code_lengths(np.array([3, 0, 1]), 8)).encode(np.array([1]), 4)
+
+
+def test_the_library_prepares_no_latin_text(monkeypatch):
+    own = token_files.WordTokenizer(DEFINITION)
+    monkeypatch.setattr(own, "_learn", lambda new: pytest.fail("a Latin text was prepared anew"))
+    texts = ["Été ÀÇ ªº ²½ ÿ's you'RE 'tis '' 'll", "\x00\x1c\x7f\x85\xa0\xad a\x1cb 12,5", "x" * 300 + " y"]
+    texts.append("".join(map(chr, range(256))))
+    got = own.encode([t.encode() for t in texts])
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_parts_stay_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "MAX_REMEMBERED", 3)
+    own = token_files.WordTokenizer(DEFINITION, "<u2")
+    text = "one two three four five one " + "long" * 40
+    assert np.frombuffer(own.encode([text.encode()])[0], "<u2").tolist() == LIBRARY.encode(
+        text, add_special_tokens=False).ids
+    assert len(own.parts) <= 3

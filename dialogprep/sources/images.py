@@ -11,6 +11,10 @@ from dialogprep import fixed
 from dialogprep.functions import pixels as px
 
 ROWS_PER_TENSOR_BATCH = 32
+# Tasks that look up a list of files; Spark would start one for each file, and each reports
+# to the driver.
+LISTING_TASKS = 16
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def normal_path(path) -> Column:
@@ -35,7 +39,16 @@ def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     ``data`` is interleaved BGR, BGRA or grey; a file that cannot be decoded has
     ``readable`` false.
     """
-    decoded = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
+    reader = spark.read.format("image").option("recursiveFileLookup", True)
+    if isinstance(folder, str):
+        decoded = reader.load(folder)
+    else:
+        before = spark.conf.get(_LISTING)
+        spark.conf.set(_LISTING, str(LISTING_TASKS))
+        try:
+            decoded = reader.load(folder)  # looks the files up at once
+        finally:
+            spark.conf.set(_LISTING, before)
     # The origin is a URL, in which a plus sign stands for itself.
     origin = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
     return decoded.select(

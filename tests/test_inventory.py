@@ -198,3 +198,19 @@ def test_last_finished_version_counts(spark, store, tmp_path):
     assert sorted(r.key for r in store.read().collect()) == [0, 1, 2]
     with pytest.raises(ValueError):
         SampleStore(spark, str(tmp_path / "none")).fetch([0])
+
+
+def test_few_tasks_look_up_a_list_of_files(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.png").write_bytes(png(i % 3))
+    context, key = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    context.setJobGroup("looked-up", "files")
+    try:
+        found = images.read_images(spark, [str(tmp_path / f"{i}.png") for i in range(40)])
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("looked-up") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and sum(tracker.getStageInfo(s).numTasks for s in stages) <= images.LISTING_TASKS
+    assert spark.conf.get(key) == before and found.where("readable").count() == 40

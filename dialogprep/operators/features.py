@@ -45,9 +45,11 @@ class FeatureStore:
         """``pictures`` (key, digest, ...) with ``features``, null where the digest is.
 
         ``encode`` gets one row of each picture that is not known yet and adds
-        ``features``. ``key`` tells the pictures apart.
+        ``features``. ``key`` tells the pictures apart. Pictures are made once, and written
+        until the end, because reading and decoding them takes longest.
         """
-        narrow = stored(pictures.select(key, "digest"), "digests")
+        pictures = stored(pictures, "pictures")
+        narrow = pictures.select(key, "digest")
         unknown = narrow.where(F.col("digest").isNotNull()).join(self.read().select("digest"), "digest", "left_anti")
         # One name for each digest; which of equal pictures it is makes no difference.
         first = stored(unknown.groupBy("digest").agg(F.min(key).alias(key)), "new")

@@ -90,7 +90,10 @@ def image_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_images(rows: DataFrame, folder: str) -> None:
-    """Writes ``<image_id>.png`` files from the tasks; a retry rewrites the same bytes."""
+    """Writes ``<image_id>.png`` files from the tasks; a retry rewrites the same bytes.
+
+    A file takes far longer than its row, so that rows are dealt out to all cores first.
+    """
 
     def write(batches):
         from pyarrow import fs
@@ -110,7 +113,8 @@ def write_images(rows: DataFrame, folder: str) -> None:
                     out.write(body)
             yield pdf[["image_id"]]
 
-    rows.mapInPandas(write, "image_id long").write.format("noop").mode("overwrite").save()
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(tasks, "image_id").mapInPandas(write, "image_id long").write.format("noop").mode("overwrite").save()
 
 
 def write_array(rows: DataFrame, folder: str) -> None:

@@ -31,15 +31,18 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+def read_images(spark: SparkSession, folder: str | list[str], names: str | None = None) -> DataFrame:
     """(path, height, width, channels, data, readable): every file is a row.
 
-    ``folder`` may be a list of files instead.
+    ``folder`` may be a list of files instead. Files whose names do not match the
+    pattern ``names`` are not opened.
 
     ``data`` is interleaved BGR, BGRA or grey; a file that cannot be decoded has
     ``readable`` false.
     """
     reader = spark.read.format("image").option("recursiveFileLookup", True)
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
     if isinstance(folder, str):
         decoded = reader.load(folder)
     else:

@@ -214,3 +214,18 @@ def test_few_tasks_look_up_a_list_of_files(spark, tmp_path):
     stages = [s for j in tracker.getJobIdsForGroup("looked-up") for s in tracker.getJobInfo(j).stageIds]
     assert stages and sum(tracker.getStageInfo(s).numTasks for s in stages) <= images.LISTING_TASKS
     assert spark.conf.get(key) == before and found.where("readable").count() == 40
+
+
+def test_pictures_are_made_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(n):
+        calls.add(1)
+        return f"digest {n % 3}" if n < 6 else None
+
+    pictures = spark.range(8).select(F.col("id").alias("path"), name("id").alias("digest"))
+    store = FeatureStore(spark, str(tmp_path / "store"), "v")
+    made = store.attach(pictures, lambda new: new.select("digest", F.array(F.lit(1.0)).alias("features")))
+    assert made.where("features IS NOT NULL").count() == 6 and store.read().count() == 3
+    assert calls.value == 8

@@ -24,6 +24,7 @@ learn from, the base score is 0 and the network knows only its start.
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ SHARED = 1 << 18
 COUNTED_AT_ONCE = 400_000
 # Tasks that add up the parameters of all others before the driver does.
 ADDERS = 64
-# Bytes of text that are scored side by side.
-TEXT_BYTES = 4 << 20
+# Bytes of text that are learned from, or scored, side by side: the steps of the longest text
+# are made once for all of them.
+TEXT_BYTES = 16 << 20
 _SCALE, _WEIGHT = 1 << 24, 4096
 # Times that parameters are averaged, and tokens that a trainer learns from before it.
 ROUNDS, TRAINER_TOKENS = 3, 2_000_000
@@ -80,10 +82,10 @@ class Lexicon:
         """Places of the words, -1 for words that are not here, which ``others`` counts."""
         get, parts = self.place.get, [np.zeros(0, np.int64)]
         for words in word_lists(text.lower()):
-            places = [get(w, -1) for w in words]
-            parts.append(np.array(places, np.int64))
+            places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+            parts.append(places)
             if others is not None:
-                others.update([w for w, place in zip(words, places) if place < 0])
+                others.update([words[i] for i in np.flatnonzero(places < 0).tolist()])
         return np.concatenate(parts)
 
 

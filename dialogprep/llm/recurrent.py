@@ -13,6 +13,8 @@ WORDS = CLASS_SIZE * CLASSES - 2  # besides the end and the unknown word
 WINDOW = 32
 TRAINED_TOGETHER = 256
 SCORED_TOGETHER = 1024
+# Ids in a window of texts that are scored; fewer texts go more steps at once.
+SCORED_AT_ONCE = 1 << 14
 RATE, DECAY_1, DECAY_2 = 0.02, 0.9, 0.99
 CLIP = 1.0
 
@@ -62,41 +64,59 @@ def _softmax(logit: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return picked - np.log(total), total[:, None]
 
 
+def _sorted(values: np.ndarray, limit: int) -> np.ndarray:
+    """The stable order of whole numbers below ``limit``; short ones are sorted by digits."""
+    return np.argsort(values.astype(np.min_scalar_type(limit)), kind="stable")
+
+
 class Window:
     """Some steps of texts side by side, the longest first, so that those still running are
-    always the first ``active``."""
+    always the first ``active``.
+
+    What runs stands step by step in arrays without gaps; the two gates and the new
+    state of all are three blocks of one array.
+    """
 
     def __init__(self, p: Parameters, state: np.ndarray, ids: np.ndarray, active: np.ndarray,
                  keep: bool):
         self.p, self.ids, self.active = p, ids, active
-        h, w = HIDDEN, p["state"]
-        self.before = np.empty((len(ids) + 1, *state.shape), np.float32)
-        self.before[0] = state
-        self.gates: list[tuple] = []
-        for t, n in enumerate(active):
-            x, past = p["input"][ids[t, :n]], self.before[t, :n]
+        h = HIDDEN
+        self.running = np.arange(state.shape[0]) < active[:, None]
+        self.target = ids[self.running]
+        ends = np.cumsum(active)
+        self.steps = list(zip((ends - active).tolist(), ends.tolist()))
+        # a sigmoid is a tanh of half the argument
+        half = np.array([0.5, 0.5, 1], np.float32)[:, None, None]
+        x = np.take(_blocks(p["input"]) * half, self.target, axis=1)
+        w = _blocks(p["state"]) * half
+        # the states before each step, and behind them those of the texts that run to the end
+        states = np.empty((len(self.target) + int(active[-1]), h), np.float32)
+        states[:active[0]] = state[:active[0]]
+        self.passed = np.empty((len(self.target) if keep else 0, h), np.float32)
+        following = [*active[1:].tolist(), int(active[-1])]
+        for (start, stop), n in zip(self.steps, following):
+            past, here = states[start:stop], x[:, start:stop]
+            both, new = here[:2], here[2]
             y = past @ w
-            both = x[:, :2 * h] + y[:, :2 * h]
-            both *= 0.5
-            np.tanh(both, out=both)  # a sigmoid is a tanh of half the argument
+            both += y[:2]
+            np.tanh(both, out=both)
             both *= 0.5
             both += 0.5
-            z, r = both[:, :h], both[:, h:]
-            new = r * y[:, 2 * h:]
-            new += x[:, 2 * h:]
-            np.tanh(new, out=new)
+            y = y[2]
             if keep:
-                self.gates.append((z, r, new, y[:, 2 * h:]))
-            self.before[t + 1, :n] = new + z * (past - new)
-            self.before[t + 1, n:] = self.before[t, n:]
-        self.state, self.before = self.before[-1], self.before[:-1]
-        self.running = np.arange(state.shape[0]) < active[:, None]
+                self.passed[start:stop] = y
+            y *= both[1]
+            new += y
+            np.tanh(new, out=new)
+            np.subtract(past, new, out=y)
+            y *= both[0]
+            np.add(new[:n], y[:n], out=states[stop:stop + n])
+        self.before, self.state, self.gates = states[:len(self.target)], states[len(self.target):], x
 
     def predictions(self, gradients: Parameters | None = None):
         """Log-probabilities of the ids that run (flat); with ``gradients`` also fills them and
         returns the slopes of the states."""
-        p, target = self.p, self.ids[self.running]
-        states = self.before[self.running]
+        p, target, states = self.p, self.target, self.before
         group, within = np.divmod(target, CLASS_SIZE)
         logit = states @ p["class_out"] + p["class_bias"]
         out, total = _softmax(logit, group)
@@ -107,53 +127,64 @@ class Window:
             gradients["class_out"] = states.T @ logit
             gradients["class_bias"] = logit.sum(0)
             slope = logit @ p["class_out"].T
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[cuts[c]:cuts[c + 1]]
-            if not len(at):
-                continue
-            own = states[at]
-            logit = own @ p["word_out"][c] + p["word_bias"][c]
-            found, total = _softmax(logit, within[at])
-            out[at] += found
-            if gradients is not None:
-                logit /= total
-                logit[np.arange(len(at)), within[at]] -= 1
-                gradients["word_out"][c] = own.T @ logit
-                gradients["word_bias"][c] = logit.sum(0)
-                slope[at] += logit @ p["word_out"][c].T
+        order = _sorted(group, CLASSES)
+        own, group, within = states[order], group[order], within[order]
+        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+        classes = [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+        logit = p["word_bias"][group]
+        for c, i, j in classes:
+            logit[i:j] += own[i:j] @ p["word_out"][c]
+        found, total = _softmax(logit, within)
+        out[order] += found
+        if gradients is not None:
+            logit /= total
+            logit[np.arange(len(target)), within] -= 1
+            back = np.empty_like(own)
+            for c, i, j in classes:
+                np.matmul(own[i:j].T, logit[i:j], out=gradients["word_out"][c])
+                np.matmul(logit[i:j], p["word_out"][c].T, out=back[i:j])
+            gradients["word_bias"][[c for c, _, _ in classes]] = np.add.reduceat(
+                logit, [i for _, i, _ in classes])
+            slope[order] += back
         return out, slope
 
     def gradients(self) -> Parameters:
         """Of the mean negative log-likelihood, back through this window and no further."""
         p, h = self.p, HIDDEN
         g = {name: np.zeros_like(value) for name, value in p.items()}
-        _, flat = self.predictions(g)
-        slope = np.zeros_like(self.before)
-        slope[self.running] = flat
-        carried = np.zeros_like(self.before[0])
-        inputs = np.zeros((*self.ids.shape, 3 * h), np.float32)
-        for t in range(len(self.active) - 1, -1, -1):
-            n = self.active[t]
-            z, r, new, y = self.gates[t]
-            past, d = self.before[t, :n], carried[:n]
-            d_new = d * (1 - z) * (1 - new * new)
-            d_gates = np.concatenate([d * (past - new) * z * (1 - z), d_new * y * r * (1 - r)], 1)
-            inputs[t, :n] = np.concatenate([d_gates, d_new], 1)
-            d_state = np.concatenate([d_gates, d_new * r], 1)
-            g["state"] += past.T @ d_state
-            carried = slope[t] + carried
-            carried[:n] = slope[t, :n] + d * z + d_state @ p["state"].T
-        ids = self.ids[self.running]
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["input"][ids[order][first]] = np.add.reduceat(inputs[self.running][order], first)
+        _, slope = self.predictions(g)
+        (z, r, new), before = self.gates, self.before
+        changed = (1 - z) * (1 - new * new)
+        # what a slope of the state after a step gives both gates and the new state's part of it
+        factors = np.stack([(before - new) * z * (1 - z), changed * self.passed * r * (1 - r),
+                            changed * r])
+        given, back = np.empty_like(before), np.ascontiguousarray(
+            _blocks(p["state"]).transpose(0, 2, 1))
+        carried = np.zeros((int(self.active[0]), h), np.float32)
+        for start, stop in reversed(self.steps):
+            d = carried[:stop - start]
+            given[start:stop] = d
+            here = factors[:, start:stop]
+            here *= d
+            d *= z[start:stop]
+            d += slope[start:stop]
+            d += (here @ back).sum(0)
+        g["state"] = np.concatenate(list(before.T @ factors), axis=1)
+        inputs = np.concatenate([factors[0], factors[1], given * changed], axis=1)
+        order = _sorted(self.target, len(p["input"]))
+        ids = self.target[order]
+        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["input"][ids[first]] = np.add.reduceat(inputs[order], first)
         for value in g.values():
             value /= len(ids)
         return g
 
 
+def _blocks(weights: np.ndarray) -> np.ndarray:
+    """Weights (n, 3 h) of both gates and the new state as (3, n, h)."""
+    return np.ascontiguousarray(weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2))
+
+
 class Adam:
     def __init__(self, p: Parameters):
         self.p = {name: value.copy() for name, value in p.items()}
@@ -193,17 +224,24 @@ class Adam:
             self.p[name] -= RATE * m_hat / (np.sqrt(s_hat) + 1e-6)
 
 
-def _windows(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, active) of windows over texts sorted by falling length."""
-    lengths = np.array([len(t) for t in texts])
-    for start in range(0, int(lengths[0]), WINDOW):
-        stop = min(start + WINDOW, int(lengths[0]))
-        active = np.array([np.count_nonzero(lengths > t) for t in range(start, stop)])
-        ids = np.zeros((stop - start, len(texts)), np.int64)
-        for i in range(active[0]):
-            part = texts[i][start:stop]
-            ids[:len(part), i] = part
+def _windows(texts: list[np.ndarray], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, active) of windows over texts sorted by falling length; ``ids`` has the running ones.
+
+    A window has ``WINDOW`` steps, or as many as ``most`` ids allow.
+    """
+    flat, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    begins, rising = np.cumsum(lengths) - lengths, lengths[::-1]
+    start = 0
+    while start < lengths[0]:
+        running = len(texts) - int(np.searchsorted(rising, start, "right"))
+        steps = WINDOW if most is None else max(1, most // running)
+        at = np.arange(start, min(start + steps, int(lengths[0])))
+        active = len(texts) - np.searchsorted(rising, at, "right")
+        ids = np.zeros((len(at), running), np.int64)
+        some = at[:, None] < lengths[:running]
+        ids[some] = flat[(begins[:running] + at[:, None])[some]]
         yield ids, active
+        start += steps
 
 
 def _sides(texts: list[np.ndarray], together: int) -> Iterator[np.ndarray]:
@@ -224,7 +262,7 @@ def train(adam: Adam, texts: list[np.ndarray]) -> None:
         state = np.zeros((len(side), HIDDEN), np.float32)
         for k, (ids, active) in enumerate(_windows(chosen)):
             n = active[0]  # texts that have ended take no more part
-            window = Window(adam.p, state[:n], ids[:, :n], active, True)
+            window = Window(adam.p, state[:n], ids, active, True)
             if k == 0:
                 enough = max(enough, int(active.sum()) // 2)
             adam.gather(window.gradients(), int(active.sum()), enough)
@@ -237,9 +275,9 @@ def score(p: Parameters, texts: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(texts))
     for side in _sides(texts, SCORED_TOGETHER):
         state = np.zeros((len(side), HIDDEN), np.float32)
-        for ids, active in _windows([texts[i] for i in side]):
+        for ids, active in _windows([texts[i] for i in side], SCORED_AT_ONCE):
             n = active[0]  # texts that have ended take no more part
-            window = Window(p, state[:n], ids[:, :n], active, False)
+            window = Window(p, state[:n], ids, active, False)
             found, _ = window.predictions()
             out[side[:n]] += np.bincount(np.nonzero(window.running)[1], found, n)
             state = window.state

@@ -164,3 +164,13 @@ def test_split_of_the_input_does_not_matter(spark, monkeypatch):
         means.append(sum(r.score for r in held) / sum(r.n_tokens for r in held))
     base = sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
     assert max(means) - min(means) < 1e-3 and min(means) > base
+
+
+def test_few_long_texts_are_scored_in_few_windows(small, monkeypatch):
+    made, window = [], net.Window
+    monkeypatch.setattr(net, "Window", lambda *a: made.append(int(a[3].sum())) or window(*a))
+    texts = [np.arange(n) % 9 for n in (5_000, 3_000, 1, 40)]
+    whole = net.score(small, texts)
+    assert sum(made) == 8_041 and len(made) <= 3
+    monkeypatch.setattr(net, "SCORED_AT_ONCE", 64)
+    assert np.allclose(net.score(small, texts), whole, rtol=1e-5)

@@ -47,6 +47,33 @@ def per_worker(shared: tuple[str, object], build: Callable):
     return _kept[name]
 
 
+class Remembered(dict):
+    """Values by key, made when a key is first met; those of long keys are not kept.
+
+    Of ``most`` values the half met longest ago goes when the other half is full, so that
+    what is met again and again is made once however many other keys there are.
+    """
+
+    def __init__(self, make: Callable, most: int, length: int):
+        self._make, self._half, self._length = make, max(1, most // 2), length
+        self._before: dict = {}
+
+    def __missing__(self, key):
+        value = self._before.get(key)
+        return self.keep(key, self._make(key) if value is None else value)
+
+    def keep(self, key, value):
+        if len(key) <= self._length:
+            if len(self) >= self._half:
+                self._before = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+    def holds(self, key) -> bool:
+        return key in self or key in self._before
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column without copying; a null is empty."""
     if column.null_count:

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from dialogprep.llm.common import (
-    SLICE_BYTES, binaries, per_worker, record_batch, row_slices, share, stored, word_lists,
+    SLICE_BYTES, Remembered, binaries, per_worker, record_batch, row_slices, share, slices, stored,
+    word_lists,
 )
 from dialogprep.llm.huffman import Code, code_lengths
 
@@ -40,9 +41,11 @@ EVERY = 256
 BLOCK_IDS = 1 << 18
 
 # Parts whose ids each worker keeps, their length, and words given to the library at once.
-MAX_REMEMBERED = 600_000
+MAX_REMEMBERED = 800_000
 REMEMBERED_LENGTH = 64
 WORDS_AT_ONCE = 256
+# Bytes of texts that are cut into parts together.
+CUT_TOGETHER = 4 << 20
 
 
 # How the tokenizer of ``word_bpe_49k.json`` prepares a text.
@@ -67,24 +70,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class _Parts(dict):
-    """Ids of parts by the library's model, asked when a part is first met."""
-
-    def __init__(self, library: Tokenizer, width: int):
-        self._tokenize, self._letters = library.model.tokenize, _byte_letters()
-        size = library.get_vocab_size()
-        self._packed = [i.to_bytes(4, "little")[:width] for i in range(size)]
-
-    def __missing__(self, part: str) -> bytes:
-        letters = part
-        if not (part.isascii() and part.isprintable()):
-            letters = part.encode().decode("latin-1").translate(self._letters)
-        ids = b"".join([self._packed[token.id] for token in self._tokenize(letters)])
-        if len(part) <= REMEMBERED_LENGTH:
-            if len(self) >= MAX_REMEMBERED:
-                self.clear()
-            self[part] = ids
-        return ids
+class _Cutter:
+    """The parts of many texts of characters up to U+00FF at once, found with array operations."""
+
+    SPACE, LETTER, DIGIT, OTHER = range(4)
+
+    def __init__(self):
+        kinds = [(self.LETTER, r"\p{L}"), (self.DIGIT, r"\p{N}"), (self.OTHER, r"[^\s\p{L}\p{N}]")]
+        self.kinds = np.zeros(256, np.uint8)
+        for kind, members in kinds:
+            self.kinds[[i for i in range(256) if regex.match(members, chr(i))]] = kind
+        self.endings = re.compile(rb"'(?:s|t|re|ve|m|ll|d)")
+
+    def cut(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of lower-case Latin-1: the different parts, which of them follow each other, and how
+        many do so before each text and before the end."""
+        blob = b" ".join(texts)
+        codes = np.frombuffer(blob, np.uint8)
+        kinds = self.kinds[codes]
+        before = np.concatenate([[self.SPACE], kinds[:-1]])[:len(kinds)]
+        begins = ((kinds != before) | (kinds == self.DIGIT)) & (kinds != self.SPACE)
+        found = np.array([m.span() for m in self.endings.finditer(blob)], np.int64).reshape(-1, 2)
+        found = found[before[found[:, 0]] != self.OTHER]  # else it goes on the part before it
+        begins[found[:, 0] + 1] = False
+        after = found[:, 1][found[:, 1] < len(kinds)]
+        begins[after] = kinds[after] != self.SPACE
+        inside = kinds != self.SPACE
+        data = codes[inside]
+        offsets = np.append(np.flatnonzero(begins[inside]), len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(
+            pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        found = parts.dictionary_encode()
+        _, offsets, data = found.dictionary.buffers()
+        ends = np.frombuffer(offsets, np.int32, len(found.dictionary) + 1).tolist()
+        letters = data.to_pybytes().decode("latin-1") if data else ""
+        return ([letters[a:b] for a, b in zip(ends, ends[1:])], found.indices.to_numpy(),
+                np.searchsorted(np.flatnonzero(begins), at))
 
 
 class WordTokenizer:
@@ -95,7 +117,8 @@ class WordTokenizer:
     prepares texts as ``word_bpe_49k.json`` does, a text of characters up to
     U+00FF without ``<|`` is cut into the smaller parts that the library itself
     would make of it, and the library's model encodes those: such texts are in
-    normal form C, and their characters are put in lower case one by one.
+    normal form C, and their characters are put in lower case one by one. Short
+    texts are cut together, and the ids of each different part looked up once.
     """
 
     def __init__(self, definition: str, kind: str = "<u4"):
@@ -103,18 +126,29 @@ class WordTokenizer:
         self.library = Tokenizer.from_str(definition)
         self.known: dict[bytes, bytes] = {}
         self.latin = _latin_parts() if _prepares_alike(definition) else None
-        self.parts = _Parts(self.library, self.width)
+        self.cutter = _Cutter()
+        self._tokenize, self._letters = self.library.model.tokenize, _byte_letters()
+        size = self.library.get_vocab_size()
+        self._packed = [i.to_bytes(4, "little")[:self.width] for i in range(size)]
+        self.parts = Remembered(self._part, MAX_REMEMBERED, REMEMBERED_LENGTH)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids as little-endian unsigned integers of ``kind``."""
-        out, others = [b""] * len(texts), []
+        out, others, short = [b""] * len(texts), [], []
         for i, data in enumerate(texts):
             text = self._lowered(data)
             if text is None:
                 others.append(i)
+            elif len(text) <= SLICE_BYTES:
+                short.append((i, text.encode("latin-1")))
             else:
                 out[i] = b"".join(
                     [b"".join(map(self.parts.__getitem__, some)) for some in self._cut(text)])
+        sizes = np.array([len(text) for _, text in short], np.int64)
+        for start, stop in slices(sizes, CUT_TOGETHER):
+            some = short[start:stop]
+            for (i, _), ids in zip(some, self._encode_short([text for _, text in some])):
+                out[i] = ids
         if len(others) == 1:
             out[others[0]] = b"".join(
                 b"".join(self._known([p])) for p in word_lists(texts[others[0]]))
@@ -124,6 +158,23 @@ class WordTokenizer:
                 out[i] = ids
         return out
 
+    def _encode_short(self, texts: list[bytes]) -> list[bytes]:
+        parts, which, cuts = self.cutter.cut(texts)
+        found = list(map(self.parts.__getitem__, parts))
+        flat = np.frombuffer(b"".join(found), self.kind)
+        sizes = np.array([len(ids) for ids in found], np.int64) // self.width
+        begins, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begins - (ends - n), n) + np.arange(len(n) and ends[-1])]
+        packed, at = ids.tobytes(), (np.append(0, ends)[cuts] * self.width).tolist()
+        return [packed[a:b] for a, b in zip(at, at[1:])]
+
+    def _part(self, part: str) -> bytes:
+        letters = part
+        if not (part.isascii() and part.isprintable()):
+            letters = part.encode().decode("latin-1").translate(self._letters)
+        return b"".join([self._packed[token.id] for token in self._tokenize(letters)])
+
     def _lowered(self, data: bytes) -> str | None:
         """A text whose words may be cut, in lower case; None for any other."""
         if self.latin is None or b"<|" in data:
@@ -198,7 +249,7 @@ def encode(docs: DataFrame, definition: str, end_id: int, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = per_worker(shared, lambda given: WordTokenizer(*given))
-        for batch in row_slices(batches, "text"):
+        for batch in row_slices(batches, "text", CUT_TOGETHER):
             ids = [i + end for i in tokenizer.encode(binaries(batch.column("text")))]
             yield record_batch(schema, batch.column("doc_id"), [len(i) // width for i in ids], ids)
 

@@ -127,3 +127,23 @@ def test_remembered_parts_stay_bounded(monkeypatch):
     assert np.frombuffer(own.encode([text.encode()])[0], "<u2").tolist() == LIBRARY.encode(
         text, add_special_tokens=False).ids
     assert len(own.parts) <= 3
+
+
+def test_a_frequent_part_is_asked_for_once(monkeypatch):
+    monkeypatch.setattr(token_files, "MAX_REMEMBERED", 6)
+    own, asked = token_files.WordTokenizer(DEFINITION), []
+    make = own.parts._make
+    monkeypatch.setattr(own.parts, "_make", lambda part: asked.append(part) or make(part))
+    for i in range(20):
+        own.encode([f"often {'abcdefghijklmnopqrst'[i]}rare".encode()])
+    assert asked.count("often") == 1 and len(asked) == 21
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=[chr(i) for i in range(256)], max_size=30)
+                | st.text(alphabet="'stredvmlé.1 \x1c\x85", max_size=30), max_size=5))
+def test_array_cuts_equal_the_pattern(texts):
+    lowered = [t.lower() for t in texts]
+    parts, which, cuts = OWN.cutter.cut([t.encode("latin-1") for t in lowered])
+    got = [[parts[i] for i in which[a:b]] for a, b in zip(cuts, cuts[1:])]
+    assert got == [OWN.latin.findall(t) for t in lowered]

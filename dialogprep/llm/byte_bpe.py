@@ -26,14 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialogprep.llm import utf8
-from dialogprep.llm.common import per_worker, record_batch, row_slices, share
-
-# Transitions, pairs and whole matches kept in each worker; the last two start anew when full.
-MAX_TRANSITIONS = 60_000
-MAX_PAIRS = 200_000
-MAX_REMEMBERED = 300_000
+from dialogprep.llm.common import Remembered, per_worker, record_batch, row_slices, share
+
+# Transitions, steps of live places, pairs and whole matches kept in each worker; pairs start anew
+# when full, and of matches those met longest ago go.
+MAX_TRANSITIONS = 20_000
+MAX_STEPS = 200_000
+MAX_PAIRS = 400_000
+MAX_REMEMBERED = 800_000
 REMEMBERED_LENGTH = 24
 DECODED_AT_ONCE = 512
+UNKEPT_AT_ONCE = 256
 
 NEVER = float("inf")
 
@@ -62,6 +65,17 @@ class _State:
         self.flush: bytes | None = None
 
 
+class _Places:
+    """Where live places stand in the vocabulary, oldest first: the bytes that go on from there
+    and how many led there; known steps to what follows."""
+
+    __slots__ = ("trees", "depths", "next")
+
+    def __init__(self, trees: list[dict], depths: list[int]):
+        self.trees, self.depths = trees, depths
+        self.next: dict[int, tuple[list[tuple[int, int]], _Places]] = {}
+
+
 _depth = itemgetter(2)
 
 
@@ -73,29 +87,36 @@ class Transducer:
     """Encodes pieces of text byte by byte.
 
     Transitions are kept while there is room, so the commonest ones are; any
-    other is followed from the live places and not kept.
+    other is followed from the live places and not kept. Which places are live,
+    and which tokens end there, follows from the oldest one: these steps are
+    kept by themselves.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.packed = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
         self._tree: dict = {}
+        self._depths = {id(self._tree): 0}
+        self._places: dict[int, _Places] = {}
+        self._steps = 0
         self._fits: dict[int, bool] = {}
         self._history: dict[int, list[tuple[float, bytes, bytes]]] = {}
         for token, rank in ranks.items():
             self._add(token, rank)
-        self._remembered = _Remembered(self.encode_piece)
+        self._remembered = Remembered(
+            lambda match: self.encode_piece(match.encode()), MAX_REMEMBERED, REMEMBERED_LENGTH)
         self._states: dict = {}
         self._transitions = 0
         self.root = self._state([(self._tree, (None, None, 0))])
 
     def _add(self, token: bytes, rank: int) -> None:
         tree = self._tree
-        for byte in token[:-1]:
+        for depth, byte in enumerate(token[:-1], 1):
             known, more = tree.get(byte, (None, None))
             if more is None:
                 more = {}
                 tree[byte] = known, more
+                self._depths[id(more)] = depth
             tree = more
         tree[token[-1]] = rank, tree.get(token[-1], (None, None))[1]
         self._history[rank] = token  # replaced by its merges when they are first needed
@@ -228,34 +249,80 @@ class Transducer:
 
     def _unkept(self, live: Live, rest: bytes) -> bytes:
         out = []
-        for at, byte in enumerate(rest, 1):
-            live = self._advance(live, byte)
-            if not at % 64:
-                emitted, live = self._settle(live)
-                out.append(emitted)
-        out.append(self._tokens(live[-1][1]))
+        while len(rest) > UNKEPT_AT_ONCE:
+            links, ends, places = self._follow(live, rest[:UNKEPT_AT_ONCE])
+            begins = [len(links) - 1 - depth for depth in places.depths]
+            emitted, live = self._settle(
+                [(tree, self._end(links, ends, i)) for tree, i in zip(places.trees, begins)])
+            out.append(emitted)
+            rest = rest[UNKEPT_AT_ONCE:]
+        links, ends, _ = self._follow(live, rest)
+        out.append(self._tokens(self._end(links, ends, len(links) - 1)))
         return b"".join(out)
 
+    def _follow(self, live: Live, data: bytes) -> "tuple[list, list, _Places]":
+        """By place from the oldest live one on: (boundaries if known, tokens that end there and
+        their sizes), and what is live after ``data``."""
+        places = self._places_of([tree for tree, _ in live])
+        links: list[Link | None] = [None] * (places.depths[0] + 1)
+        for depth, (_, link) in zip(places.depths, live):
+            links[~depth] = link
+        ends: list = links.copy()  # the first are known
+        for byte in data:
+            step = places.next.get(byte)
+            if step is None:
+                step = self._step(places, byte)
+            found, places = step
+            ends.append(found)
+        links.extend([None] * len(data))
+        return links, ends, places
+
+    def _end(self, links: list, ends: list, at: int) -> Link:
+        """The last token before place ``at``; only places that it needs are looked at."""
+        known = links[at]
+        if known is not None:
+            return known
+        fits = self._fits
+        for token, size in ends[at]:
+            link = links[at - size] or self._end(links, ends, at - size)
+            first = link[0]
+            known = fits.get(~token if first is None else first << 32 | token)
+            if known is None:
+                known = self._follows(first, token)
+            if known:
+                links[at] = link = token, link, link[2] + 1
+                return link
+        raise ValueError("a byte that is no token")
+
+    def _places_of(self, trees: list[dict], depths: list[int] | None = None) -> "_Places":
+        key = id(trees[0])
+        if key not in self._places:
+            if depths is None:
+                depths = [self._depths[id(tree)] for tree in trees]
+            self._places[key] = _Places(trees, depths)
+        return self._places[key]
+
+    def _step(self, places: "_Places", byte: int) -> "tuple[list[tuple[int, int]], _Places]":
+        """(tokens that end with the next byte and their sizes, the longest first; what is live)"""
+        ends, trees, depths = [], [], []
+        for tree, depth in zip(places.trees, places.depths):
+            token, more = tree.get(byte, (None, None))
+            if token is not None:
+                ends.append((token, depth + 1))
+            if more is not None:
+                trees.append(more)
+                depths.append(depth + 1)
+        step = ends, self._places_of([*trees, self._tree], [*depths, 0])
+        if self._steps < MAX_STEPS:
+            places.next[byte] = step
+            self._steps += 1
+        return step
+
     def ids_of(self, matches: list[str]) -> bytes:
         """Ids of matches in order; short ones are remembered."""
         return b"".join(map(self._remembered.__getitem__, matches))
 
 
-class _Remembered(dict):
-    """Ids by match, made when they are first asked for."""
-
-    def __init__(self, encode_piece):
-        self._encode = encode_piece
-
-    def __missing__(self, match: str) -> bytes:
-        ids = self._encode(match.encode())
-        if len(match) <= REMEMBERED_LENGTH:
-            if len(self) >= MAX_REMEMBERED:
-                self.clear()
-            self[match] = ids
-        return ids
-
-
 class Splitter:
     """Matches of a pattern.
 
@@ -310,19 +377,19 @@ class Decoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.pieces = {rank: token for token, rank in ranks.items()}
         self._steps: dict[bytes, dict[int, tuple[str, bytes]]] = {}
-        self._whole: dict[int, str] = {}
+        self._whole = np.full(max(ranks.values(), default=0) + 1, None)
 
     def decode(self, ids: np.ndarray) -> str:
         pending, out = b"", []
         for start in range(0, len(ids), DECODED_AT_ONCE):
-            some = ids[start:start + DECODED_AT_ONCE].tolist()
+            some = ids[start:start + DECODED_AT_ONCE]
             if not pending:
                 try:  # usually every token ends a character
-                    out.append("".join(map(self._whole.__getitem__, some)))
+                    out.append("".join(self._whole[some].tolist()))
                     continue
-                except KeyError:
+                except TypeError:  # a token that is not known to do so
                     pass
-            for token in some:
+            for token in some.tolist():
                 text, pending = self._step(pending, token)
                 out.append(text)
         out.append(utf8.close(pending))

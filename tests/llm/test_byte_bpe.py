@@ -81,3 +81,26 @@ def test_white_space_and_letters_as_in_the_library():
 
 def test_latin_texts_have_a_pattern_of_their_own():
     assert type(SPLITTER.latin).__module__ == "re"
+
+
+def test_a_frequent_match_is_encoded_once(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MAX_REMEMBERED", 6)
+    small, made = byte_bpe.Transducer(RANKS), []
+    encode = small.encode_piece
+    monkeypatch.setattr(small, "encode_piece", lambda piece: made.append(piece) or encode(piece))
+    for letter in "abcdefghijklmnopqrst":
+        ids = small.ids_of(["often", f" {letter}rare"])
+        assert np.frombuffer(ids, "<u4").tolist() == OTHER.encode_ordinary(f"often {letter}rare")
+    assert made.count(b"often") == 1 and len(made) == 21
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abtheionsrgé漢", min_size=1, max_size=700), max_size=9))
+def test_places_without_room(words):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(byte_bpe, "MAX_TRANSITIONS", 3)
+        patch.setattr(byte_bpe, "MAX_STEPS", 50)
+        small = byte_bpe.Transducer(RANKS)
+        for word in words:
+            ids = np.frombuffer(small.encode_piece(word.encode()), "<u4").tolist()
+            assert ids == OTHER._encode_single_piece(word.encode())

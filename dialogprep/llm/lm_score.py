@@ -89,6 +89,44 @@ class Lexicon:
         return np.concatenate(parts)
 
 
+    def read_all(self, texts: list[bytes]) -> tuple[list[np.ndarray], pa.Array, pa.Array]:
+        """Places by text as ``read`` gives them; by text the words that are not here and how
+        often they occur. Each different word is looked up once."""
+        if len(texts) == 1 and len(texts[0]) > TEXT_BYTES:
+            others: Counter = Counter()
+            places = self.read(texts[0], others)
+            return ([places], pa.array([list(others)], pa.list_(pa.binary())),
+                    pa.array([list(others.values())], pa.list_(pa.int64())))
+        words, cuts = _words(texts)
+        known, which = words.dictionary, words.indices.to_numpy()
+        different = known.to_numpy(zero_copy_only=False).tolist()
+        place = np.fromiter(map(self.place.get, different, repeat(-1)), np.int64, len(different))
+        places = place[which]
+        unknown = np.flatnonzero(places < 0)
+        text = np.searchsorted(cuts, unknown, "right") - 1
+        size = max(1, len(known))
+        keys, times = np.unique(text * size + which[unknown], return_counts=True)
+        text, word = np.divmod(keys, size)
+        offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+        return (np.split(places, cuts[1:-1]),
+                pa.ListArray.from_arrays(offsets, known.take(pa.array(word))),
+                pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))))
+
+
+def _words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(lower-case words of all texts, how many are before each text and before the end)"""
+    codes = np.frombuffer(b" ".join(texts).lower(), np.uint8)
+    inside = (codes != 0x20) & ((codes < 0x09) | (codes > 0x0D))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    data = codes[inside]
+    offsets = np.append(np.flatnonzero(begins[inside]), len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return words.dictionary_encode(), np.searchsorted(np.flatnonzero(begins), at)
+
+
 def _ids(places: np.ndarray) -> np.ndarray:
     """Ids of the network: the end, unknown, and the first words of the lexicon."""
     known = (places >= 0) & (places < net.WORDS)
@@ -172,17 +210,15 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text: str =
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, p = per_worker(shared, lambda x: Lexicon(*x)), net.unpack(model.value)
         for batch in row_slices(batches, "text", TEXT_BYTES):
-            others = [Counter() for _ in range(batch.num_rows)]
-            places = [lexicon.read(t, o) for t, o in zip(binaries(batch.column("text")), others)]
-            texts = [_ids(x) for x in places]
+            places, rare, times = lexicon.read_all(binaries(batch.column("text")))
+            texts = list(map(_ids, places))
             unknown = [x[(x < 0) | (x >= net.WORDS)] for x in places]
             yield record_batch(
                 schema, batch.column("doc_id"), batch.column("h"), [len(x) for x in texts],
                 [len(x) for x in unknown], [int((x < 0).sum()) for x in places],
                 [float(lexicon.log_count[x].sum()) for x in places],
                 [float(lexicon.log_count[x].sum()) for x in unknown],
-                net.score(p, texts) / np.log(10), [list(o) for o in others],
-                [list(o.values()) for o in others])
+                net.score(p, texts) / np.log(10), rare, times)
 
     scored = stored(narrow.select("doc_id", "h", "text").mapInArrow(read, ROWS), "scored")
     rare = _rare(scored, words)

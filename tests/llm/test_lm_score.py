@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dialogprep.llm import lm_score
@@ -174,3 +176,23 @@ def test_few_long_texts_are_scored_in_few_windows(small, monkeypatch):
     assert sum(made) == 8_041 and len(made) <= 3
     monkeypatch.setattr(net, "SCORED_AT_ONCE", 64)
     assert np.allclose(net.score(small, texts), whole, rtol=1e-5)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=30) | st.text(alphabet="aAbé \t\x0b\x1c", max_size=30).map(str.encode),
+                min_size=1, max_size=6))
+def test_words_of_many_texts_are_those_of_each(texts):
+    lexicon = lm_score.Lexicon([b"a", b"b", b"ab"], np.array([3, 2, 1]))
+    places, rare, times = lexicon.read_all(texts)
+    for k, text in enumerate(texts):
+        others = Counter()
+        assert places[k].tolist() == lexicon.read(text, others).tolist()
+        assert dict(zip(rare[k].as_py(), times[k].as_py())) == dict(others)
+
+
+def test_a_word_is_looked_up_once():
+    asked = []
+    lexicon = lm_score.Lexicon([b"a"], np.array([3]))
+    lexicon.place = type("Place", (), {"get": lambda self, *x: asked.append(x[0]) or -1})()
+    lexicon.read_all([b"a b a", b"B a"])
+    assert sorted(asked) == [b"a", b"b"]
